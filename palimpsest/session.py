@@ -5,8 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+import palimpsest
+
+# Python workers get the functions of this package with their tasks, so that it need not be installed on executors.
+cloudpickle.register_pickle_by_value(palimpsest)
+
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
