@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, chunking, mixing
+from palimpsest.llm import bpe, chunking, language, mixing
 from palimpsest.sources.tables import table
 
 
@@ -29,12 +28,22 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
 
 
+def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.assign(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(p10_languages(spark, sf_dir))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_chunks": p2_chunks,
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_languages": p10_languages,
 }
 
 SQL = {
