@@ -5,9 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import bpe, chunking, language, mixing
+from palimpsest.llm.syntax import check
 from palimpsest.sources.tables import table
 
 
+def p1_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.diagnostics(table(spark, sf_dir, "file_versions"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p1_diagnostics(spark, sf_dir).select("file_id", "valid_from_sequence").distinct()
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return check.rates(table(spark, sf_dir, "file_versions"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_chunks(spark, sf_dir).where("oversized and piece = 0").select("doc_id")
 
@@ -37,6 +50,9 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_diagnostics": p1_diagnostics,
+    "p1_rates": p1_rates,
     "p2_found": p2_found,
     "p2_chunks": p2_chunks,
     "p8_ids": p8_ids,
