@@ -23,6 +23,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from palimpsest.session import discard, materialize
 
@@ -180,7 +181,7 @@ def reached_starts(table: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return reached, done
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _slices(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     out = []
     for t, s, e in zip(text, starts, ends):
