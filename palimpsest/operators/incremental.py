@@ -38,15 +38,17 @@ def kind_rank(kind: Column) -> Column:
     return rank
 
 
-def upper_limit(feed: DataFrame, arrival: str = "arrived_at"):
-    """The greatest arrival now present: fixed once, at a run's start. None if there is none."""
-    return feed.agg(F.max(arrival).alias("upper")).first()["upper"]
+def upper_limit(feed: DataFrame, arrival: str = "arrived_at") -> str | None:
+    """The greatest arrival now present, as text: fixed once, at a run's start. None if there is none."""
+    return feed.agg(F.max(arrival).cast("string").alias("upper")).first()["upper"]
 
 
-def records_by_arrival(feed: DataFrame, upper=None) -> DataFrame:
+def records_by_arrival(feed: DataFrame, upper: str | None = None) -> DataFrame:
     """One row per record that arrived at or before ``upper``, at its earliest arrival."""
     if upper is not None:
-        feed = feed.where((F.col("arrived_at") <= F.lit(upper)) | F.col("arrived_at").isNull())
+        # Cast to the column's own type, so that no time zone comes in.
+        limit = F.lit(upper).cast(dict(feed.dtypes)["arrived_at"])
+        feed = feed.where((F.col("arrived_at") <= limit) | F.col("arrived_at").isNull())
     return feed.groupBy(*RECORD).agg(
         F.min("arrived_at").alias("arrived_at"),
         F.min("generation_sequence").alias("generation_sequence"),
@@ -86,7 +88,7 @@ def checkpoint_positions(checkpoints: DataFrame, stream: str = "inference") -> D
 
 
 def pending_records(
-    feed: DataFrame, watermarks: DataFrame, checkpoints: DataFrame, upper=None, stream: str = "inference"
+    feed: DataFrame, watermarks: DataFrame, checkpoints: DataFrame, upper: str | None = None, stream: str = "inference"
 ) -> DataFrame:
     """(consumer, record, position) of every record that a consumer has still to process.
 
