@@ -16,6 +16,7 @@ def stream_observations(observations: DataFrame, granted: list[str], namespace:
     content = F.concat_ws("|", "producer_namespace", "subject", "relation", "object", F.col("observed_at_nanos").cast("string"))
     usable = timed.where(
         (F.col("producer_namespace") == namespace) & F.col("relation").isin(granted) & F.col("subject").isNotNull() & F.col("object").isNotNull()
+        & (F.col("observed_at_nanos") >= 0)
     )
     return (
         usable.withColumn("node_id", F.sha2(content, 256))
