@@ -116,7 +116,7 @@ def statements(found: DataFrame) -> DataFrame:
     )
     return numbered.groupBy(*KEY, "n").agg(
         F.min("pos").alias("pos"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), " ").alias("shape"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("shape"),
     ).select(*KEY, "pos", "shape")
 
 
@@ -140,7 +140,7 @@ def bad_statements(found: DataFrame) -> DataFrame:
         for batch in batches:
             langs, shapes = (batch.column(i).to_pylist() for i in range(2))
             keep = [
-                not (_parses(s) if lang == "python" else grammars[lang].accepts(s.split(" ") if s else []))
+                not (_parses(s) if lang == "python" else grammars[lang].accepts(s.split()))
                 for lang, s in zip(langs, shapes)
             ]
             yield batch.filter(pa.array(keep, pa.bool_()))

@@ -28,7 +28,7 @@ class Tokens:
         self.nest.append(nest)
         self.kind.append(kind)
         self.end.append(end)
-        self.out.append(cls if out is None else out)
+        self.out.append(f"{cls if out is None else out} ")
 
     def punct(self, p: str) -> None:
         if p in OPEN:
@@ -676,8 +676,9 @@ def lex_python(text: str) -> Tokens:
             indent = m.group()
             if not indent and t.cls and not decorated and not _GOES_ON.match(text, m.end()):
                 t.end[-1] = True
-            t.add("nl", out="\n" + indent) if not t.cls and indent else None
-            if t.cls and t.cls[-1] == "nl" and t.cls[:1]:
+            if not t.cls and indent:
+                t.add("nl")
+            if t.cls and t.cls[-1] == "nl":
                 t.out[-1] = "\n" + indent
             decorated = rest == "@" and not indent
             at, fresh = m.end(), False
@@ -696,7 +697,8 @@ def lex_python(text: str) -> Tokens:
             continue
         if what == "nl":
             if depth == 0:
-                t.add("nl", out="\n")
+                t.add("nl")
+                t.out[-1] = "\n"
                 fresh = True
             continue
         if what == "id":
@@ -713,7 +715,8 @@ def lex_python(text: str) -> Tokens:
         else:
             t.add(what, out="+=")
     if t.cls and t.cls[-1] != "nl":
-        t.add("nl", out="\n")
+        t.add("nl")
+        t.out[-1] = "\n"
     return t
 
 

@@ -94,9 +94,10 @@ Id: 'keyof' | 'is' | 'infer' | 'satisfies' | 'asserts' | 'module' | 'private' |
 Name: Id | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'enum' | 'export'
 Name: 'extends' | 'false' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'null' | 'return' | 'super'
 Name: 'switch' | 'this' | 'throw' | 'true' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with'
+full: 'if' '(' expr ')' bare 'else' full
 full: ';' | block | declared | bare ';' | 'if' '(' expr ')' full ('else' full)? | loophead full | Id ':' full | try | switch
 bare: variables | 'return' expr? | 'break' Id? | 'continue' Id? | 'throw' expr | expr | 'debugger' | imports | exports | 'do' full 'while' '(' expr ')'
-bare: 'if' '(' expr ')' bare | 'if' '(' expr ')' full 'else' bare | loophead bare | Id ':' bare | tsbare
+bare: 'if' '(' expr ')' bare ('else' bare)? | 'if' '(' expr ')' full 'else' bare | loophead bare | Id ':' bare | tsbare
 block: '{' full* bare? '}'
 loophead: 'while' '(' expr ')' | 'for' 'await'? '(' forhead ')' | 'with' '(' expr ')'
 forhead: (variables | expr)? ';' expr? ';' expr? | ('var' | 'let' | 'const') binding ann? ('of' | 'in') expr | left ('of' | 'in') expr
@@ -112,7 +113,7 @@ function: 'async'? 'function' '*'? Id? tparams? '(' params ')' ann? (block | nob
 params: (param (',' param)* ','?)?
 param: deco* modifier* '...'? (binding | 'this') '?'? ann? ('=' assign)?
 deco: '@' left ';'?
-class: tsabstract? 'class' Id? tparams? ('extends' left)? impls? '{' member* '}'
+class: tsabstract? 'class' Id? tparams? ('extends' left targs?)? impls? '{' member* '}'
 member: ';' | deco* modifier* 'static' block | deco* (modifier | 'static')* method | deco* (modifier | 'static')* pname ('?' | '!')? ann? ('=' assign)? ';' | tsmember
 member: deco* (modifier | 'static')* pname ('?' | '!')? ann? ('=' assign)?
 method: ('async' | 'get' | 'set')? '*'? pname '?'? tparams? '(' params ')' ann? (block | nobody)
@@ -178,7 +179,7 @@ pipeline: ('!' | 'time')* command ('|' 'nl'* command)* | '!'
 command: simple | compound redirect* | 'w' '(' ')' 'nl'* compound redirect* | 'function' 'w' ('(' ')')? 'nl'* compound redirect*
 simple: part+
 part: word | redirect | 'w' '=(' (word | 'nl')* ')' | '=(' (word | 'nl')* ')'
-word: 'w' | '$(' 'nl'* list? ')'
+word: 'w' ('$(' 'nl'* list? ')')*
 redirect: 'redir' word
 compound: '{' 'nl'* list '}' | '(' 'nl'* list ')' | '((' | '[[' cond+ ']]'
 compound: 'if' 'nl'* list 'then' 'nl'* list ('elif' 'nl'* list 'then' 'nl'* list)* ('else' 'nl'* list)? 'fi'
