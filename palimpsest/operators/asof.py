@@ -17,9 +17,11 @@ events that have the same name as an attribute do not clash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import materialize
+
 
 def attribute_histories(
     versions: DataFrame, keys: list[str], attributes: list[str], valid_from: str, valid_until: str, known_at: str, tie: str
@@ -36,6 +38,12 @@ def attribute_histories(
     )
 
 
+#: An entity with more versions than this is matched by the merge, any other by the join.
+CROWDED = 64
+#: Time blocks of the merge.
+BLOCKS = 256
+
+
 def attributes_at_event(
     events: DataFrame,
     versions: DataFrame,
@@ -48,16 +56,39 @@ def attributes_at_event(
     valid_until: str = "valid_until_sequence",
     known_at: str = "accepted_at",
     tie: str = "version_id",
+    crowded: int = CROWDED,
 ) -> DataFrame:
-    """(event_id, one column per attribute): the values that held and were known at each event."""
+    """(event_id, one column per attribute): the values that held and were known at each event.
+
+    An event meets at most ``crowded`` versions in the join. Entities with more go through ``_merged``, which pairs
+    nothing.
+    """
+    k = [f"__k{i}" for i in range(len(keys))]
     asked = events.select(
         F.col(event_id).alias("__event"),
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        *[F.col(c).alias(n) for c, n in zip(keys, k)],
         F.col(sequence).alias("__seq"),
         F.col(known_by).alias("__by"),
     )
     history = attribute_histories(versions, keys, attributes, valid_from, valid_until, known_at, tie)
-    matched = asked.join(history, [f"__k{i}" for i in range(len(keys))]).where(
+    types = dict(versions.dtypes)
+    many = (
+        versions.groupBy(*[F.col(c).alias(n) for c, n in zip(keys, k)])
+        .agg(F.count("*").alias("n"))
+        .where((F.col("n") > crowded) & F.forall(F.array(*k), lambda x: x.isNotNull()))
+        .select(*k)
+    )
+    many = materialize(many, "crowded")
+    if many.isEmpty():
+        return _joined(asked, history, k, attributes, event_id, types)
+    few = _joined(asked.join(many, k, "left_anti"), history.join(many, k, "left_anti"), k, attributes, event_id, types)
+    return few.unionByName(
+        _merged(asked.join(many, k, "left_semi"), history.join(many, k, "left_semi"), k, attributes, event_id, types)
+    )
+
+
+def _joined(asked: DataFrame, history: DataFrame, k: list[str], attributes: list[str], event_id: str, types: dict) -> DataFrame:
+    matched = asked.join(history, k).where(
         (F.col("__from") <= F.col("__seq"))
         & (F.col("__until").isNull() | (F.col("__seq") < F.col("__until")))
         & (F.col("__known") <= F.col("__by"))
@@ -70,7 +101,6 @@ def attributes_at_event(
         ).alias(a)
         for a in attributes
     ]
-    types = dict(versions.dtypes)
     return (
         matched.groupBy("__event")
         .agg(*latest)
@@ -78,6 +108,60 @@ def attributes_at_event(
     )
 
 
+def _merged(asked: DataFrame, history: DataFrame, k: list[str], attributes: list[str], event_id: str, types: dict) -> DataFrame:
+    """The same by merging instead of pairing.
+
+    Validity is cut into the dyadic ranges of a binary tree over the sequences: a version lies in at most two
+    ranges per level, an event in one. Within a range only times matter: events and versions are sorted
+    together and each event takes the last version before it. Ranges are cut into time blocks, so that
+    no task sorts a whole hot range; the last version before a block comes from a running maximum over block
+    summaries.
+    """
+    asked = asked.where("__seq is not null and __by is not null").distinct()
+    history = history.where("__from is not null and __known is not null")
+    top = history.agg(F.max(F.greatest("__from", F.coalesce("__until", "__from")))).first()[0] or 0
+    top = max(top, asked.agg(F.max("__seq")).first()[0] or 0) + 1
+    levels = max(1, int(top).bit_length())
+    event_nodes = F.array(*[F.struct(F.lit(lv).alias("lv"), F.shiftright("__seq", lv).alias("nd")) for lv in range(levels)])
+    until = F.least(F.coalesce("__until", F.lit(top)), F.lit(top))
+    cover = []
+    for lv in range(levels):
+        left = F.shiftright(F.greatest("__from", F.lit(0)) + ((1 << lv) - 1), lv)
+        right = F.shiftright(until, lv)
+        node = lambda n: F.struct(F.lit(lv).alias("lv"), n.cast("bigint").alias("nd"))  # noqa: B023, E731
+        cover += [F.when((left < right) & (left % 2 == 1), node(left)), F.when((left < right) & (right % 2 == 1), node(right - 1))]
+    micros = lambda c: F.col(c).cast("timestamp_ntz")
+    e = asked.select(*k, "__event", F.explode(event_nodes).alias("n"), micros("__by").alias("t"), F.lit(1).alias("is_event"))
+    v = history.select(*k, "__tie", "__cell", F.explode(F.array_compact(F.array(*cover))).alias("n"), micros("__known").alias("t"), F.lit(0).alias("is_event"))
+    # An event asks each attribute's history by itself.
+    names = F.explode(F.array(*[F.lit(a) for a in attributes])).alias("attribute")
+    e = e.select(*k, "n.lv", "n.nd", names, "t", "is_event", "__event")
+    v = v.select(*k, "n.lv", "n.nd", F.col("__cell.attribute").alias("attribute"), "t", "is_event", F.struct("t", "__tie", "__cell.value").alias("ver"))
+    cuts = v.select(F.unix_micros(F.col("t").cast("timestamp")).alias("m")).approxQuantile("m", [i / BLOCKS for i in range(1, BLOCKS)], 1e-3)
+    bounds = sorted({int(c) for c in cuts})
+    if bounds:
+        edges = F.array(*[F.lit(b) for b in bounds])
+        block = F.size(F.filter(edges, lambda b: b <= F.unix_micros(F.col("t").cast("timestamp"))))
+    else:
+        block = F.lit(0)
+    e, v = e.withColumn("block", block), v.withColumn("block", block)
+    group = [*k, "lv", "nd", "attribute"]
+    # One row per block of a range that has events or versions; its carry is the last version of the blocks before.
+    summary = v.select(*group, "block", "ver").unionByName(e.select(*group, "block").distinct(), allowMissingColumns=True)
+    before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.groupBy(*group, "block").agg(F.max("ver").alias("ver")).select(*group, "block", F.max("ver").over(before).alias("carry"))
+    inside = Window.partitionBy(*group, "block").orderBy("t", "is_event").rowsBetween(Window.unboundedPreceding, 0)
+    both = e.unionByName(v, allowMissingColumns=True)
+    seen = both.withColumn("here", F.max("ver").over(inside)).where("is_event = 1").join(carried, [*group, "block"], "left")
+    best = seen.groupBy("__event").agg(
+        *[F.max(F.when(F.col("attribute") == a, F.greatest("here", "carry"))).alias(a) for a in attributes]
+    )
+    found = F.coalesce(*[F.col(a) for a in attributes]).isNotNull()
+    return best.where(found).select(
+        F.col("__event").alias(event_id), *[F.col(f"{a}.value").cast(types[a]).alias(a) for a in attributes]
+    )
+
+
 def premise_attributes(
     premises: DataFrame, generations: DataFrame, edge_versions: DataFrame, attributes: list[str]
 ) -> DataFrame:

@@ -87,6 +87,10 @@ def test_attributes_at_event_equals_brute_force(spark):
             want[p] = (best[3], best[4])
     assert {r.premise_id: (r.version_id, r.color) for r in got.collect()} == want
     assert got.count() == len(want)
+    # The same where all entities, or some, count as crowded.
+    for crowded in (0, 13):
+        merged = asof.attributes_at_event(e, v, ["repository_id", "worktree_id", "edge_id"], "premise_id", "seq", "drawn_at", ["version_id", "color"], crowded=crowded)
+        assert sorted(((r.premise_id, r.version_id, r.color) for r in merged.collect()), key=str) == sorted(((p, *x) for p, x in want.items()), key=str)
 
 
 def tables(spark, nodes, edges, files=(), provenance=()):
