@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.session import materialize
+
 #: Common words of each language, the seed of its model.
 SEED_WORDS = {
     "en": "the of and to in that is was for it with as on be by this are from at or which not have",
@@ -59,6 +61,8 @@ LABEL_TRUST, PATH_TRUST = 0.85, 0.9
 #: Posterior that a sentence needs to make a document multilingual.
 CONFIDENT = 0.95
 SMOOTHING = 20.0
+#: Rows of host counts (about 350 bytes each) up to which they are broadcast.
+BROADCAST_HOSTS = 50_000
 #: Characters scored at a time: the bound of the scoring matrix.
 SLICE = 100_000
 
@@ -307,7 +311,9 @@ def assign(
     shared = spark.sparkContext.broadcast((model, known))
     d = documents.select("doc_id", "text", "lang", "source", "repository_id", "path").where(F.col("text").isNotNull())
     d = d.withColumn("label", _label_index(F.col("lang"), known, languages))
-    hosts = host_counts(d.select("label", "source", "repository_id"), len(languages))
+    hosts = materialize(host_counts(d.select("label", "source", "repository_id"), len(languages)), "hosts")
+    if hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+        hosts = F.broadcast(hosts)  # else a join that shuffles the texts once
     d = d.join(hosts, F.col("repository_id").eqNullSafe(F.col("h")) & F.col("source").eqNullSafe(F.col("hs")), "left").select(
         "doc_id", "text", "lang", "n", "n_source", "n_all", "label", _path_index(F.col("path"), languages).alias("suffix")
     )

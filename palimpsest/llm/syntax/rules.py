@@ -104,7 +104,8 @@ forhead: (variables | expr)? ';' expr? ';' expr? | ('var' | 'let' | 'const') bin
 try: 'try' block ('catch' ('(' binding ann? ')')? block)? ('finally' block)?
 switch: 'switch' '(' expr ')' '{' (('case' expr | 'default') ':' full* bare?)* '}'
 declared: function | deco* class | 'export' deco* (function | class) | 'export' 'default' (function | class) | tsdeclared
-variables: ('var' | 'let' | 'const') variable (',' variable)*
+variables: ('var' | 'let') variable (',' variable)* | 'const' constant (',' constant)*
+constant: binding ann? '=' assign
 variable: binding '!'? ann? ('=' assign)?
 binding: Id | '{' (bprop (',' bprop)* ','?)? '}' | '[' ','* (bitem (','+ bitem)* ','*)? ']'
 bprop: Id ('=' assign)? | pname ':' binding ('=' assign)? | '...' binding
@@ -165,7 +166,7 @@ tmember: ('-' | '+')? 'readonly'? '[' Id (':' type | 'in' type ('as' type)?) ']'
 tsdeclared: 'export'? 'default'? 'declare'? ('interface' Id tparams? ('extends' type (',' type)*)? '{' members '}' | 'const'? 'enum' Id '{' (eitem (',' eitem)* ','?)? '}')
 tsdeclared: 'export'? 'declare'? ('namespace' | 'module') (Id ('.' Name)* | 'str') block | 'export'? 'declare' (function | class) | 'declare' 'id' block
 eitem: pname ('=' assign)?
-tsbare: 'export'? 'declare'? 'type' Id tparams? '=' type | 'export'? 'declare' variables | 'import' Id '=' expr
+tsbare: 'export'? 'declare'? 'type' Id tparams? '=' type | 'export'? 'declare' ('var' | 'let' | 'const') variable (',' variable)* | 'import' Id '=' expr
 tsexport: 'export' '=' expr | 'export' 'as' 'namespace' Id
 """
 

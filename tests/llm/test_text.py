@@ -43,7 +43,7 @@ GOOD = {
 BAD = {
     "rs": ["fn f( {", "pub fn", "struct S {", "let x = 1;", "function f(a) {}", "<<<<<<< HEAD\nfn a() {}\n=======\n>>>>>>> x\n", "fn f() { a b }", "use a::;", "/* open", "const X: &str = \"open", "import json\n", "fn f() ]"],
     "ts": ["const x: = 1;", "interface I { a: string", "type = ;", "def f(x):\n    pass\n", "<!DOCTYPE html>\n<html></html>", "pub fn a() {}", "const t = `open ${a"],
-    "js": ["const x: number = 1;", "interface I { a: string }", "function (", "const a = {", "class A { b( }", "a b", "<<<<<<< ours\n=======\n>>>>>>> theirs\n", "if (a {", "return 1 +", "'open"],
+    "js": ["const x: number = 1;", "interface I { a: string }", "function (", "const a = {", "class A { b( }", "a b", "<<<<<<< ours\n=======\n>>>>>>> theirs\n", "if (a {", "return 1 +", "'open", "const a;"],
     "py": ["def f(:\n    pass\n", "if a:\nb\n", "  x = 1\n", "x = = 1\n", "def f():\n", "x = (1,\n", "'open\n", "a b\n", "<<<<<<< x\na\n=======\n>>>>>>> y\n", "fn f() {}\n", "1abc = 2\n"],
     "sh": ["if true; then\n", "case x in\n a) b ;;\n", "f() {\n echo\n", "echo \"open\n", "for i in a; do\n", "done\n", "pub enum X {\n    A(u32),\n}\n", "def f(x):\n", "<<<<<<< a\n>>>>>>> b\n", "x=$(ls\n", "a && \n", ")"],
 }
