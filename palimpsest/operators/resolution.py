@@ -141,7 +141,8 @@ def normal_link(source: Column, link: Column) -> Column:
     local = ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:|^//|^#")
     folder = F.regexp_replace(source, r"[^/]*$", "")
     whole = F.when(path.startswith("/"), F.substring(path, 2, 100_000)).otherwise(F.concat(folder, path))
-    step = lambda acc, x: F.when((x == "") | (x == "."), acc).when(
+    # A step above the root leaves a mark that stays.
+    step = lambda acc, x: F.when((x == "") | (x == ".") | F.array_contains(acc, F.lit("\0")), acc).when(
         x == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array(F.lit("\0")))
     ).otherwise(F.concat(acc, F.array(x)))
     folded = F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), step)

@@ -94,6 +94,11 @@ class Tables:
         return degree.groupBy(*PLACE).agg(F.min(F.struct((-F.col("n")).alias("o"), "node_id")).alias("m")).select(*PLACE, "m.node_id")
 
 
+def _wide(df: DataFrame, *columns: str) -> DataFrame:
+    """Row numbers and lines as bigint, as SQL has them."""
+    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
+
+
 # --- Scans, sources, sinks --------------------------------------------------------------------------------------
 
 
@@ -383,7 +388,7 @@ def _eav_sql() -> str:
 @query("a03_attribute_feed", _eav_sql())
 def a03(spark, d):
     t = Tables(spark, d)
-    return history.attributes({name: t.raw(name) for _, name, _ in history.FAMILIES})
+    return _wide(history.attributes({name: t.raw(name) for _, name, _ in history.FAMILIES}), "ordinal")
 
 
 @query("a04_staging_identity", "select count(*) as \"rows\", count(distinct repository_id) repositories, count(distinct worktree_id) worktrees, min(valid_from_sequence) first_sequence, max(valid_from_sequence) last_sequence from facts")
@@ -441,7 +446,7 @@ def w01(spark, d):
 
 @query("w02_chain_place", f"select {PL}, generation, generation_sequence, row_number() over (partition by {PL} order by generation_sequence) place from g")
 def w02(spark, d):
-    return history.chain(Tables(spark, d).raw("generations")).select(*PLACE, "generation", "generation_sequence", "place")
+    return _wide(history.chain(Tables(spark, d).raw("generations")).select(*PLACE, "generation", "generation_sequence", "place"), "place")
 
 
 @query("w04_accepted_through", f"select {PL}, generation, generation_sequence, case when min((nanos is not null)::int) over w = 1 then max(nanos) over w end through from g window w as (partition by {PL} order by generation_sequence)")
@@ -460,7 +465,7 @@ def _ranked(t: Tables) -> DataFrame:
 def w05(spark, d):
     t = Tables(spark, d)
     rows = _ranked(t).join(t.nodes.select(*PLACE, "node_id", "owner_file").distinct(), [*PLACE, "node_id"])
-    return lexical.first_per_file(rows, 10).select(*PLACE, "node_id", "owner_file", "score", "rank")
+    return _wide(lexical.first_per_file(rows, 10).select(*PLACE, "node_id", "owner_file", "score", "rank"), "rank")
 
 
 _LINES = "with l as (select doc_id, unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) txt, generate_subscripts(regexp_split_to_array(text, '\\r\\n|\\r|\\n'), 1) - 1 line from documents where text is not null), "
@@ -470,7 +475,8 @@ _HEADS = _LINES + "m as (select *, regexp_matches(txt, '^\\s*(```|~~~)') fence f
 @query("w07_duplicate_ordinals", _HEADS + " select doc_id, line, title, row_number() over (partition by doc_id, title order by line) - 1 ordinal from h where level > 0", base=False)
 def w07(spark, d):
     h = resolution.document_lines(table(spark, d, "documents")).where("level > 0")
-    return h.select("doc_id", "line", "title", (F.row_number().over(Window.partitionBy("doc_id", "title").orderBy("line")) - 1).alias("ordinal"))
+    ordinal = F.row_number().over(Window.partitionBy("doc_id", "title").orderBy("line")) - 1
+    return _wide(h.select("doc_id", "line", "title", ordinal.alias("ordinal")), "line", "ordinal")
 
 
 @query("w08_line_windows", _LINES + "s as (select doc_id, line, (contains(lower(txt), 'cursor'))::int c, (contains(lower(txt), 'index'))::int i, (contains(lower(txt), 'node'))::int n from l), w as (select doc_id, line, (max(c) over x + max(i) over x + max(n) over x)::bigint score from s window x as (partition by doc_id order by line rows between 5 preceding and current row)) select * from w where score > 0", base=False)
@@ -479,7 +485,7 @@ def w08(spark, d):
     mask = lambda term, bit: F.when(F.contains(F.lower("text"), F.lit(term)), bit).otherwise(0)
     frame = Window.partitionBy("doc_id").orderBy("line").rowsBetween(-5, 0)
     masks = lines.withColumn("m", mask("cursor", 1).bitwiseOR(mask("index", 2)).bitwiseOR(mask("node", 4)))
-    return masks.select("doc_id", "line", F.bit_count(F.bit_or("m").over(frame)).cast("bigint").alias("score")).where("score > 0")
+    return _wide(masks, "line").select("doc_id", "line", F.bit_count(F.bit_or("m").over(frame)).cast("bigint").alias("score")).where("score > 0")
 
 
 # --- Top-k and pages ------------------------------------------------------------------------------------------------
@@ -506,7 +512,7 @@ def l06(spark, d):
 
 @query("l08_top_candidates", _INDEX_SQL + f" select {PL}, node_id, score, rank from (select *, row_number() over (partition by {PL} order by score desc, node_id) rank from rk) where rank <= 20")
 def l08(spark, d):
-    return lexical.top(_ranked(Tables(spark, d)), 20).select(*PLACE, "node_id", "score", "rank")
+    return _wide(lexical.top(_ranked(Tables(spark, d)), 20).select(*PLACE, "node_id", "score", "rank"), "rank")
 
 
 # --- Set operations -------------------------------------------------------------------------------------------------
@@ -560,7 +566,7 @@ def t03(spark, d):
 @query("t04_node_history", f"select {PL}, node_id, version_id, valid_from_sequence, valid_until_sequence, row_number() over (partition by {PL}, node_id order by valid_from_sequence, version_id) version from nv")
 def t04(spark, d):
     by = Window.partitionBy(*PLACE, "node_id").orderBy("valid_from_sequence", "version_id")
-    return Tables(spark, d)["node_versions"].select(*PLACE, "node_id", "version_id", "valid_from_sequence", "valid_until_sequence", F.row_number().over(by).alias("version"))
+    return Tables(spark, d)["node_versions"].select(*PLACE, "node_id", "version_id", "valid_from_sequence", "valid_until_sequence", F.row_number().over(by).cast("bigint").alias("version"))
 
 
 @query("t06_history_as_of", f"select {FA}, valid_from_sequence, case when valid_until_sequence <= {AT} then valid_until_sequence end valid_until_sequence from facts where valid_from_sequence <= {AT}")
@@ -888,12 +894,12 @@ def r06(spark, d):
 
 @query("r08_sections", _HEADS + ", s as (select doc_id, line, level, title, regexp_replace(regexp_replace(lower(trim(title)), '[^\\p{L}\\p{N}_\\- ]', '', 'g'), ' ', '-', 'g') anchor from h where level > 0) select a.doc_id, a.line, a.level, a.title, a.anchor, row_number() over (partition by a.doc_id, a.anchor order by a.line) - 1 \"duplicate\", (select max(b.line) from s b where b.doc_id = a.doc_id and b.line < a.line and b.level < a.level) parent_line from s a", base=False)
 def r08(spark, d):
-    return resolution.sections(table(spark, d, "documents"))
+    return _wide(resolution.sections(table(spark, d, "documents")), "line", "level", "duplicate", "parent_line")
 
 
 @query("r09_paragraphs", _LINES + "b as (select *, not regexp_matches(txt, '\\S') blank from l), q as (select *, sum(blank::int) over (partition by doc_id order by line) run from b), p as (select doc_id, run, min(line) first_line, max(line) last_line from q where not blank group by 1, 2) select doc_id, row_number() over (partition by doc_id order by first_line) - 1 paragraph, first_line, last_line from p", base=False)
 def r09(spark, d):
-    return resolution.paragraphs(table(spark, d, "documents"))
+    return _wide(resolution.paragraphs(table(spark, d, "documents")), "paragraph", "first_line", "last_line")
 
 
 # --- Integrity and materialization ------------------------------------------------------------------------------------------
