@@ -15,7 +15,7 @@ unknown has no limit and stays whole; null elements of a context count nothing a
 if a context leaves less than a quarter of ``max_bytes`` for the text, the outermost elements are
 left out of the pieces until a quarter is free; a stretch without any boundary is cut between
 characters, never inside one; nulls in overlap_bytes count as 0; extra columns are dropped.
-Profiles whose max_bytes is under 512 are an error, since a piece could not hold a word.
+A repeated doc_id is one document and a null one is none. Profiles whose max_bytes is under 512 are an error, since a piece could not hold a word.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from palimpsest.llm.documents import unique_documents
 from palimpsest.session import discard, materialize
 
 #: A natural boundary is the end of a line or of a sentence.
@@ -33,6 +34,9 @@ WORD = r"(?<=[\s])"
 #: A run of characters that is cut for want of white space; marks stay with their letter.
 RUN = r"(?s).{1,16}\p{M}{0,8}"
 
+#: A quarter of it must hold a run.
+LEAST_BYTES = 512
+
 PARAGRAPH, LINE, SENTENCE, INNER = 3, 2, 1, 0
 
 
@@ -56,6 +60,8 @@ def _kept_context(context: Column, most: Column) -> Column:
 
 def sized(documents: DataFrame, profiles: DataFrame) -> DataFrame:
     """(doc_id, text, kept, room, overlap, oversized): what a piece of each document may hold."""
+    if not profiles.where(F.col("max_bytes") < LEAST_BYTES).isEmpty():
+        raise ValueError(f"max_bytes must be at least {LEAST_BYTES}")
     # Profiles are a fixed handful of rows, so they are broadcast.
     limits = F.broadcast(
         profiles.groupBy("profile").agg(
@@ -192,7 +198,7 @@ def _slices(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
 
 def split_documents(documents: DataFrame, profiles: DataFrame) -> DataFrame:
     """(doc_id, piece, pieces, start_byte, text, context, oversized): every piece of every document, from 0."""
-    items = sized(documents, profiles)
+    items = sized(unique_documents(documents), profiles)
     whole = items.where(~F.col("oversized") | (F.octet_length("text") == 0)).select(
         "doc_id",
         F.lit(0).alias("piece"),

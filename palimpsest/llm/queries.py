@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import bpe, chunking, language, mixing
+from palimpsest.llm.documents import unique_documents
 from palimpsest.llm.syntax import check
 from palimpsest.sources.tables import table
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unique_documents(table(spark, sf_dir, "documents"))
+
+
 def p1_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check.diagnostics(table(spark, sf_dir, "file_versions"))
 
@@ -30,19 +35,19 @@ def p2_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(table(spark, sf_dir, "documents"))
+    return bpe.encode_documents(_documents(spark, sf_dir))
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.mixed(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mixing.shares(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
 def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.assign(table(spark, sf_dir, "documents"))
+    return language.assign(_documents(spark, sf_dir))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,7 +104,8 @@ def test_chunks_cover_fit_and_overlap(spark):
     docs += [(100, None, ["c"], "small", "", ""), (101, "", [], "small", "", ""), (102, "", ["c" * 700], "small", "", ""), (103, "q" * 5000, None, "small", "", ""), (104, "a b " * 500, None, "gone", "", ""), (105, "a b " * 500, None, None, "", ""), (106, "x", ["c" * 599], "small", "", ""), (107, "x", ["c" * 600, None], "small", "", "")]
     profiles = spark.createDataFrame(PROFILES * 2, "profile string, max_bytes int, overlap_bytes int")
     got = {}
-    for r in chunking.split_documents(spark.createDataFrame(docs, DOCS), profiles).collect():
+    rows = docs + docs[:30] + docs[-3:] + [(None, "x" * 2000, None, "small", "", "")] * 2
+    for r in chunking.split_documents(spark.createDataFrame(rows, DOCS), profiles).collect():
         got.setdefault(r.doc_id, []).append(r)
     assert set(got) == {d[0] for d in docs if d[1] is not None}
     limit = {p: (m, o or 0) for p, m, o in PROFILES}
@@ -125,6 +126,8 @@ def test_chunks_cover_fit_and_overlap(spark):
             end = r.start_byte + len(piece)
         assert end == len(raw)
     assert chunking.split_documents(spark.createDataFrame([], DOCS), profiles).count() == 0
+    with pytest.raises(ValueError):
+        chunking.split_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("p", 100, 1)], "profile string, max_bytes int, overlap_bytes int"))
 
 
 def test_cuts_prefer_paragraphs(spark):
