@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from palimpsest.llm.documents import spread
+
 _NONE = 1 << 62
 
 
@@ -117,7 +119,7 @@ def default_vocabulary() -> tuple[str, str]:
 
 
 def encode_documents(documents: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, ids) of every document. The vocabulary (about 1 MB, fixed) is broadcast; there is no shuffle."""
+    """(doc_id, ids) of every document. The vocabulary (about 1 MB, fixed) is broadcast; there is no shuffle but of small inputs."""
     if path is None:
         path, pattern = default_vocabulary()
     shared = documents.sparkSession.sparkContext.broadcast((read_ranks(path), pattern))
@@ -131,4 +133,4 @@ def encode_documents(documents: DataFrame, path: str | None = None, pattern: str
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"]
             )
 
-    return documents.select("doc_id", "text").mapInArrow(encode, f"doc_id {key.dataType.simpleString()}, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(encode, f"doc_id {key.dataType.simpleString()}, ids array<int>")

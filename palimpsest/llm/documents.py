@@ -19,3 +19,18 @@ def unique_documents(documents: DataFrame) -> DataFrame:
         return known
     once = known.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.join(repeated, "doc_id", "left_anti").unionByName(once)
+
+
+#: Bytes that a Python task should have at least before its input is left as it is read.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores where the planner's size estimate says that they would make too few tasks.
+
+    A small table comes in one split, or is coalesced to one, though Python work on it is long. Larger inputs stay as
+    they are split, without a shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return rows.repartition(cores) if size < cores * SPREAD_BYTES else rows

@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.documents import spread
 from palimpsest.session import materialize
 
 #: Common words of each language, the seed of its model.
@@ -247,7 +248,7 @@ def _counted(rows: DataFrame, languages: list[str], model=None) -> np.ndarray:
                 [pa.array(list(cells), pa.int64()), pa.array(list(cells.values()), pa.int64())], names=["cell", "n"]
             )
 
-    got = rows.select("text", "label").mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
+    got = spread(rows.select("text", "label")).mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
     out = np.zeros((BUCKETS, len(languages)))
     table = got.toArrow()
     cells = table.column("cell").to_numpy()
@@ -324,7 +325,7 @@ def assign(
         for batch in batches:
             yield _verdicts(batch, m, names, languages)
 
-    return d.mapInArrow(verdicts, SEGMENTS.format(kind))
+    return spread(d).mapInArrow(verdicts, SEGMENTS.format(kind))
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.bpe import default_vocabulary, read_ranks
+from palimpsest.llm.documents import spread
 from palimpsest.session import materialize
 
 
@@ -50,7 +51,7 @@ def token_counts(documents: DataFrame, path: str | None = None, pattern: str | N
             held.append(encoder())
         return pd.Series([len(held[0].encode_ordinary(t)) if t else 0 for t in texts])
 
-    return documents.select("doc_id", "source", count("text").alias("tokens"))
+    return spread(documents.select("doc_id", "source", "text")).select("doc_id", "source", count("text").alias("tokens"))
 
 
 def tempered(available: dict[str, int], targets: dict[str, float], x: float) -> dict[str, float]:

@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.llm.documents import spread
 from palimpsest.llm.syntax import rules
 from palimpsest.llm.syntax.lexers import lex
 from palimpsest.session import materialize
@@ -146,14 +147,14 @@ def bad_statements(found: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     all_ = statements(found)
-    bad = all_.select("lang", "shape").distinct().mapInArrow(judged, "lang string, shape string")
+    bad = spread(all_.select("lang", "shape").distinct()).mapInArrow(judged, "lang string, shape string")
     return all_.join(bad, ["lang", "shape"], "left_semi").select(*KEY, "pos", F.lit("no statement has this form").alias("message"))
 
 
 def failing_contents(files: DataFrame) -> DataFrame:
     """(lang, content, pos, message): the first problem of each content that does not parse."""
     contents = keyed(files).select(*KEY, "text").dropDuplicates(KEY)
-    found = materialize(tokens(contents), "tokens")
+    found = materialize(tokens(spread(contents)), "tokens")
     problems = bad_pairs(found).unionByName(bad_nesting(found)).unionByName(bad_statements(found))
     return problems.groupBy(*KEY).agg(F.min(F.struct("pos", "message")).alias("p")).select(*KEY, "p.pos", "p.message")
 
