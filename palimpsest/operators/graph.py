@@ -7,6 +7,7 @@ is collected.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,19 +143,71 @@ def simple_paths(edges: DataFrame, relation: str, max_depth: int) -> DataFrame:
     return out if out is not None else level
 
 
-def cyclic_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+#: Edges, counted, up to which components are found by one depth-first pass per place.
+LOCAL_EDGES = 1_000_000
+
+
+def _components_of(rows: pd.DataFrame) -> pd.DataFrame:
+    """Strongly connected components with two members or more of one place's edges s -> t (iterative Tarjan)."""
+    names = sorted(set(rows["s"]) | set(rows["t"]))
+    number = {n: i for i, n in enumerate(names)}
+    after: list[list[int]] = [[] for _ in names]
+    for s, t in zip(rows["s"].map(number), rows["t"].map(number)):
+        after[s].append(t)
+    index, low, on, stack, out, count = [-1] * len(names), [0] * len(names), [False] * len(names), [], [], 0
+    for root in range(len(names)):
+        if index[root] >= 0:
+            continue
+        work = [(root, 0)]
+        while work:
+            v, i = work.pop()
+            if i == 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+                on[v] = True
+            else:
+                low[v] = min(low[v], low[after[v][i - 1]])
+            for j in range(i, len(after[v])):
+                w = after[v][j]
+                if index[w] < 0:
+                    work += [(v, j + 1), (w, 0)]
+                    break
+                if on[w]:
+                    low[v] = min(low[v], index[w])
+            else:
+                if low[v] == index[v]:
+                    members = []
+                    while True:
+                        w = stack.pop()
+                        on[w] = False
+                        members.append(w)
+                        if w == v:
+                            break
+                    if len(members) > 1:
+                        out += [(names[w], names[min(members)]) for w in members]
+    place = [rows[c].iloc[0] for c in PLACE]
+    return pd.DataFrame([(*place, n, c) for n, c in out], columns=[*PLACE, "node_id", "component"])
+
+
+def cyclic_components(edges: DataFrame, max_rounds: int = 10_000, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(place, node_id, component): members of strongly connected components with two members or a loop.
 
     Each round first trims nodes without an edge in or without one out, until none is left, since they lie on no
     cycle. Then every node takes the least id that reaches it (forward colours), and within a colour
     those that reach its root backwards form the root's component. Components are put aside and the
-    rest goes on.
+    rest goes on. Once at most ``local_edges`` edges are left, a counted bound, each place's rest is finished by one
+    depth-first pass.
     """
-    spark = edges.sparkSession
     loops = edges.where("source = target").select(*PLACE, F.col("source").alias("node_id")).distinct().withColumn("component", F.col("node_id"))
     rest = materialize(edges.where("source <> target").select(*PLACE, F.col("source").alias("s"), F.col("target").alias("t")).distinct(), "scc")
     done = None
     for _ in range(max_rounds):
+        if rest.count() <= local_edges:
+            found = rest.groupBy(*PLACE).applyInPandas(_components_of, "repository_id string, worktree_id string, node_id string, component string")
+            found = materialize(found, "components")
+            done = found if done is None else done.unionByName(found)
+            break
         while True:
             sources, targets = rest.select(*PLACE, F.col("s").alias("t")).distinct(), rest.select(*PLACE, F.col("t").alias("s")).distinct()
             kept = materialize(rest.join(targets, [*PLACE, "s"], "left_semi").join(sources, [*PLACE, "t"], "left_semi").select(*PLACE, "s", "t"), "scc")

@@ -41,5 +41,15 @@ def test_query_equals_sql(spark, con, name):
     assert rows(df.collect(), df.columns) == rows(cur.fetchall(), columns)
 
 
+def test_core_stands_without_text_operators(monkeypatch):
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("palimpsest.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "palimpsest.llm", None)
+    left = entry.queries()
+    assert "p3_found" in left and not any(n.startswith(("p1_", "p2_", "p8_", "p9_", "p10_")) for n in left)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
