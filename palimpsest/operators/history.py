@@ -228,6 +228,22 @@ def attributes(tables: dict[str, DataFrame]) -> DataFrame:
     return out.distinct().withColumn("ordinal", F.row_number().over(by) - 1).withColumn("schema_version", F.lit(2))
 
 
+def feed_changes(feed: DataFrame) -> DataFrame:
+    """The rows of ``attributes`` by the sequence (as_of_sequence) at which a synchronization has to write them.
+
+    A row is written where it begins, its end unknown if it is still to come, and again where it ends. Rows of one version
+    and attribute are numbered together, so all that are known then are written where any of them begins or ends.
+    """
+    group = [*FACT, "valid_from_sequence", "attribute", "value_kind", "schema_version"]
+    begun, until = F.col("valid_from_sequence"), lambda r: r["valid_until_sequence"]
+    rows = feed.groupBy(*group).agg(F.collect_set(F.struct("value_text", "value_uint64", "valid_until_sequence")).alias("rows"))
+    ends = F.transform("rows", lambda r: F.greatest(begun, until(r)))  # greatest passes over nulls
+    events = rows.withColumn("as_of_sequence", F.explode(F.array_distinct(F.concat(F.array(begun), ends))))
+    as_known = F.transform("rows", lambda r: r.withField("valid_until_sequence", F.when(until(r) <= F.col("as_of_sequence"), until(r))))
+    known = F.array_sort(F.array_distinct(as_known))
+    return events.select(*group, "as_of_sequence", F.posexplode(known).alias("ordinal", "r")).select(*group, "as_of_sequence", "ordinal", "r.*")
+
+
 def fact_counts(versions: DataFrame, generations: DataFrame, limit: int | None = None) -> DataFrame:
     """Distinct facts by the generation in which they begin; with a ``limit`` (1 to 4096) the first in order of sequence."""
     ids = chain(generations).select(*PLACE, "generation", F.col("generation_sequence").alias("valid_from_sequence"))

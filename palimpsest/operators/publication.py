@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.session import materialize
+from palimpsest.session import file_system, materialize, scratch_path
 
 PLACE = ["repository_id", "worktree_id"]
 
@@ -126,16 +126,29 @@ class Materializer:
 
     def synchronize(self, changes: DataFrame, sequence: int) -> bool:
         """Commit the changed feed rows of ``sequence``. False if it was committed before."""
-        at = self.watermark()
+        done = self.runs.commits()
+        at = int(done[-1]["watermark"]) if done else 0
         if sequence == at:
             return False
         if sequence != at + 1:
             raise ValueError(f"sequence {sequence} does not follow {at}")
         rows = changes.withColumn("as_of_sequence", F.lit(sequence).cast("bigint"))
-        done = self.runs.commits()
         ticket = {"run": done[-1]["run"] + 1 if done else 1, "low": str(at), "watermark": str(sequence)}
         return self.runs.commit(rows, ticket)
 
+    def catch_up(self, changes: DataFrame) -> int:
+        """Synchronize each sequence of ``changes`` (``history.feed_changes``) past the watermark, in order. The watermark reached."""
+        at, path = self.watermark(), scratch_path(self.spark, "changes")
+        # Laid out by sequence once, so that a step reads its own rows only.
+        changes.where(F.col("as_of_sequence") > at).hint("rebalance", "as_of_sequence").write.partitionBy("as_of_sequence").parquet(path)
+        found = self.spark.read.schema(changes.schema).parquet(path)
+        last = found.agg(F.max("as_of_sequence")).first()[0] or at
+        for sequence in range(at + 1, last + 1):
+            self.synchronize(found.where(F.col("as_of_sequence") == sequence), sequence)
+        fs, where = file_system(self.spark, path)
+        fs.delete(where, True)
+        return self.watermark()
+
     def view(self) -> DataFrame | None:
         """The feed as of the watermark."""
         rows = self.runs.output()
