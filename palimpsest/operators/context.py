@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import lexical_family
+from palimpsest.functions.text import REFERENCE, lexical_family
 from palimpsest.operators.graph import reach
 from palimpsest.operators.lexical import pack
 
@@ -18,6 +18,9 @@ PLACE = ["repository_id", "worktree_id"]
 #: Candidate kinds in the order of packing.
 KINDS = ["source_evidence", "signature", "graph_path", "summary"]
 FAMILY_ORDER = ["Code", "Documentation", "Reference", "Other"]
+#: Sources of other kinds are local and come first, then mere occurrences, then whole containers.
+OCCURRENCES = [*REFERENCE, "ModuleResolutionDiagnostic"]
+CONTAINERS = ["File", "Module", "Script", "Document"]
 
 
 def query_terms(text: str, least: int = 2, most: int = 16) -> list[str]:
@@ -59,10 +62,20 @@ def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return reach(edges, seeds, hops, "both")
 
 
+def section_relevance(near: DataFrame, edges: DataFrame) -> DataFrame:
+    """``near`` with the relevance of a Section raised to the greatest of the DocumentChunks in ``near`` that it directly contains."""
+    chunks = near.where("kind = 'DocumentChunk'").select(*PLACE, F.col("node_id").alias("target"), F.col("relevance").alias("inherited"))
+    contains = edges.where("relation = 'Contains'").select(*PLACE, F.col("source").alias("node_id"), "target")
+    best = contains.join(chunks, [*PLACE, "target"]).groupBy(*PLACE, "node_id").agg(F.max("inherited").alias("inherited"))
+    raised = F.when(F.col("kind") == "Section", F.greatest("relevance", "inherited")).otherwise(F.col("relevance"))
+    return near.join(best, [*PLACE, "node_id"], "left").withColumn("relevance", raised).drop("inherited")
+
+
 def candidates(seeds: DataFrame, expanded: DataFrame, nodes: DataFrame, edges: DataFrame, texts: DataFrame, most: int = 256) -> DataFrame:
     """(place, kind, key, text, node_ids, relevance, distance, position): at most ``most`` per place, in packing order.
 
-    texts: (place, file_id, text) of current files. Kinds come in KINDS order, then relevance, distance and key.
+    texts: (place, file_id, text) of current files. Kinds come in KINDS order, then relevance, distance, granularity and key.
+    A section counts as relevant as the most relevant chunk in it.
     """
     n = nodes.groupBy(*PLACE, "node_id").agg(F.min(F.struct("kind", "name", "owner_file")).alias("n"))
     near = (
@@ -70,28 +83,30 @@ def candidates(seeds: DataFrame, expanded: DataFrame, nodes: DataFrame, edges: D
         .join(n, [*PLACE, "node_id"])
         .select(*PLACE, "node_id", "depth", F.coalesce("relevance", F.lit(0)).alias("relevance"), "n.*")
     )
+    near = section_relevance(near, edges)
 
-    def shaped(rows: DataFrame, kind: int, key: Column, text: Column) -> DataFrame:
+    def shaped(rows: DataFrame, kind: int, key: Column, text: Column, granularity: Column | None = None) -> DataFrame:
         return rows.select(
-            *PLACE, F.lit(kind).alias("order"), key.alias("key"), text.alias("text"), F.array("node_id").alias("node_ids"),
+            *PLACE, F.lit(kind).alias("order"), (F.lit(0) if granularity is None else granularity).alias("granularity"), key.alias("key"), text.alias("text"), F.array("node_id").alias("node_ids"),
             F.col("relevance").cast("bigint").alias("relevance"), F.col("depth").cast("bigint").alias("distance"),
         )
 
     source = near.join(texts.withColumnRenamed("file_id", "owner_file"), [*PLACE, "owner_file"])
+    coarse = F.when(F.col("kind").isin(OCCURRENCES), 1).when(F.col("kind").isin(CONTAINERS), 2).otherwise(0)
     signature = F.concat_ws(" ", "kind", F.coalesce("name", F.lit("")))
     ends = edges.groupBy(*PLACE, F.col("source").alias("node_id"), "target").agg(F.min("relation").alias("relation"), F.min("edge_id").alias("edge_id"))
     path = ends.join(near, [*PLACE, "node_id"]).join(expanded.select(*PLACE, F.col("node_id").alias("target")), [*PLACE, "target"], "left_semi")
     totals = near.groupBy(*PLACE).agg(F.count("*").alias("nodes"), F.min("node_id").alias("node_id"), F.max("relevance").alias("relevance"), F.lit(0).alias("depth"))
     all_ = (
-        shaped(source, 0, F.col("node_id"), F.col("text"))
+        shaped(source, 0, F.col("node_id"), F.col("text"), coarse)
         .unionByName(shaped(near, 1, F.col("node_id"), signature))
         .unionByName(shaped(path, 2, F.col("edge_id"), F.concat_ws(" ", "node_id", "relation", "target")))
         .unionByName(shaped(totals, 3, F.lit("total"), F.concat(F.col("nodes").cast("string"), F.lit(" nodes"))))
     )
-    by = Window.partitionBy(*PLACE).orderBy("order", F.desc("relevance"), "distance", "key")
+    by = Window.partitionBy(*PLACE).orderBy("order", F.desc("relevance"), "distance", "granularity", "key")
     kinds = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("order") + 1)
     return (
-        all_.withColumn("position", F.row_number().over(by).cast("bigint")).where(F.col("position") <= most).withColumn("kind", kinds).drop("order")
+        all_.withColumn("position", F.row_number().over(by).cast("bigint")).where(F.col("position") <= most).withColumn("kind", kinds).drop("order", "granularity")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.graph import simple_paths
@@ -10,6 +10,10 @@ from palimpsest.operators.graph import simple_paths
 PLACE = ["repository_id", "worktree_id"]
 
 
+def _claim_identity(rule: dict, source: Column, target: Column, premises: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(rule["id"]), F.lit(rule["version"]), *PLACE, source, target, F.array_join(premises, ",")), 256)
+
+
 def rule_claims(edges: DataFrame, rule: dict, max_depth: int = 8) -> DataFrame:
     """Claims (place, source, relation, target, premises) of one rule, a row per witness.
 
@@ -25,13 +29,58 @@ def rule_claims(edges: DataFrame, rule: dict, max_depth: int = 8) -> DataFrame:
     declared = declared.select(*PLACE, F.col("source").alias("x"), F.col("target").alias("concept"), F.col("edge_id").alias("e2"))
     claims = paths.join(hop, [*PLACE, "end"]).join(declared, [*PLACE, "x"])
     premises = F.concat("edge_ids", F.array("e1", "e2"))
-    identity = F.sha2(F.concat_ws("|", F.lit(rule["id"]), F.lit(rule["version"]), *PLACE, "start", "x", F.array_join(premises, ",")), 256)
+    identity = _claim_identity(rule, F.col("start"), F.col("x"), premises)
     return claims.select(
         *PLACE, F.lit(rule["id"]).alias("rule_id"), F.col("start").alias("source"), F.lit(rule["output_relation"]).alias("relation"),
         F.col("x").alias("target"), "concept", premises.alias("premises"), identity.alias("claim_id"),
     )
 
 
+def verify_witnesses(claims: DataFrame, edges: DataFrame, rule: dict, max_depth: int = 8, premise_budget: int = 64) -> DataFrame:
+    """Claims of a rule with ``problem``: null if the premises are a witness of the claim and the claim's id is theirs.
+
+    Else the first of: metadata (of another rule, relation or concept), budget, shape (no path before the last two premises), depth,
+    premise (not among the edges), disconnected (no simple path of the rule to the target and its declaration), identity.
+    """
+    claims = claims.withColumn("__row", F.struct(*claims.columns))
+    shape = F.struct("source", "target", "relation")
+    shapes = edges.groupBy(*PLACE, F.col("edge_id").alias("__premise")).agg(F.collect_set(shape).alias("__shapes"))
+    # Only what the budget allows is looked up; the rows themselves are the group's key, since claim ids are what is in doubt.
+    asked = claims.where(F.size("premises") <= premise_budget).select(*PLACE, "__row", F.posexplode("premises").alias("__i", "__premise"))
+    steps = asked.join(shapes, [*PLACE, "__premise"]).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__i", "__shapes"))).alias("__steps"))
+    rows = claims.distinct().join(steps, "__row", "left")
+    size, steps = F.size("premises"), F.transform("__steps", lambda s: s["__shapes"])
+    start = F.array(F.array(F.col("source").cast("string")))
+
+    def onward(paths: Column, found: Column) -> Column:
+        fits = lambda p: F.filter(
+            found, lambda e: (e["source"] == F.element_at(p, -1)) & (e["relation"] == rule["path_relation"]) & ~F.array_contains(p, e["target"])
+        )
+        return F.flatten(F.transform(paths, lambda p: F.transform(fits(p), lambda e: F.concat(p, F.array(e["target"])))))
+
+    ends = F.transform(F.aggregate(F.slice(steps, 1, F.greatest(size - 2, F.lit(0))), start, onward), lambda p: F.element_at(p, -1))
+    joined = F.exists(
+        F.try_element_at(steps, size - 1), lambda e: (e["relation"] == rule["join_relation"]) & (e["target"] == F.col("target")) & F.array_contains(ends, e["source"])
+    )
+    declared = F.exists(
+        F.try_element_at(steps, size),
+        lambda e: (e["relation"] == rule["declaration_relation"]) & (e["source"] == F.col("target")) & (e["target"] == F.col("concept")),
+    )
+    other = (F.col("rule_id") != rule["id"]) | (F.col("relation") != rule["output_relation"])
+    if rule.get("concept") is not None:
+        other = other | (F.col("concept") != rule["concept"])
+    problem = (
+        F.when(F.coalesce(other, F.lit(True)), "metadata")
+        .when(size > premise_budget, "budget")
+        .when(F.coalesce(size < 3, F.lit(True)), "shape")
+        .when(size - 2 > max_depth, "depth")
+        .when(F.coalesce(F.size("__steps"), F.lit(0)) < size, "premise")
+        .when(~F.coalesce(joined & declared, F.lit(False)), "disconnected")
+        .when(~F.col("claim_id").eqNullSafe(_claim_identity(rule, F.col("source"), F.col("target"), F.col("premises"))), "identity")
+    )
+    return rows.withColumn("problem", problem).drop("__row", "__steps")
+
+
 def evaluate_rules(edges: DataFrame, rules: list[dict], max_depth: int = 8) -> DataFrame:
     """Claims of a rule set in order of (id, version). Rules that ask for different versions of an ontology are refused."""
     wanted: dict[str, str] = {}

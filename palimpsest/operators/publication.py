@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.session import file_system, materialize, scratch_path
+from palimpsest.session import discard, file_system, materialize, scratch_path
 
 PLACE = ["repository_id", "worktree_id"]
 
@@ -149,9 +149,45 @@ class Materializer:
         fs.delete(where, True)
         return self.watermark()
 
+    def rebuild(self, feed: DataFrame, repository_id: str, worktree_id: str, sequence: int) -> bool:
+        """Replace all rows of a scope by ``feed``, its whole feed as known at ``sequence``; other scopes stay.
+
+        That is the watermark, so that the scope goes on with the others; only the first commit of all may set it. Rows of another
+        scope, rows that begin or end later and repeated keys are refused before anything is written.
+        """
+        done = self.runs.commits()
+        at = int(done[-1]["watermark"]) if done else sequence
+        if sequence != at:
+            raise ValueError(f"a rebuild at {sequence} does not meet the watermark {at}")
+        of = F.col("repository_id").eqNullSafe(F.lit(repository_id)) & F.col("worktree_id").eqNullSafe(F.lit(worktree_id))
+        feed = materialize(feed, "rebuild")
+        _none(feed.where(~of), "rows of another scope")
+        _none(feed.where((F.col("valid_from_sequence") > sequence) | (F.col("valid_until_sequence") > sequence)), f"rows later than {sequence}")
+        _none(feed.groupBy(*self.KEY).count().where("count > 1"), "repeated keys")
+        rows = feed.withColumn("as_of_sequence", F.lit(sequence).cast("bigint"))
+        ticket = {"run": done[-1]["run"] + 1 if done else 1, "low": str(at), "watermark": str(sequence), "rebuilt": [repository_id, worktree_id]}
+        won = self.runs.commit(rows, ticket)
+        discard(feed)
+        return won
+
+    def _committed(self) -> DataFrame | None:
+        """All committed rows but those of scopes that a later commit has rebuilt."""
+        out, paths, rebuilt, commits = None, [], [], self.runs.commits()
+        for c in reversed(commits):
+            paths.append(c["output"])
+            if "rebuilt" not in c and c is not commits[0]:
+                continue
+            part = self.spark.read.parquet(*paths)
+            for r, w in rebuilt:
+                part = part.where(~(F.col("repository_id").eqNullSafe(F.lit(r)) & F.col("worktree_id").eqNullSafe(F.lit(w))))
+            out, paths = part if out is None else out.unionByName(part), []
+            if "rebuilt" in c and c["rebuilt"] not in rebuilt:
+                rebuilt.append(c["rebuilt"])
+        return out
+
     def view(self) -> DataFrame | None:
         """The feed as of the watermark."""
-        rows = self.runs.output()
+        rows = self._committed()
         if rows is None:
             return None
         payload = [c for c in rows.columns if c not in self.KEY and c != "as_of_sequence"]

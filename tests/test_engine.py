@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
 from palimpsest.functions.stem import stem
-from palimpsest.operators import history, inference, lexical, lineage, publication, resolution, validation
+from palimpsest.operators import context, history, inference, lexical, lineage, publication, resolution, validation
 from palimpsest.sources import scan
 from palimpsest.streaming import observations
 
@@ -76,6 +76,58 @@ def test_materializer_follows_every_sequence(spark, tmp_path):
     assert sorted(map(str, once.view().select(*feed.columns).collect())) == found
 
 
+def test_materializer_rebuilds_one_scope(spark, tmp_path):
+    m = publication.Materializer(spark, f"file://{tmp_path}/m")
+    schema = "repository_id string, worktree_id string, fact_kind string, fact_id string, valid_from_sequence bigint, valid_until_sequence bigint, attribute string, ordinal int, value_text string"
+    rows = lambda *x: spark.createDataFrame([("r", w, "node", n, s, u, "name", 0, v) for w, n, s, u, v in x], schema)
+    found = lambda: sorted((r.worktree_id, r.fact_id, r.value_text) for r in m.view().collect())
+    m.synchronize(rows(("w", "a", 1, None, "x"), ("w", "stray", 1, None, "x"), ("v", "a", 1, None, "y")), 1)
+    whole = rows(("w", "a", 1, None, "z"), ("w", "b", 1, None, "z"))
+    for bad in (rows(("v", "a", 1, None, "z")), rows(("w", "a", 2, None, "z")), rows(("w", "a", 1, 2, "z")), whole.union(whole)):
+        with pytest.raises(publication.InvalidDelta):
+            m.rebuild(bad, "r", "w", 1)
+    with pytest.raises(ValueError):
+        m.rebuild(whole, "r", "w", 2)
+    assert m.rebuild(whole, "r", "w", 1) and m.watermark() == 1
+    assert found() == [("v", "a", "y"), ("w", "a", "z"), ("w", "b", "z")]
+    m.synchronize(rows(("w", "b", 1, 2, "q"), ("v", "c", 2, None, "y")), 2)
+    assert found() == [("v", "a", "y"), ("v", "c", "y"), ("w", "a", "z"), ("w", "b", "q")]
+    m.rebuild(rows(), "r", "w", 2)
+    assert found() == [("v", "a", "y"), ("v", "c", "y")]
+
+
+def test_sections_inherit_and_sources_come_by_granularity(spark):
+    place = "repository_id string, worktree_id string, "
+    one = lambda rows, schema: spark.createDataFrame([("r", "w", *x) for x in rows], place + schema)
+    kinds = {"a": "Module", "b": "Import", "c": "Function", "s": "Section", "t": "Section", "k1": "DocumentChunk", "k2": "DocumentChunk", "far": "DocumentChunk"}
+    nodes = one([(n, k, n, "f" if n in "abc" else None) for n, k in kinds.items()], "node_id string, kind string, name string, owner_file string")
+    edges = one([("e1", "s", "k1", "Contains"), ("e2", "s", "k2", "Contains"), ("e3", "t", "k2", "Cites"), ("e4", "t", "far", "Contains"), ("e5", "a", "k2", "Contains")], "edge_id string, source string, target string, relation string")
+    seeds = one([("k1", 1), ("k2", 5), ("t", 2), ("far", 9)], "node_id string, relevance bigint")
+    got = context.candidates(seeds, one([(n, 0) for n in kinds if n != "far"], "node_id string, depth int"), nodes, edges, one([("f", "text")], "file_id string, text string")).collect()
+    assert {r.key: r.relevance for r in got if r.kind == "signature"} == {"a": 0, "b": 0, "c": 0, "s": 5, "t": 2, "k1": 1, "k2": 5}
+    assert [r.key for r in sorted(got, key=lambda r: r.position) if r.kind == "source_evidence"] == ["c", "b", "a"]
+
+
+def test_witnesses_are_verified(spark):
+    place = "repository_id string, worktree_id string, "
+    edges = [("p1", "a", "b", "A"), ("p2", "b", "c", "A"), ("p3", "b", "a", "A"), ("j", "c", "x", "B"), ("j2", "a", "x", "B"), ("d", "x", "k", "C"), ("d2", "x", "l", "C")]
+    e = spark.createDataFrame([("r", "w", *x) for x in edges], place + "edge_id string, source string, target string, relation string")
+    rule = {"id": "u", "version": "1", "path_relation": "A", "join_relation": "B", "declaration_relation": "C", "concept": "k", "output_relation": "D"}
+    claims = inference.rule_claims(e, rule)
+    good = {r.source: r for r in inference.verify_witnesses(claims, e, rule).collect()}
+    assert claims.count() == 3 and inference.verify_witnesses(claims, e, rule).where("problem is not null").count() == 0
+    base = next(r.asDict() for r in claims.collect() if list(r.premises) == ["p1", "p2", "j", "d"])
+    wrong = [
+        ({"rule_id": "v"}, "metadata"), ({"relation": "E"}, "metadata"), ({"concept": "l"}, "metadata"), ({"premises": ["j", "d"]}, "shape"), ({"premises": ["p1", "none", "j", "d"]}, "premise"),
+        ({"premises": ["p1", "j", "d"]}, "disconnected"), ({"premises": ["p1", "p3", "j2", "d"]}, "disconnected"), ({"premises": ["p1", "p2", "j", "d2"]}, "disconnected"),
+        ({"target": "y"}, "disconnected"), ({"claim_id": "0"}, "identity"), ({"premises": ["p1"] * 9 + ["j", "d"]}, "depth"), ({"premises": ["p1"] * 65}, "budget"),
+    ]
+    for change, problem in wrong:
+        bad = spark.createDataFrame([base | change], claims.schema)
+        assert [r.problem for r in inference.verify_witnesses(bad, e, rule).collect()] == [problem], change
+    assert set(good) == {"a", "b"}
+
+
 def test_hash_chain():
     entries = [(1, "a"), (2, "b")]
     digests = publication.chain_digest(entries)
