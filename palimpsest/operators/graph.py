@@ -8,7 +8,7 @@ is collected.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.session import discard, materialize
@@ -102,6 +102,17 @@ def neighborhood_edges(edges: DataFrame, reached: DataFrame, max_hops: int) -> D
     )
 
 
+def within_bytes(lines: DataFrame, order: list[str], budget: int) -> DataFrame:
+    """Lines with ``bytes`` up to each in their place, whether the byte budget keeps it, and per place how many it omits.
+
+    All lines come out; the kept ones are the answer under the budget, and ``truncated`` says that it is not the whole.
+    """
+    rows = lines.withColumn("bytes", F.sum(F.octet_length("line")).over(Window.partitionBy(*PLACE).orderBy(*order)))
+    rows = rows.withColumn("kept", F.col("bytes") <= budget)
+    omitted = F.sum((~F.col("kept")).cast("bigint")).over(Window.partitionBy(*PLACE))
+    return rows.withColumn("omitted", omitted).withColumn("truncated", F.col("omitted") > 0)
+
+
 def induced_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
     """Edges between two reached nodes."""
     r = reached.select(*PLACE, "node_id")

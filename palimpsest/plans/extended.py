@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
@@ -130,12 +130,20 @@ _LINE = "json_object('edge_id', edge_id, 'source', source, 'target', target, 'de
 
 @query("g06_neighborhood_records", RECURSIVE + _REACH.format(step=f"{_OUT} union {_IN}") + f", h as (select {PL}, edge_id, source, target, least(x.depth, y.depth) + 1 depth from (select distinct {PL}, edge_id, source, target from ce) e join (select {PL}, node_id source, depth from r) x using ({PL}, source) join (select {PL}, node_id target, depth from r) y using ({PL}, target) where least(x.depth, y.depth) < 3), z as (select {PL}, {_LINE} line, sum(strlen({_LINE})) over (partition by {PL} order by depth, edge_id) bytes from h) select {PL}, line, bytes::bigint bytes from z where bytes <= 2048", base=False)
 def g06(spark, d):
+    return _neighborhood_records(spark, d).where("kept").select(*PLACE, "line", "bytes")
+
+
+@query("g06_neighborhood_all_records", SQL["g06_neighborhood_records"].removesuffix(f" select {PL}, line, bytes::bigint bytes from z where bytes <= 2048") + f" select {PL}, line, bytes::bigint bytes, bytes <= 2048 kept, (count(*) filter (bytes > 2048) over (partition by {PL}))::bigint omitted, max(bytes) over (partition by {PL}) > 2048 truncated from z", base=False)
+def g06_all(spark, d):
+    return _neighborhood_records(spark, d).select(*PLACE, "line", "bytes", "kept", "omitted", "truncated")
+
+
+def _neighborhood_records(spark: SparkSession, d: str) -> DataFrame:
     t = Tables(spark, d)
     e = t.edges.select(*PLACE, "edge_id", "source", "target").distinct()
     rows = graph.neighborhood_edges(e, graph.reach(e, t.seeds, 3, "both"), 3)
     lines = rows.withColumn("line", F.to_json(F.struct("edge_id", "source", "target", "depth")))
-    total = F.sum(F.octet_length("line")).over(Window.partitionBy(*PLACE).orderBy("depth", "edge_id"))
-    return lines.withColumn("bytes", total).where("bytes <= 2048").select(*PLACE, "line", "bytes")
+    return graph.within_bytes(lines, ["depth", "edge_id"], 2048)
 
 
 @query("c06_consequence_neighborhood", RECURSIVE + _REACH.format(step=f"select distinct {PL}, source a, target b from ev where {_ASOF} union select distinct {PL}, target, source from ev where {_ASOF}") + " select * from r", base=False)

@@ -110,3 +110,11 @@ def test_incident_counts_loops_once(spark):
     e = spark.createDataFrame([("r", "w", "e", "a", "a", "Calls")], SCHEMA)
     n = e.select("repository_id", "worktree_id", F.col("source").alias("node_id"))
     assert graph.incident(e, n).count() == 1
+
+
+def test_byte_budget_says_what_it_omits(spark):
+    rows = [("r", "w", i, "é" * 5) for i in range(4)] + [("r", "big", 0, "x" * 30), ("r", "small", 0, "x")]
+    lines = spark.createDataFrame(rows, "repository_id string, worktree_id string, at int, line string")
+    got = graph.within_bytes(lines, ["at"], 25).collect()
+    assert {(r.worktree_id, r.truncated, r.omitted) for r in got} == {("w", True, 2), ("big", True, 1), ("small", False, 0)}
+    assert sorted((r.worktree_id, r.at, r.bytes) for r in got if r.kept) == [("small", 0, 1), ("w", 0, 10), ("w", 1, 20)] and len(got) == 6
