@@ -24,12 +24,18 @@ def terminal_segment(c: Column) -> Column:
     return F.element_at(F.split(c, "::"), -1)
 
 
-def canonical_symbol(c: Column, nesting: int = 6) -> Column:
-    """Without white space and type arguments, which may be nested to a depth."""
-    out = F.regexp_replace(c, r"\s+", "")
-    for _ in range(nesting):
-        out = F.regexp_replace(out, r"<[^<>]*>", "")
-    return out
+def canonical_symbol(c: Column) -> Column:
+    """Without white space and type arguments, however deep they nest. A ``>`` that closes nothing goes too; an unclosed ``<`` takes the rest."""
+    bare = F.regexp_replace(c, r"\s+", "")
+
+    def step(at: Column, x: Column) -> Column:
+        depth = F.when(x == "<", at["depth"] + 1).when(x == ">", F.greatest(at["depth"] - 1, F.lit(0))).otherwise(at["depth"])
+        out = F.when((at["depth"] == 0) & ~x.isin("<", ">"), F.concat(at["out"], x)).otherwise(at["out"])
+        return F.struct(depth.alias("depth"), out.alias("out"))
+
+    parts = F.regexp_extract_all(bare, F.lit("[<>]|[^<>]+"), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
+    return F.when(bare.rlike("[<>]"), F.aggregate(parts, start, step, lambda at: at["out"])).otherwise(bare)
 
 
 def slug(c: Column) -> Column:

@@ -185,6 +185,17 @@ def test_text_functions(spark):
     assert (row.b, row.c, row.d, row.e, row.f, row.g, row.h, row.i) == ("a::B::e", "a-title-x", "a/b.md", None, 5, "docs/c d.md", None, None)
 
 
+def test_symbols_of_any_nesting(spark):
+    deep = "a::" + "M< " * 12 + "x, y" + ">" * 12 + "::b"
+    for symbol, want in {deep: "a::M::b", "V<" * 40 + ">" * 40: "V", "a -> b": "a-b", "a<b": "a", "a b": "ab", "": "", "a<b<c>::d": "a", "<T as U<V>>::f<W>": "::f"}.items():
+        assert spark.range(1).select(T.canonical_symbol(F.lit(symbol)).alias("s")).first().s == want, symbol
+    assert spark.range(1).select(T.canonical_symbol(F.lit(None).cast("string")).alias("s")).first().s is None
+    place = "repository_id string, worktree_id string, "
+    defs = spark.createDataFrame([("r", "w", "n", "M::f", "Function")], place + "node_id string, name string, kind string")
+    refs = spark.createDataFrame([("r", "w", "q", "M" + "<A" * 9 + ">" * 9 + "::f", "Calls")], place + "reference_id string, symbol string, relation string")
+    assert [(x.status, x.resolved) for x in resolution.resolve_references(refs, defs).collect()] == [("Reference", "n")]
+
+
 def test_stemmer():
     for word, want in {"caresses": "caress", "ponies": "poni", "running": "run", "hopping": "hop", "hoped": "hope", "relational": "relat", "generate": "generat", "happily": "happili", "skies": "sky", "national": "nation", "cried": "cri", "by": "by"}.items():
         assert stem(word) == want, word
