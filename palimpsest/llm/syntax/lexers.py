@@ -138,10 +138,10 @@ def lex_rust(text: str) -> Tokens:
 
 SCRIPT_WORDS = set(
     "async of get set static type interface readonly as from declare namespace abstract keyof is infer satisfies asserts module private "
-    "public protected implements let yield await break case catch class const continue debugger default delete do else enum export extends "
+    "public protected implements override accessor out let yield await break case catch class const continue debugger default delete do else enum export extends "
     "false finally for function if import in instanceof new null return super switch this throw true try typeof var void while with".split()
 )
-_TS_ONLY = {"type", "interface", "readonly", "declare", "namespace", "abstract", "keyof", "is", "infer", "satisfies", "asserts", "module", "private", "public", "protected", "implements"}
+_TS_ONLY = {"type", "interface", "readonly", "declare", "namespace", "abstract", "keyof", "is", "infer", "satisfies", "asserts", "module", "private", "public", "protected", "implements", "override", "accessor", "out"}
 _SOFT = _TS_ONLY | {"async", "of", "get", "set", "static", "as", "from", "let", "yield", "await"}
 _SCRIPT = re.compile(
     r"""(?P<space>[^\S\r\n\u2028\u2029]+|//[^\r\n\u2028\u2029]*)|(?P<nl>[\r\n\u2028\u2029]+)|(?P<block>/\*(?s:.*?)\*/)|(?P<blockbad>/\*)
@@ -158,6 +158,8 @@ _VALUE = {"id", "num", "str", "regex", "tpl", "}tpl", ")", "]", "}", "this", "su
 _CAN_END = _VALUE | {"return", "break", "continue", "debugger", "++", "--", "void", "!"}
 _NO_NEW = {"in", "instanceof", "else", "catch", "finally", "extends", "implements", "as", "satisfies", "is", "of", "from"}
 _HEAD = {"if", "for", "while", "with"}
+#: What goes on with a member of a class from the line before; all other words can be names of members.
+_MEMBER_GOES_ON = {"in", "instanceof", "extends", "implements"}
 
 
 def lex_script(text: str, typed: bool) -> Tokens:
@@ -168,6 +170,29 @@ def lex_script(text: str, typed: bool) -> Tokens:
         at = len(text.splitlines()[0])
     stack: list[tuple[str, str]] = []  # (bracket, class before it)
     newline, closed_head = False, False
+    heads: list[list[int]] = []  # of classes whose body is still to come: (depth of brackets, open type brackets)
+
+    def in_head(cls: str) -> bool:
+        """Whether ``cls`` opens the body of a class."""
+        if cls == "class":
+            heads.append([len(stack), 0])
+        elif heads and heads[-1][0] > len(stack):
+            heads.pop()
+        elif heads and heads[-1][0] == len(stack):
+            if cls in "<>":
+                heads[-1][1] += 1 if cls == "<" else -1
+            elif heads[-1][1] <= 0 and (cls in (":", "=", ";", "{") or cls == "(" and t.cls[-1] == "class"):
+                heads.pop()  # after the last four, class was only a name
+                return cls == "{"
+        return False
+
+    def ends_member(prev: str, cls: str) -> bool:
+        """Whether a new line between members of a class ends the one before."""
+        before = t.cls[-2] if len(t.cls) > 1 else ""
+        ended = prev == ">" or prev in _CAN_END and (prev != "!" or before in _VALUE) or (before, prev) == ("as", "const")
+        named = prev in SCRIPT_WORDS and before in (";", "{", "}")
+        fresh = cls in ("id", "num", "str", "private", "@", "[", "*") or cls in SCRIPT_WORDS and cls not in _MEMBER_GOES_ON
+        return fresh and (named or ended)
 
     def put(cls: str) -> None:
         nonlocal newline, closed_head
@@ -179,9 +204,12 @@ def lex_script(text: str, typed: bool) -> Tokens:
                 fresh = False
             if inner == "{" and prev in _CAN_END and fresh and not (prev == ")" and closed_head) and prev != "!":
                 t.add(";", end=not stack)
+            elif stack and stack[-1] == ("{", "class body") and ends_member(prev, cls):
+                t.add(";")
         newline = False
+        body = in_head(cls)
         if cls in OPEN:
-            stack.append((cls, t.cls[-1] if t.cls else ""))
+            stack.append((cls, "class body" if body else t.cls[-1] if t.cls else ""))
             t.punct(cls)
         elif cls in CLOSE:
             closed_head = False

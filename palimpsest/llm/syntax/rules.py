@@ -91,6 +91,7 @@ SCRIPT = """
 shape: full* bare?
 Id: 'id' | 'async' | 'of' | 'get' | 'set' | 'static' | 'type' | 'interface' | 'readonly' | 'as' | 'from' | 'declare' | 'namespace' | 'abstract'
 Id: 'keyof' | 'is' | 'infer' | 'satisfies' | 'asserts' | 'module' | 'private' | 'public' | 'protected' | 'implements' | 'let' | 'yield' | 'await'
+Id: 'override' | 'accessor' | 'out'
 Name: Id | 'break' | 'case' | 'catch' | 'class' | 'const' | 'continue' | 'debugger' | 'default' | 'delete' | 'do' | 'else' | 'enum' | 'export'
 Name: 'extends' | 'false' | 'finally' | 'for' | 'function' | 'if' | 'import' | 'in' | 'instanceof' | 'new' | 'null' | 'return' | 'super'
 Name: 'switch' | 'this' | 'throw' | 'true' | 'try' | 'typeof' | 'var' | 'void' | 'while' | 'with'
@@ -114,9 +115,9 @@ function: 'async'? 'function' '*'? Id? tparams? '(' params ')' ann? (block | nob
 params: (param (',' param)* ','?)?
 param: deco* modifier* '...'? (binding | 'this') '?'? ann? ('=' assign)?
 deco: '@' left ';'?
-class: tsabstract? 'class' Id? tparams? ('extends' left targs?)? impls? '{' member* '}'
+class: tsabstract? 'class' Id? tparams? ('extends' left targs?)? impls? '{' member* last? '}'
 member: ';' | deco* modifier* 'static' block | deco* (modifier | 'static')* method | deco* (modifier | 'static')* pname ('?' | '!')? ann? ('=' assign)? ';' | tsmember
-member: deco* (modifier | 'static')* pname ('?' | '!')? ann? ('=' assign)?
+last: deco* (modifier | 'static')* pname ('?' | '!')? ann? ('=' assign)? | tslast
 method: ('async' | 'get' | 'set')? '*'? pname '?'? tparams? '(' params ')' ann? (block | nobody)
 pname: Name | 'str' | 'num' | '[' assign ']' | 'private'
 imports: 'import' tsonly? (Id (',' (named | '*' 'as' Id))? | named | '*' 'as' Id) 'from' 'str' attributes? | 'import' 'str' attributes?
@@ -144,15 +145,16 @@ arrow: 'async'? (Id | tparams? '(' params ')' ann?) '=>' (assign | block)
 TYPES = """
 ann: ':' type | ':' 'asserts'? (Id | 'this') 'is' type | ':' 'asserts' (Id | 'this')
 nobody: ';'
-modifier: 'private' | 'public' | 'protected' | 'readonly' | 'abstract' | 'declare' | 'id'
+modifier: 'private' | 'public' | 'protected' | 'readonly' | 'abstract' | 'declare' | 'override' | 'accessor'
 tsabstract: 'abstract'
 tsonly: 'type'
 tsmember: deco* (modifier | 'static')* '[' Id ':' type ']' ann ';'
+tslast: deco* (modifier | 'static')* ('[' Id ':' type ']' ann | ('async' | 'get' | 'set')? '*'? pname '?'? tparams? '(' params ')' ann?)
 cast: 'as' (type | 'const') | 'satisfies' type
 tstail: '!' | targs args | targs template
 impls: 'implements' type (',' type)*
 tparams: '<' tparam (',' tparam)* ','? '>'
-tparam: ('const' | 'in' | 'id')? Id ('extends' type)? ('=' type)?
+tparam: ('const' | 'in' | 'out' | 'in' 'out')? Id ('extends' type)? ('=' type)?
 targs: '<' type (',' type)* ','? '>'
 type: ('|' | '&')? unary (('|' | '&') unary)* | unary 'extends' type '?' type ':' type | tparams? '(' params ')' '=>' (type | ann2) | 'abstract'? 'new' tparams? '(' params ')' '=>' type
 ann2: 'asserts'? (Id | 'this') 'is' type

@@ -82,6 +82,24 @@ def test_python_verdict_is_the_parsers(spark):
     assert found == want
 
 
+def test_members_of_classes_end_by_line_or_semicolon():
+    good = {
+        "javascript": ["class A { x = 1; y }", "class A {\n x = 1\n static y = 2\n #z\n [k] = 3\n async f() {}\n get\n g\n}", "class A {\n y = () => { a() }\n from\n of() {}\n catch() {} }", "const o = { class: { a: b >\n c } }"],
+        "typescript": [
+            "class A<in T, out U, in out V> extends B<{ a: T }> {\n z?: Map<string, number>\n w: Array<string>\n v!: string\n [key: string]: any\n abstract g(): T<U>\n h(): void\n}",
+            "class A { override async f() {} accessor r = 1; override: string; out() {} constructor(private readonly a: string, override b: number) {} }", "class A {\n a = 1 as const\n b = x!\n @d() c = y\n}", "let override = out + accessor",
+        ],
+    }
+    bad = {
+        "javascript": ["class A { x = 1 y = 2 }", "class A { asnyc load() {} }", "class A { x y }", "class A { x = () => {} y() {} }"],
+        "typescript": ["class A { x: number y: string }", "class A { x: B<C> y: string }", "class A { asnyc load() {} }", "function f(a b) {}", "const f = (a b) => a", "class A { f(a b: string) {} }", "class A<foo T> {}"],
+    }
+    for texts, fine in ((good, True), (bad, False)):
+        for lang, each in texts.items():
+            for text in each:
+                assert rules.grammar(lang).accepts(list(lexers.lex(lang, text).cls)) is fine, text
+
+
 def test_pairs_and_recognition_agree():
     g = Grammar("shape: item*\nitem: 'a' 'b'? | '(' shape ')'", "shape")
     assert ("a", "(") in g.pairs() and ("b", "b") not in g.pairs() and ("^", "$") in g.pairs() and ("(", ")") in g.pairs()
