@@ -12,8 +12,8 @@ with each round and all cuts of all documents are found in log2(pieces) rounds.
 
 Edge cases: null text has no pieces; empty text is one empty piece; a document whose profile is null or
 unknown has no limit and stays whole; null elements of a context count nothing and are left out;
-if a context leaves less than a quarter of ``max_bytes`` for the text, the outermost elements are
-left out of the pieces until a quarter is free; a stretch without any boundary is cut between
+if a context leaves no room for a run of the text (96 bytes, or the whole of a shorter text), the outermost
+elements are left out of the pieces until there is, and ``left_out`` counts them; a stretch without any boundary is cut between
 characters, never inside one; nulls in overlap_bytes count as 0; extra columns are dropped.
 A repeated doc_id is one document and a null one is none. Profiles whose max_bytes is under 512 are an error, since a piece could not hold a word.
 """
@@ -34,6 +34,8 @@ WORD = r"(?<=[\s])"
 #: A run of characters that is cut for want of white space; marks stay with their letter.
 RUN = r"(?s).{1,16}\p{M}{0,8}"
 
+#: The most bytes of a RUN: 24 characters of 4.
+RUN_BYTES = 96
 #: A quarter of it must hold a run.
 LEAST_BYTES = 512
 
@@ -59,7 +61,7 @@ def _kept_context(context: Column, most: Column) -> Column:
 
 
 def sized(documents: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(doc_id, text, kept, room, overlap, oversized): what a piece of each document may hold."""
+    """(doc_id, text, kept, left_out, room, overlap, oversized): what a piece of each document may hold."""
     if not profiles.where(F.col("max_bytes") < LEAST_BYTES).isEmpty():
         raise ValueError(f"max_bytes must be at least {LEAST_BYTES}")
     # Profiles are a fixed handful of rows, so they are broadcast.
@@ -72,9 +74,11 @@ def sized(documents: DataFrame, profiles: DataFrame) -> DataFrame:
     d = d.join(limits, "profile", "left")
     over = F.coalesce(text_bytes(F.col("text")) + context_bytes(F.col("context")) > F.col("max_bytes"), F.lit(False))
     fits = F.coalesce(F.col("max_bytes"), F.lit(2**31 - 1)).cast("bigint")
-    kept = _kept_context(F.col("context"), fits - F.floor(fits / 4))
+    # A context that leaves room for a run of the text, or for all of it, stays whole.
+    kept = _kept_context(F.col("context"), fits - F.least(text_bytes(F.col("text")), F.lit(RUN_BYTES)))
+    given = F.size(F.filter(F.coalesce("context", F.array().cast("array<string>")), lambda x: x.isNotNull()))
     return d.withColumn("oversized", over).withColumn("kept", kept).select(
-        "doc_id", "text", "kept", (fits - context_bytes(F.col("kept"))).alias("room"), F.col("overlap").cast("bigint"), "oversized"
+        "doc_id", "text", "kept", (given - F.size("kept")).alias("left_out"), (fits - context_bytes(F.col("kept"))).alias("room"), F.col("overlap").cast("bigint"), "oversized"
     )
 
 
@@ -197,7 +201,7 @@ def _slices(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
 
 
 def split_documents(documents: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(doc_id, piece, pieces, start_byte, text, context, oversized): every piece of every document, from 0."""
+    """(doc_id, piece, pieces, start_byte, text, context, oversized, left_out): every piece of every document, from 0."""
     items = sized(unique_documents(documents), profiles)
     whole = items.where(~F.col("oversized") | (F.octet_length("text") == 0)).select(
         "doc_id",
@@ -207,6 +211,7 @@ def split_documents(documents: DataFrame, profiles: DataFrame) -> DataFrame:
         "text",
         F.col("kept").alias("context"),
         "oversized",
+        "left_out",
     )
     large = items.where(F.col("oversized") & (F.octet_length("text") > 0))
     table = materialize(successors(boundaries(large)), "successors")
@@ -219,11 +224,12 @@ def split_documents(documents: DataFrame, profiles: DataFrame) -> DataFrame:
     cut = large.join(cuts, "doc_id").select(
         "doc_id",
         "kept",
+        "left_out",
         F.col("cuts.s").alias("starts"),
         _slices("text", F.col("cuts.s"), F.col("cuts.e")).alias("texts"),
     )
     split = cut.select(
-        "doc_id", "kept", "starts", F.size("texts").alias("pieces"), F.posexplode("texts").alias("piece", "text")
+        "doc_id", "kept", "left_out", "starts", F.size("texts").alias("pieces"), F.posexplode("texts").alias("piece", "text")
     ).select(
         "doc_id",
         "piece",
@@ -232,5 +238,6 @@ def split_documents(documents: DataFrame, profiles: DataFrame) -> DataFrame:
         "text",
         F.col("kept").alias("context"),
         F.lit(True).alias("oversized"),
+        "left_out",
     )
     return whole.unionByName(split)

@@ -115,6 +115,22 @@ DOCS = "doc_id bigint, text string, context array<string>, profile string, room
 PROFILES = [("small", 600, 60), ("none", 600, None)]
 
 
+def test_context_stays_while_a_run_fits_beside_it(spark):
+    text = "a few words here. " * 40
+    docs = [(1, text, ["h" * 200, "i" * 300], "small", "", ""), (2, text, ["h" * 100, None, "i" * 404], "small", "", ""), (3, text, ["h" * 101, None, "i" * 404], "small", "", ""), (4, "\U0001f600" * 99, ["h" * 504], "small", "", ""), (5, text, None, "none", "", ""), (6, "x", ["c" * 599], "small", "", "")]
+    profiles = spark.createDataFrame(PROFILES, "profile string, max_bytes int, overlap_bytes int")
+    got = {}
+    for r in chunking.split_documents(spark.createDataFrame(docs, DOCS), profiles).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert {k: {(len(r.context), r.left_out) for r in v} for k, v in got.items()} == {1: {(2, 0)}, 2: {(2, 0)}, 3: {(1, 1)}, 4: {(1, 0)}, 5: {(0, 0)}, 6: {(1, 0)}}
+    for doc_id, whole, *_ in docs:
+        end = 0
+        for r in sorted(got[doc_id], key=lambda r: r.piece):
+            assert r.start_byte <= end and len(r.text.encode()) + sum(map(len, r.context)) <= 600
+            end = r.start_byte + len(r.text.encode())
+        assert end == len(whole.encode())
+
+
 def test_chunks_cover_fit_and_overlap(spark):
     rng = random.Random(4)
     words = ["alpha", "béta", "längeres", "слово", "x" * 40, "日本語。", "end.\n", "\n\n", "next! ", "e\u0301" * 20]
