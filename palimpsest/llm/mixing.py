@@ -60,10 +60,6 @@ def tempered(available: dict[str, int], targets: dict[str, float], x: float) ->
     return {s: w / whole for s, w in raw.items()}
 
 
-def entropy(weights: dict[str, float]) -> float:
-    return -sum(w * math.log(w) for w in weights.values() if w > 0)
-
-
 def mixing_weights(
     available: dict[str, int], targets: dict[str, float], repeats: dict[str, int], total: int | None = None
 ) -> tuple[dict[str, float], int, float]:
@@ -87,8 +83,9 @@ def mixing_weights(
     return tempered(available, targets, high), total, high
 
 
-def _plan(counted: DataFrame, targets: DataFrame, total: int | None) -> list[dict]:
-    """A row for each target source; as many come to the driver as there are targets."""
+def _plan(counted: DataFrame, targets: DataFrame, total: int | None, passes: float | None = None) -> list[dict]:
+    """A row for each target source; as many come to the driver as there are targets. ``passes`` states the total as so many
+    times the tokens of the sources that have a target."""
     rows = targets.groupBy("source").agg(F.max("target_share").alias("t"), F.max("max_repeats").alias("m"))
     sums = (
         counted.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs"))
@@ -98,6 +95,8 @@ def _plan(counted: DataFrame, targets: DataFrame, total: int | None) -> list[dic
     n = {r["source"]: r["n"] or 0 for r in got}
     t = {r["source"]: r["t"] or 0.0 for r in got}
     m = {r["source"]: r["m"] or 1 for r in got}
+    if passes is not None:
+        total = int(passes * sum(n[s] for s in n if t[s] > 0))
     weights, whole, x = mixing_weights(n, t, m, total)
     out = []
     for r in got:
@@ -144,17 +143,17 @@ def _copies(counted: DataFrame, plan: list[dict], seed: int) -> DataFrame:
     ).where(F.col("copies") > 0)
 
 
-def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, **tokenizer) -> DataFrame:
+def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, passes: float | None = None, **tokenizer) -> DataFrame:
     """(source, doc_id, epoch, tokens): a row for each use of a document, epochs from 0."""
     counted = materialize(token_counts(documents, **tokenizer), "tokens")
-    copies = _copies(counted, _plan(counted, targets, total), seed)
+    copies = _copies(counted, _plan(counted, targets, total, passes), seed)
     return copies.select("source", "doc_id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"), "tokens")
 
 
-def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, **tokenizer) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, passes: float | None = None, **tokenizer) -> DataFrame:
     """Per target source its available and used tokens, the share reached, and how many times over it is used."""
     counted = materialize(token_counts(documents, **tokenizer), "tokens")
-    plan = _plan(counted, targets, total)
+    plan = _plan(counted, targets, total, passes)
     used = _copies(counted, plan, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
     out = counted.sparkSession.createDataFrame(plan, _PLAN).join(used, "source", "left")
     tokens = F.coalesce("used", F.lit(0))

@@ -10,6 +10,10 @@ from palimpsest.llm.syntax import check
 from palimpsest.sources.tables import table
 
 
+#: The wanted total of the tempered mixtures: half the tokens of the target sources, more than the targets allow.
+PASSES = 0.5
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
+def p9_tempered_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), passes=PASSES)
+
+
+def p9_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), passes=PASSES)
+
+
 def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.assign(_documents(spark, sf_dir))
 
@@ -63,6 +75,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p9_tempered_mix": p9_tempered_mix,
+    "p9_tempered_shares": p9_tempered_shares,
     "p10_found": p10_found,
     "p10_languages": p10_languages,
 }

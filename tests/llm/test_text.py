@@ -234,6 +234,20 @@ def test_exponent_is_the_least_that_fits():
         mixing.mixing_weights(n, t, m, 5000)
 
 
+def test_registered_mixture_is_tempered(spark):
+    import __spark_entry__ as entry
+
+    rows = entry.queries()["p9_tempered_shares"](spark, "/root/testdata/sf0.001").collect()
+    wanted = int(0.5 * sum(r.available_tokens for r in rows if r.target_share > 0))
+    n, t, m = ({r.source: r[c] for r in rows} for c in ("available_tokens", "target_share", "max_repeats"))
+    assert wanted > mixing.mixing_weights(n, t, m)[1]
+    weights, _, x = mixing.mixing_weights(n, t, m, wanted)
+    assert 0 < x < 1 and all(abs(r.exponent - x) < 1e-12 and r.times_used <= r.max_repeats for r in rows)
+    assert all(0 <= weights.get(r.source, 0) * wanted - r.used_tokens < 3000 for r in rows) and sum(r.used_tokens for r in rows) > 0.8 * wanted
+    uses = entry.queries()["p9_tempered_mix"](spark, "/root/testdata/sf0.001").agg({"tokens": "sum"}).first()[0]
+    assert uses == sum(r.used_tokens for r in rows)
+
+
 # --- Languages --------------------------------------------------------------------------------------------------------
 
 SENTENCES = {
