@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,10 +36,13 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, name: str = "pa
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can read, as the cluster names it.
 
-    A temporary folder is made, and set, only where the setting is absent (local tests).
+    A temporary folder is made, and set, only where the setting is absent and all runs in one process (local tests). On
+    a cluster an absent setting is an error, since executors would each write to a disk of their own.
     """
     found = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getConf().get(CHECKPOINT_DIR)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set(CHECKPOINT_DIR, found)
     return found.rstrip("/")
@@ -63,8 +68,13 @@ def discard(df: DataFrame | None) -> None:
     """Delete what ``materialize`` wrote for ``df``, once nothing will read it again."""
     path = getattr(df, "_palimpsest_path", None)
     if path:
-        fs, at = file_system(df.sparkSession, path)
-        fs.delete(at, True)
+        delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file, if it is there."""
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
 
 
 def file_system(spark: SparkSession, path: str):
@@ -74,19 +84,48 @@ def file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+#: Stores on which a rename refuses to replace a file, in one step.
+ATOMIC_RENAME = ("hdfs", "viewfs", "webhdfs", "swebhdfs", "abfs", "abfss")
+
+
 def write_once(spark: SparkSession, path: str, text: str) -> bool:
-    """Create ``path`` with ``text`` in one atomic rename; False if it exists already."""
+    """Create ``path`` with ``text``, whole at once; False if it exists already. Of several writers exactly one gets True.
+
+    The text is written aside and put in place by a step that fails where the name is taken: a hard link on local disks, a
+    rename on stores whose rename refuses a taken name. On others (object stores, where a rename is a copy after a check) the file
+    is created under the condition that it is not there; a store without conditional creation is an error.
+    """
+    jvm = spark.sparkContext._jvm
     fs, at = file_system(spark, path)
+    scheme, data = fs.getUri().getScheme(), bytearray(text.encode("utf-8"))
     if fs.exists(at):
         return False
-    tmp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    if scheme != "file" and scheme not in ATOMIC_RENAME:
+        try:
+            out = fs.createFile(at).recursive().overwrite(False).must("fs.option.create.conditional.overwrite", True).build()
+            out.write(data)
+            out.close()
+            return True
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception) or fs.exists(at):
+                return False
+            raise
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
     out = fs.create(tmp, False)
-    out.write(bytearray(text.encode("utf-8")))
+    out.write(data)
     out.close()
-    if fs.exists(at) or not fs.rename(tmp, at):
+    try:
+        if scheme != "file":
+            return bool(fs.rename(tmp, at))
+        disk = lambda p: jvm.java.io.File(fs.makeQualified(p).toUri().getPath()).toPath()
+        jvm.java.nio.file.Files.createLink(disk(at), disk(tmp))
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception):
+            return False
+        raise
+    finally:
         fs.delete(tmp, False)
-        return False
-    return True
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
