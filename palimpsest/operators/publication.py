@@ -121,19 +121,18 @@ class Materializer:
         self.spark, self.runs = spark, IncrementalRun(spark, root, "as_of_sequence")
 
     def watermark(self) -> int:
-        done = self.runs.commits()
-        return int(done[-1]["watermark"]) if done else 0
+        return int(self.runs.watermark() or 0)
 
     def synchronize(self, changes: DataFrame, sequence: int) -> bool:
         """Commit the changed feed rows of ``sequence``. False if it was committed before."""
-        done = self.runs.commits()
-        at = int(done[-1]["watermark"]) if done else 0
+        done = self.runs.last()
+        at = int(done["watermark"]) if done else 0
         if sequence == at:
             return False
         if sequence != at + 1:
             raise ValueError(f"sequence {sequence} does not follow {at}")
         rows = changes.withColumn("as_of_sequence", F.lit(sequence).cast("bigint"))
-        ticket = {"run": done[-1]["run"] + 1 if done else 1, "low": str(at), "watermark": str(sequence)}
+        ticket = {"run": done["run"] + 1 if done else 1, "low": str(at), "watermark": str(sequence)}
         return self.runs.commit(rows, ticket)
 
     def catch_up(self, changes: DataFrame) -> int:
@@ -155,8 +154,8 @@ class Materializer:
         That is the watermark, so that the scope goes on with the others; only the first commit of all may set it. Rows of another
         scope, rows that begin or end later and repeated keys are refused before anything is written.
         """
-        done = self.runs.commits()
-        at = int(done[-1]["watermark"]) if done else sequence
+        done = self.runs.last()
+        at = int(done["watermark"]) if done else sequence
         if sequence != at:
             raise ValueError(f"a rebuild at {sequence} does not meet the watermark {at}")
         of = F.col("repository_id").eqNullSafe(F.lit(repository_id)) & F.col("worktree_id").eqNullSafe(F.lit(worktree_id))
@@ -165,7 +164,7 @@ class Materializer:
         _none(feed.where((F.col("valid_from_sequence") > sequence) | (F.col("valid_until_sequence") > sequence)), f"rows later than {sequence}")
         _none(feed.groupBy(*self.KEY).count().where("count > 1"), "repeated keys")
         rows = feed.withColumn("as_of_sequence", F.lit(sequence).cast("bigint"))
-        ticket = {"run": done[-1]["run"] + 1 if done else 1, "low": str(at), "watermark": str(sequence), "rebuilt": [repository_id, worktree_id]}
+        ticket = {"run": done["run"] + 1 if done else 1, "low": str(at), "watermark": str(sequence), "rebuilt": [repository_id, worktree_id]}
         won = self.runs.commit(rows, ticket)
         discard(feed)
         return won

@@ -6,17 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.operators import asof, changefeed, incremental, ledger, references
+from palimpsest.session import scratch_path
 from palimpsest.sources.tables import table
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows come from the files that a run has committed together with its watermark."""
+    root = scratch_path(spark, "pending")
     feed = table(spark, sf_dir, "change_feed")
-    return incremental.pending_records(
-        feed,
-        table(spark, sf_dir, "watermarks"),
-        table(spark, sf_dir, "stream_checkpoints"),
-        incremental.upper_limit(feed),
-    ).select("consumer", "change_id", "revision")
+    incremental.run_pending(feed, table(spark, sf_dir, "watermarks"), table(spark, sf_dir, "stream_checkpoints"), root)
+    return incremental.committed_pending(spark, root).select("consumer", "change_id", "revision")
 
 
 P3_FOUND = """
