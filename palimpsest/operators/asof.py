@@ -1,13 +1,14 @@
 """Attributes as known at event time (problem 4).
 
-Every attribute of an entity has its own history of (value, validity, time it became known).
-An event is matched with each history by itself: of the values whose validity holds the
-event's sequence and which were known when the event was made, the one known last. The
-matches are then pivoted back to one row per event, so that attributes which change at
-different times never have to be brought into common wide versions.
+Every attribute of an entity has its own history of (value, validity, time it became known), in which a statement that
+repeats the one before it is left out, so that an attribute which seldom changes has a short history whatever the others
+do. An event is matched with each history by itself: of the values whose validity holds the event's sequence and which were
+known when the event was made, the one known last. The matches are then pivoted back to one row per event.
 
-The match and the pivot are one aggregation per event with a partial step before its shuffle,
-so an event never carries more than one candidate per attribute and task across the network.
+Matching is a merge and pairs nothing. Validity is cut into dyadic ranges of sequences (``intervals``): a value lies in at
+most two ranges per level, an event in one. Within a range only times matter: events and values are sorted together, and each
+event takes the last value before it. Ranges are cut into time blocks, so that no task sorts a whole hot range; the last
+value before a block comes from a running maximum over block summaries.
 
 Edge cases: an event with a null key, sequence or time, or without a match, gives no row; a null
 value that was the one known last comes out as null; of two values known at the same
@@ -17,31 +18,53 @@ events that have the same name as an attribute do not clash.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import materialize
+from palimpsest.operators.intervals import levels_of, nodes_over, nodes_within
+
+OPEN = 2**63 - 1
+#: Time blocks.
+BLOCKS = 256
 
 
 def attribute_histories(
-    versions: DataFrame, keys: list[str], attributes: list[str], valid_from: str, valid_until: str, known_at: str, tie: str
+    versions: DataFrame, keys: list[str], attributes: list[str], valid_from: str, valid_until: str, known_at: str, tie: str, block: Column | None = None
 ) -> DataFrame:
-    """One narrow row per attribute and version: (keys, attribute, value, validity, known time)."""
-    cells = F.array(*[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes])
-    return versions.select(
-        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
-        F.col(valid_from).alias("__from"),
-        F.col(valid_until).alias("__until"),
-        F.col(known_at).alias("__known"),
-        F.col(tie).alias("__tie"),
-        F.explode(cells).alias("__cell"),
-    )
-
+    """(keys, attribute, value, validity, known time, tie): the history of each attribute.
 
-#: An entity with more versions than this is matched by the merge, any other by the join.
-CROWDED = 64
-#: Time blocks of the merge.
-BLOCKS = 256
+    A statement is left out where the entity's statement known just before it gives the attribute the same value over a
+    validity that holds its own: the last one known is then the same value with or without it. ``block`` cuts the entity's statements
+    into groups that are looked at by themselves; the first of a group always stays.
+    """
+    rows = versions.select(
+        *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)],
+        F.col(valid_from).alias("__from"), F.coalesce(valid_until, F.lit(OPEN)).alias("__until"), F.col(known_at).alias("__known"), F.col(tie).alias("__tie"),
+        *[F.col(a).cast("string").alias(f"__v{i}") for i, a in enumerate(attributes)],
+        (F.lit(0) if block is None else block).alias("__block"),
+    )
+    by = Window.partitionBy(*[f"__k{i}" for i in range(len(keys))], "__block").orderBy("__known", "__tie")
+    within = (F.lag("__from").over(by) <= F.col("__from")) & (F.col("__until") <= F.lag("__until").over(by))
+    cells = []
+    for i, a in enumerate(attributes):
+        cell = F.struct(F.lit(a).alias("attribute"), F.col(f"__v{i}").alias("value"))
+        # Values of the tie's own column all differ.
+        again = F.lit(False) if a == tie else F.coalesce(within & F.lag(f"__v{i}").over(by).eqNullSafe(F.col(f"__v{i}")), F.lit(False))
+        cells.append(F.when(~again, cell))
+    if any(a != tie for a in attributes):
+        for i, c in enumerate(cells):
+            rows = rows.withColumn(f"__c{i}", c)
+        cells = [F.col(f"__c{i}") for i in range(len(cells))]
+    kept = rows.select(*[f"__k{i}" for i in range(len(keys))], "__from", "__until", "__known", "__tie", F.explode(F.array_compact(F.array(*cells))).alias("c"))
+    return kept.select(*[c for c in kept.columns if c != "c"], "c.attribute", "c.value")
+
+
+def _blocks(known: DataFrame, column: str) -> Column:
+    """The time block of ``column``, by quantiles of the times in ``known``."""
+    cuts = known.agg(F.percentile_approx(column, F.lit([i / BLOCKS for i in range(1, BLOCKS)]), F.lit(1000)).cast("array<string>").alias("q")).first()["q"]
+    kind = dict(known.dtypes)[column]
+    bounds = F.array(*[F.lit(c).cast(kind) for c in sorted(set(cuts or []))]) if cuts else F.array().cast(f"array<{kind}>")
+    return lambda c: F.size(F.filter(bounds, lambda b: b <= c))
 
 
 def attributes_at_event(
@@ -56,109 +79,45 @@ def attributes_at_event(
     valid_until: str = "valid_until_sequence",
     known_at: str = "accepted_at",
     tie: str = "version_id",
-    crowded: int = CROWDED,
 ) -> DataFrame:
-    """(event_id, one column per attribute): the values that held and were known at each event.
-
-    An event meets at most ``crowded`` versions in the join. Entities with more go through ``_merged``, which pairs
-    nothing.
-    """
+    """(event_id, one column per attribute): the values that held and were known at each event."""
     k = [f"__k{i}" for i in range(len(keys))]
-    asked = events.select(
-        F.col(event_id).alias("__event"),
-        *[F.col(c).alias(n) for c, n in zip(keys, k)],
-        F.col(sequence).alias("__seq"),
-        F.col(known_by).alias("__by"),
-    )
-    history = attribute_histories(versions, keys, attributes, valid_from, valid_until, known_at, tie)
     types = dict(versions.dtypes)
-    many = (
-        versions.groupBy(*[F.col(c).alias(n) for c, n in zip(keys, k)])
-        .agg(F.count("*").alias("n"))
-        .where((F.col("n") > crowded) & F.forall(F.array(*k), lambda x: x.isNotNull()))
-        .select(*k)
-    )
-    many = materialize(many, "crowded")
-    if many.isEmpty():
-        return _joined(asked, history, k, attributes, event_id, types)
-    few = _joined(asked.join(many, k, "left_anti"), history.join(many, k, "left_anti"), k, attributes, event_id, types)
-    return few.unionByName(
-        _merged(asked.join(many, k, "left_semi"), history.join(many, k, "left_semi"), k, attributes, event_id, types)
-    )
-
-
-def _joined(asked: DataFrame, history: DataFrame, k: list[str], attributes: list[str], event_id: str, types: dict) -> DataFrame:
-    matched = asked.join(history, k).where(
-        (F.col("__from") <= F.col("__seq"))
-        & (F.col("__until").isNull() | (F.col("__seq") < F.col("__until")))
-        & (F.col("__known") <= F.col("__by"))
-    )
-    order = F.struct("__known", "__tie")
-    latest = [
-        F.max_by(
-            F.when(F.col("__cell.attribute") == a, F.struct("__cell.value")),
-            F.when(F.col("__cell.attribute") == a, order),
-        ).alias(a)
-        for a in attributes
-    ]
-    return (
-        matched.groupBy("__event")
-        .agg(*latest)
-        .select(F.col("__event").alias(event_id), *[F.col(f"{a}.value").cast(types[a]).alias(a) for a in attributes])
+    time = types[known_at]
+    asked = events.select(
+        F.col(event_id).alias("__event"), *[F.col(c).alias(n) for c, n in zip(keys, k)], F.col(sequence).alias("__seq"), F.col(known_by).cast(time).alias("__by")
+    ).where(F.forall(F.array(*[F.col(c).isNotNull() for c in k], F.col("__seq").isNotNull(), F.col("__by").isNotNull()), lambda x: x)).distinct()
+    # Only entities that some event asks for have histories to match.
+    wanted = versions.where(F.col(valid_from).isNotNull() & F.col(known_at).isNotNull()).join(
+        asked.select(*[F.col(n).alias(c) for n, c in zip(k, keys)]).distinct(), keys, "left_semi"
     )
-
-
-def _merged(asked: DataFrame, history: DataFrame, k: list[str], attributes: list[str], event_id: str, types: dict) -> DataFrame:
-    """The same by merging instead of pairing.
-
-    Validity is cut into the dyadic ranges of a binary tree over the sequences: a version lies in at most two
-    ranges per level, an event in one. Within a range only times matter: events and versions are sorted
-    together and each event takes the last version before it. Ranges are cut into time blocks, so that
-    no task sorts a whole hot range; the last version before a block comes from a running maximum over block
-    summaries.
-    """
-    asked = asked.where("__seq is not null and __by is not null").distinct()
-    history = history.where("__from is not null and __known is not null")
-    top = history.agg(F.max(F.greatest("__from", F.coalesce("__until", "__from")))).first()[0] or 0
-    top = max(top, asked.agg(F.max("__seq")).first()[0] or 0) + 1
-    levels = max(1, int(top).bit_length())
-    event_nodes = F.array(*[F.struct(F.lit(lv).alias("lv"), F.shiftright("__seq", lv).alias("nd")) for lv in range(levels)])
-    until = F.least(F.coalesce("__until", F.lit(top)), F.lit(top))
-    cover = []
-    for lv in range(levels):
-        left = F.shiftright(F.greatest("__from", F.lit(0)) + ((1 << lv) - 1), lv)
-        right = F.shiftright(until, lv)
-        node = lambda n: F.struct(F.lit(lv).alias("lv"), n.cast("bigint").alias("nd"))  # noqa: B023, E731
-        cover += [F.when((left < right) & (left % 2 == 1), node(left)), F.when((left < right) & (right % 2 == 1), node(right - 1))]
-    micros = lambda c: F.col(c).cast("timestamp_ntz")
-    e = asked.select(*k, "__event", F.explode(event_nodes).alias("n"), micros("__by").alias("t"), F.lit(1).alias("is_event"))
-    v = history.select(*k, "__tie", "__cell", F.explode(F.array_compact(F.array(*cover))).alias("n"), micros("__known").alias("t"), F.lit(0).alias("is_event"))
-    # An event asks each attribute's history by itself.
-    names = F.explode(F.array(*[F.lit(a) for a in attributes])).alias("attribute")
-    e = e.select(*k, "n.lv", "n.nd", names, "t", "is_event", "__event")
-    v = v.select(*k, "n.lv", "n.nd", F.col("__cell.attribute").alias("attribute"), "t", "is_event", F.struct("t", "__tie", "__cell.value").alias("ver"))
-    cuts = v.select(F.unix_micros(F.col("t").cast("timestamp")).alias("m")).approxQuantile("m", [i / BLOCKS for i in range(1, BLOCKS)], 1e-3)
-    bounds = sorted({int(c) for c in cuts})
-    if bounds:
-        edges = F.array(*[F.lit(b) for b in bounds])
-        block = F.size(F.filter(edges, lambda b: b <= F.unix_micros(F.col("t").cast("timestamp"))))
-    else:
-        block = F.lit(0)
-    e, v = e.withColumn("block", block), v.withColumn("block", block)
-    group = [*k, "lv", "nd", "attribute"]
-    # One row per block of a range that has events or versions; its carry is the last version of the blocks before.
-    summary = v.select(*group, "block", "ver").unionByName(e.select(*group, "block").distinct(), allowMissingColumns=True)
+    block = _blocks(versions, known_at)
+    history = attribute_histories(wanted, keys, attributes, valid_from, valid_until, known_at, tie, block(F.col(known_at)))
+    span = versions.agg(F.min(valid_from).alias("low"), F.max(F.greatest(valid_from, valid_until)).alias("high")).first()
+    # Sequences count from the least start; no value holds before it, and all that holds at or after the greatest border holds at all later ones.
+    low, top = span["low"] or 0, (span["high"] or 0) - (span["low"] or 0) + 1
+    levels = levels_of(top + 1)
+    at = F.least(F.col("__seq") - low, F.lit(top - 1)).cast("bigint")
+    until = F.least(F.col("__until") - low, F.lit(top)).cast("bigint")
+    e = asked.where(F.col("__seq") >= low).select(*k, "__event", F.explode(nodes_over(at, levels)).alias("n"), F.col("__by").alias("t"))
+    v = history.select(*k, "attribute", F.explode(nodes_within(F.col("__from") - low, until, levels)).alias("n"), F.col("__known").alias("t"), F.struct(F.col("__known").alias("t"), "__tie", "value").alias("ver"))
+    e = e.select(*k, "n.lv", "n.nd", block(F.col("t")).alias("block"), "t", F.lit(1).alias("is_event"), "__event")
+    v = v.select(*k, "n.lv", "n.nd", block(F.col("t")).alias("block"), "t", F.lit(0).alias("is_event"), "attribute", "ver")
+    group = [*k, "lv", "nd"]
+    of = {a: F.when(F.col("attribute") == a, F.col("ver")) for a in attributes}
+    names = {a: f"__a{i}" for i, a in enumerate(attributes)}
+    # One row per block of a range that has events or values; its carry is the last value of the blocks before.
+    summary = v.groupBy(*group, "block").agg(*[F.max(of[a]).alias(n) for a, n in names.items()])
+    summary = summary.unionByName(e.select(*group, "block").distinct(), allowMissingColumns=True)
     before = Window.partitionBy(*group).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = summary.groupBy(*group, "block").agg(F.max("ver").alias("ver")).select(*group, "block", F.max("ver").over(before).alias("carry"))
+    carried = summary.groupBy(*group, "block").agg(*[F.max(n).alias(n) for n in names.values()])
+    carried = carried.select(*group, "block", *[F.max(n).over(before).alias(f"{n}c") for n in names.values()])
     inside = Window.partitionBy(*group, "block").orderBy("t", "is_event").rowsBetween(Window.unboundedPreceding, 0)
     both = e.unionByName(v, allowMissingColumns=True)
-    seen = both.withColumn("here", F.max("ver").over(inside)).where("is_event = 1").join(carried, [*group, "block"], "left")
-    best = seen.groupBy("__event").agg(
-        *[F.max(F.when(F.col("attribute") == a, F.greatest("here", "carry"))).alias(a) for a in attributes]
-    )
-    found = F.coalesce(*[F.col(a) for a in attributes]).isNotNull()
-    return best.where(found).select(
-        F.col("__event").alias(event_id), *[F.col(f"{a}.value").cast(types[a]).alias(a) for a in attributes]
+    seen = both.select("*", *[F.max(of[a]).over(inside).alias(n) for a, n in names.items()]).where("is_event = 1").join(carried, [*group, "block"], "left")
+    best = seen.groupBy("__event").agg(*[F.max(F.greatest(n, f"{n}c")).alias(n) for n in names.values()])
+    return best.where(F.coalesce(*names.values()).isNotNull()).select(
+        F.col("__event").alias(event_id), *[F.col(f"{n}.value").cast(types[a]).alias(a) for a, n in names.items()]
     )
 
 
