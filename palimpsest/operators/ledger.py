@@ -7,7 +7,7 @@ borders of the entity) and supersedes the earlier rows by closing their recorded
 nothing is overwritten. The current history is the slice of rows whose recorded period is
 open, with touching equal neighbours joined.
 
-Edge cases: rows with a null key or null start are left out; a null end is open; statements
+Edge cases: rows with a null key or null start or an empty period are left out; a null end is open; statements
 recorded at the same time about the same period are decided by the greater payload, a null
 field being least; null attributes equal null; repeated rows change nothing; empty tables give
 empty results.
@@ -26,10 +26,11 @@ def bitemporal_ledger(statements: DataFrame, keys: list[str], payload: list[str]
     """Rows (keys, valid_from, valid_until, payload, recorded_from, recorded_until) from
     statements (keys, valid_from, valid_until, recorded_at, payload).
 
-    Sweep line: the borders of all statements of a key cut it into elementary periods; each statement
-    is laid over the periods it covers; within a period the statements are ordered by
-    recorded time and each is superseded by the next. Windows run within one period of one key,
-    never over a whole key.
+    Sweep line: the borders of all statements of a key, numbered in order, cut it into elementary periods. A statement learns
+    the numbers of its two borders by equality and is laid over the periods between them, so the work is that of the ledger's own
+    rows; a statement that covers one period, as those of periodic snapshots do, is laid at once. Within a period the
+    statements are ordered by recorded time and each is superseded by the next. Statements are windowed within one period of
+    one key; over a whole key only its distinct borders are.
     """
     said = statements.select(
         *keys,
@@ -37,17 +38,18 @@ def bitemporal_ledger(statements: DataFrame, keys: list[str], payload: list[str]
         F.coalesce("valid_until", F.lit(OPEN)).alias("valid_until"),
         "recorded_at",
         F.struct(*payload).alias("payload"),
-    ).where(F.col("valid_from").isNotNull())
+    ).where(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x) & (F.col("valid_from") < F.coalesce("valid_until", F.lit(OPEN))))
     said = said.distinct()
     borders = said.select(*keys, F.explode(F.array("valid_from", "valid_until")).alias("at")).distinct()
     after = Window.partitionBy(*keys).orderBy("at")
-    periods = borders.select(*keys, F.col("at").alias("p_from"), F.lead("at").over(after).alias("p_until")).where(
-        F.col("p_until").isNotNull()
-    )
-    laid = said.join(periods, keys).where(
-        (F.col("valid_from") <= F.col("p_from")) & (F.col("p_until") <= F.col("valid_until"))
-    )
-    return supersede(laid, keys, payload)
+    periods = borders.select(*keys, F.col("at").alias("p_from"), F.lead("at").over(after).alias("p_until"), F.row_number().over(after).alias("p"))
+    on = lambda a, b, pair: [F.col(f"{a}.{x}") == F.col(f"{b}.{y}") for x, y in (*zip(keys, keys), pair)]
+    begun = said.alias("s").join(periods.alias("p"), on("s", "p", ("valid_from", "p_from"))).select("s.*", "p.p_from", "p.p_until", "p.p")
+    one = begun.where("p_until = valid_until").drop("p")
+    long = begun.where("p_until < valid_until").drop("p_from", "p_until").alias("s")
+    long = long.join(periods.alias("e"), on("s", "e", ("valid_until", "p_from"))).select("s.*", F.explode(F.sequence(F.col("s.p"), F.col("e.p") - 1)).alias("at")).drop("p")
+    long = long.alias("s").join(periods.alias("p"), on("s", "p", ("at", "p"))).select("s.*", "p.p_from", "p.p_until").drop("at")
+    return supersede(one.unionByName(long), keys, payload)
 
 
 def supersede(laid: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:

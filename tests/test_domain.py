@@ -68,6 +68,76 @@ def test_incremental_runs_neither_skip_nor_repeat(spark, tmp_path):
     assert sorted(r.n for r in run.output().collect()) == list(range(9))
 
 
+def test_late_rows_at_the_watermark(spark, tmp_path):
+    src = lambda *rows: spark.createDataFrame(list(rows), "id string, n bigint")
+    run = incremental.IncrementalRun(spark, f"file://{tmp_path}/keyed", "n", ["id"])
+    first = [("a", 1), ("b", 5), ("x", None), (None, 5)]
+    for rows, want in ((first, ["None", "a", "b", "x"]), ([*first, ("c", 5), ("y", None)], ["c", "y"]), ([*first, ("c", 5), ("y", None), ("d", 5), ("e", 6)], ["d", "e"])):
+        got, ticket = run.take(src(*rows))
+        assert sorted(str(r.id) for r in got.collect()) == want
+        assert run.commit(got, ticket)
+    assert run.output().count() == 8
+    assert run.take(src())[0].isEmpty()
+    strict = incremental.IncrementalRun(spark, f"file://{tmp_path}/strict", "n")
+    for bad in (first, [("a", 1), ("b", 1)]):
+        with pytest.raises(ValueError):
+            strict.take(src(*bad))
+    got, ticket = strict.take(src(("a", 1), ("b", 2)))
+    assert strict.commit(got, ticket)
+    for late in (("c", 2), ("c", 0)):
+        with pytest.raises(ValueError, match="late"):
+            strict.take(src(("a", 1), ("b", 2), late))
+    assert [r.id for r in strict.take(src(("a", 1), ("b", 2), ("c", 3)))[0].collect()] == ["c"]
+
+
+def test_pending_runs_commit_output_with_watermark(spark, tmp_path):
+    root = f"file://{tmp_path}/runs"
+    marks, checks = spark.createDataFrame([], MARKS), spark.createDataFrame([], CHECKS)
+    feed = [change(1, when=5), change(1, when=9), change(2, when=6), change(3, when=None)]
+    got = lambda: sorted((r.consumer[0], r.change_id, r.revision) for r in incremental.committed_pending(spark, root).collect())
+    real, incremental.write_once = incremental.write_once, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    try:
+        with pytest.raises(OSError):
+            incremental.run_pending(spark.createDataFrame(feed, FEED), marks, checks, root)
+    finally:
+        incremental.write_once = real
+    assert incremental.committed_pending(spark, root) is None
+    assert incremental.run_pending(spark.createDataFrame(feed, FEED), marks, checks, root)
+    first = [(c, i, 0) for c in "im" for i in (1, 2, 3)]
+    assert got() == first
+    # A repeat, a record that arrives in the watermark's own microsecond and a new revision.
+    feed += [change(2, when=30), change(4, when=9), change(1, rev=1, when=31)]
+    assert incremental.run_pending(spark.createDataFrame(feed, FEED), marks, checks, root)
+    assert got() == sorted(first + [(c, *x) for c in "im" for x in ((4, 0), (1, 1))])
+
+
+def test_one_of_eight_writers_commits(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from palimpsest.session import read_text, write_once
+
+    for i in range(20):
+        path = f"file://{tmp_path}/m/{i}.json"
+        with ThreadPoolExecutor(8) as pool:
+            won = list(pool.map(lambda n: write_once(spark, path, str(n)), range(8)))
+        assert sum(won) == 1 and read_text(spark, path) == str(won.index(True))
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    from types import SimpleNamespace
+
+    from palimpsest.session import shared_dir
+
+    class Conf(dict):
+        def get(self, k, d=None):
+            return None
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://x:7077"):
+        fake = SimpleNamespace(conf=Conf(), sparkContext=SimpleNamespace(master=master, getConf=Conf))
+        with pytest.raises(ValueError):
+            shared_dir(fake)
+
+
 VERSIONS = "repository_id string, worktree_id string, edge_id string, version_id bigint, color string, valid_from_sequence bigint, valid_until_sequence bigint, accepted_at timestamp_ntz, drawn_at int"
 
 
@@ -87,10 +157,13 @@ def test_attributes_at_event_equals_brute_force(spark):
             want[p] = (best[3], best[4])
     assert {r.premise_id: (r.version_id, r.color) for r in got.collect()} == want
     assert got.count() == len(want)
-    # The same where all entities, or some, count as crowded.
-    for crowded in (0, 13):
-        merged = asof.attributes_at_event(e, v, ["repository_id", "worktree_id", "edge_id"], "premise_id", "seq", "drawn_at", ["version_id", "color"], crowded=crowded)
-        assert sorted(((r.premise_id, r.version_id, r.color) for r in merged.collect()), key=str) == sorted(((p, *x) for p, x in want.items()), key=str)
+    # A history that never changes and one that does are matched by themselves.
+    color = asof.attributes_at_event(e, v, ["repository_id", "worktree_id", "edge_id"], "premise_id", "seq", "drawn_at", ["color"])
+    assert sorted(((r.premise_id, r.color) for r in color.collect()), key=str) == sorted(((p, x[1]) for p, x in want.items()), key=str)
+    none = asof.attributes_at_event(e.where("false"), v, ["repository_id", "worktree_id", "edge_id"], "premise_id", "seq", "drawn_at", ["color"])
+    assert none.count() == 0
+    none = asof.attributes_at_event(e, v.where("false"), ["repository_id", "worktree_id", "edge_id"], "premise_id", "seq", "drawn_at", ["color"])
+    assert none.count() == 0
 
 
 def tables(spark, nodes, edges, files=(), provenance=()):
@@ -142,6 +215,24 @@ def test_ledger_splits_and_supersedes(spark):
     assert believed(6) == [(1, 3, "a"), (3, 6, "b"), (6, 8, "c"), (8, None, "a")]
 
 
+def test_ledger_of_one_key_with_many_statements(spark):
+    """Statements that each cover one period, and one over all of them: rows grow with what is written, not with its square."""
+    n = 20_000
+    said = spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias("valid_from"), (F.col("id") + 1).alias("valid_until"), F.lit(at(5)).alias("recorded_at"), (F.col("id") % 2).alias("v"))
+    whole = spark.createDataFrame([("k", 0, None, at(1), 7)], "key string, valid_from bigint, valid_until bigint, recorded_at timestamp_ntz, v bigint")
+    led = ledger.bitemporal_ledger(said.unionByName(whole), ["key"], ["v"])
+    got = led.agg(F.count("*").alias("n"), F.count_if("is_current").alias("c"), F.count_if((F.col("v") == 7) & F.col("is_current")).alias("w")).first()
+    assert (got.n, got.c, got.w) == (2 * n + 1, n + 1, 1)
+    rng = random.Random(8)
+    brute = [("k", f, rng.choice([None, f + rng.randint(1, 5)]), at(rng.randint(0, 20)), i) for i, f in enumerate(rng.randint(0, 9) for _ in range(25))]
+    led = ledger.bitemporal_ledger(spark.createDataFrame(brute, "key string, valid_from bigint, valid_until bigint, recorded_at timestamp_ntz, v bigint"), ["key"], ["v"])
+    now = ledger.merged_history(led.where("is_current"), ["key"], ["v"]).collect()
+    for s in range(16):
+        want = max(((r, v) for _, f, u, r, v in brute if f <= s and (u is None or s < u)), default=(None, None))[1]
+        got = [r.v for r in now if r.valid_from <= s and (r.valid_until is None or s < r.valid_until)]
+        assert got == ([] if want is None else [want])
+
+
 def brute_state(feed):
     last = {}
     for x in feed:
@@ -179,6 +270,27 @@ def test_untouched_buckets_keep_their_files(spark, tmp_path):
     assert table.current().count() == 39
 
 
+def test_later_parts_are_merged_bucket_by_bucket(spark, tmp_path):
+    """Without a merge of the touched buckets the facts of the first part would be lost, and without bucketed files both would be shuffled."""
+    feed = [change(i, rev=i % 2, seq=i % 5, fact=f"f{i % 60}", what=changefeed.KINDS[i % 3], when=i) for i in range(200)] + [change(900, when=None, wt=None), change(901, wt="", when=1)]
+    df = spark.createDataFrame(feed, FEED)
+    parts = changefeed.parts_by_arrival(df, 3)
+    assert [p.count() > 40 for p in parts] == [True] * 3 and sum(p.count() for p in parts) == len(feed)
+    table = changefeed.BucketedTable(spark, f"file://{tmp_path}/t", 3)
+    plans, merged = [], table.merged
+    table.merged = lambda *a: plans.append((r := merged(*a))[0]._jdf.queryExecution().executedPlan().toString()) or r
+    for p in parts:
+        table.apply(p)
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Exchange" not in p for p in plans)
+    got = sorted((str(r.worktree_id), r.fact_id, r.change_id, r.revision) for r in table.current().collect())
+    assert got == sorted((str(w), f, c, v) for w, _, f, c, v in brute_state(feed))
+    # Old folders go, the state stays; a table that has outgrown its buckets is laid out anew.
+    table.vacuum()
+    small = changefeed.BucketedTable(spark, f"file://{tmp_path}/t", bucket_rows=3)
+    small.apply(df)
+    assert small.manifest()["width"] > 3 and small.current().count() == len(got)
+
+
 def test_two_writers_of_one_version(spark, tmp_path):
     a = changefeed.BucketedTable(spark, f"file://{tmp_path}/t", 2)
     stale = a.manifest()
