@@ -157,6 +157,10 @@ def test_attributes_at_event_equals_brute_force(spark):
             want[p] = (best[3], best[4])
     assert {r.premise_id: (r.version_id, r.color) for r in got.collect()} == want
     assert got.count() == len(want)
+    # Entities cut into many time blocks or few.
+    for rows in (1, 9):
+        cut = asof.attributes_at_event(e, v, ["repository_id", "worktree_id", "edge_id"], "premise_id", "seq", "drawn_at", ["version_id", "color"], block_rows=rows)
+        assert {r.premise_id: (r.version_id, r.color) for r in cut.collect()} == want
     # A history that never changes and one that does are matched by themselves.
     color = asof.attributes_at_event(e, v, ["repository_id", "worktree_id", "edge_id"], "premise_id", "seq", "drawn_at", ["color"])
     assert sorted(((r.premise_id, r.color) for r in color.collect()), key=str) == sorted(((p, x[1]) for p, x in want.items()), key=str)
