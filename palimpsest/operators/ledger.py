@@ -18,19 +18,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.session import materialize
+
 PLACE = ["repository_id", "worktree_id"]
-OPEN = 2**63 - 1
+#: An end that is open: beyond any sequence, with room for arithmetic.
+OPEN = 2**62
 
 
 def bitemporal_ledger(statements: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
     """Rows (keys, valid_from, valid_until, payload, recorded_from, recorded_until) from
     statements (keys, valid_from, valid_until, recorded_at, payload).
 
-    Sweep line: the borders of all statements of a key, numbered in order, cut it into elementary periods. A statement learns
-    the numbers of its two borders by equality and is laid over the periods between them, so the work is that of the ledger's own
-    rows; a statement that covers one period, as those of periodic snapshots do, is laid at once. Within a period the
-    statements are ordered by recorded time and each is superseded by the next. Statements are windowed within one period of
-    one key; over a whole key only its distinct borders are.
+    Sweep line: the borders of all statements of a key cut it into elementary periods, and a statement is laid over the periods that
+    it covers. The sweep goes over the distinct periods stated, not over the statements: each looks for the next border after
+    its start, and only those that go on past it are split, by the numbers of their two borders. So the work is that of the ledger's own
+    rows, and statements that cover one period, as those of periodic snapshots do, are neither joined nor copied. Within a period
+    the statements are ordered by recorded time and each is superseded by the next. Statements are windowed within one period of
+    one key; over a whole key only its distinct periods and borders are.
     """
     said = statements.select(
         *keys,
@@ -39,32 +43,48 @@ def bitemporal_ledger(statements: DataFrame, keys: list[str], payload: list[str]
         "recorded_at",
         F.struct(*payload).alias("payload"),
     ).where(F.forall(F.array(*[F.col(k).isNotNull() for k in keys]), lambda x: x) & (F.col("valid_from") < F.coalesce("valid_until", F.lit(OPEN))))
-    said = said.distinct()
-    borders = said.select(*keys, F.explode(F.array("valid_from", "valid_until")).alias("at")).distinct()
+    parts = _split_periods(said.select(*keys, "valid_from", "valid_until").distinct(), keys)
+    if parts is None:
+        laid = said.withColumn("p_from", F.col("valid_from")).withColumn("p_until", F.col("valid_until"))
+    else:
+        laid = said.join(parts, [*keys, "valid_from", "valid_until"], "left")
+        laid = laid.withColumn("p_from", F.coalesce("p_from", "valid_from")).withColumn("p_until", F.coalesce("p_until", "valid_until"))
+    return supersede(laid, keys, payload)
+
+
+def _split_periods(spans: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, valid_from, valid_until, p_from, p_until): the elementary periods of each span that has several; None if none has."""
+    ends = F.array(F.struct(F.col("valid_from").alias("at"), F.col("valid_until").alias("until")), F.struct(F.col("valid_until").alias("at"), F.lit(None).cast("bigint").alias("until")))
+    borders = spans.select(*keys, F.explode(ends).alias("b")).select(*keys, "b.*")
+    beyond = Window.partitionBy(*keys).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, -1)
+    long = borders.withColumn("next", F.min("at").over(beyond)).where("next < until").select(*keys, F.col("at").alias("valid_from"), F.col("until").alias("valid_until"))
+    long = materialize(long, "long")
+    if long.isEmpty():
+        return None
+    cut = borders.join(long.select(*keys).distinct(), keys, "left_semi").select(*keys, "at").distinct()
     after = Window.partitionBy(*keys).orderBy("at")
-    periods = borders.select(*keys, F.col("at").alias("p_from"), F.lead("at").over(after).alias("p_until"), F.row_number().over(after).alias("p"))
-    on = lambda a, b, pair: [F.col(f"{a}.{x}") == F.col(f"{b}.{y}") for x, y in (*zip(keys, keys), pair)]
-    begun = said.alias("s").join(periods.alias("p"), on("s", "p", ("valid_from", "p_from"))).select("s.*", "p.p_from", "p.p_until", "p.p")
-    one = begun.where("p_until = valid_until").drop("p")
-    long = begun.where("p_until < valid_until").drop("p_from", "p_until").alias("s")
-    long = long.join(periods.alias("e"), on("s", "e", ("valid_until", "p_from"))).select("s.*", F.explode(F.sequence(F.col("s.p"), F.col("e.p") - 1)).alias("at")).drop("p")
-    long = long.alias("s").join(periods.alias("p"), on("s", "p", ("at", "p"))).select("s.*", "p.p_from", "p.p_until").drop("at")
-    return supersede(one.unionByName(long), keys, payload)
+    periods = cut.select(*keys, F.col("at").alias("p_from"), F.lead("at").over(after).alias("p_until"), F.row_number().over(after).alias("p"))
+    number = lambda c, n: periods.select(*keys, F.col("p_from").alias(c), F.col("p").alias(n))
+    between = long.join(number("valid_from", "i"), [*keys, "valid_from"]).join(number("valid_until", "j"), [*keys, "valid_until"])
+    between = between.withColumn("p", F.explode(F.sequence(F.col("i"), F.col("j") - 1))).drop("i", "j")
+    return between.join(periods, [*keys, "p"]).select(*keys, "valid_from", "valid_until", "p_from", "p_until")
 
 
 def supersede(laid: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
-    """Close each statement's recorded period at the next statement about the same elementary period."""
+    """Close each statement's recorded period at the next statement about the same elementary period; repeats count once."""
     within = Window.partitionBy(*keys, "p_from").orderBy("recorded_at", "payload")
-    return laid.select(
+    told = F.struct("recorded_at", "payload")
+    # The order serves both windows, so that repeats go without a sort or a shuffle of their own.
+    once = laid.withColumn("again", F.coalesce(F.lag(told).over(within).eqNullSafe(told), F.lit(False))).where("not again")
+    following = F.lead(F.struct("recorded_at")).over(within)
+    return once.withColumn("following", following).select(
         *keys,
         F.col("p_from").alias("valid_from"),
         F.when(F.col("p_until") != OPEN, F.col("p_until")).alias("valid_until"),
         *[F.col(f"payload.{c}").alias(c) for c in payload],
         F.col("recorded_at").alias("recorded_from"),
-        F.lead("recorded_at").over(within).alias("recorded_until"),
-        (F.row_number().over(Window.partitionBy(*keys, "p_from").orderBy(F.desc("recorded_at"), F.desc("payload"))) == 1).alias(
-            "is_current"
-        ),
+        F.col("following.recorded_at").alias("recorded_until"),
+        F.col("following").isNull().alias("is_current"),
     )
 
 
@@ -108,6 +128,8 @@ def snapshot_statements(snapshots: DataFrame) -> DataFrame:
     slots = slots.withColumn(
         "valid_until", F.lead("as_of_sequence").over(Window.partitionBy(*PLACE).orderBy("as_of_sequence"))
     )
+    # Written first, so that the planner knows their size when it chooses the join.
+    slots = materialize(slots, "slots")
     return snapshots.join(slots, [*PLACE, "as_of_sequence"]).select(
         *EXTERNAL_KEY,
         F.col("as_of_sequence").alias("valid_from"),
