@@ -7,7 +7,6 @@ is collected.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,20 +120,40 @@ def induced_edges(edges: DataFrame, reached: DataFrame) -> DataFrame:
     )
 
 
-def simple_paths(edges: DataFrame, relation: str, max_depth: int) -> DataFrame:
+def simple_paths(edges: DataFrame, relation: str, max_depth: int, seeds: DataFrame | None = None, ends: DataFrame | None = None) -> DataFrame:
     """(place, start, end, nodes, edge_ids) of every path of 1..max_depth edges of a relation without a repeated node.
 
     A path that could go on past ``max_depth`` is an error, never a silent cut.
+
+    With ``ends`` (place, node_id, seeded) only paths that end at one of these, and of them only those over an edge of ``seeds`` (place,
+    edge_id) or to a seeded end. Paths grow only where they can still become such a one, by the nodes found
+    backwards from the ends and seeds.
     """
-    step = materialize(
-        edges.where(F.col("relation") == relation)
-        .select(*PLACE, F.col("edge_id").alias("e"), F.col("source").alias("s"), F.col("target").alias("t"))
-        .distinct(),
-        "steps",
-    )
-    level = step.where("s <> t").select(
-        *PLACE, F.col("s").alias("start"), F.col("t").alias("end"), F.array("s", "t").alias("nodes"), F.array("e").alias("edge_ids")
-    )
+    step = edges.where(F.col("relation") == relation).select(*PLACE, F.col("edge_id").alias("e"), F.col("source").alias("s"), F.col("target").alias("t")).distinct()
+    marks = None
+    if ends is None:
+        step = step.withColumn("seed", F.lit(False))
+    else:
+        seeded = seeds.select(*PLACE, F.col("edge_id").alias("e")).distinct().withColumn("seed", F.lit(True))
+        step = step.join(seeded, [*PLACE, "e"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
+    step = materialize(step, "steps")
+    if ends is not None:
+        back = step.select(*PLACE, F.col("s").alias("source"), F.col("t").alias("target"))
+        # Nodes from which some end can be reached, and those from which an end can be reached by way of a seed.
+        some = reach(back, ends, max_depth, "in").select(*PLACE, "node_id")
+        by_seed = step.where("seed").join(some.withColumnRenamed("node_id", "t"), [*PLACE, "t"], "left_semi").select(*PLACE, F.col("s").alias("node_id"))
+        wanted = reach(back, by_seed.unionByName(ends.where("seeded").select(*PLACE, "node_id")), max_depth, "in").select(*PLACE, "node_id")
+        some, wanted = some.distinct().withColumn("some", F.lit(True)), wanted.distinct().withColumn("wanted", F.lit(True))
+        marks = materialize(some.join(wanted, [*PLACE, "node_id"], "full_outer").withColumnRenamed("node_id", "end"), "marks")
+
+    def alive(level: DataFrame) -> DataFrame:
+        if marks is None:
+            return level
+        return level.join(marks, [*PLACE, "end"]).where((F.col("seed") & F.col("some")) | F.col("wanted")).drop("some", "wanted")
+
+    level = alive(step.where("s <> t").select(
+        *PLACE, F.col("s").alias("start"), F.col("t").alias("end"), F.array("s", "t").alias("nodes"), F.array("e").alias("edge_ids"), "seed"
+    ))
     out = None
     for depth in range(1, max_depth + 2):
         level = materialize(level, "paths")
@@ -143,139 +162,119 @@ def simple_paths(edges: DataFrame, relation: str, max_depth: int) -> DataFrame:
         if depth > max_depth:
             raise RuntimeError(f"a path of {relation} is longer than {max_depth}")
         out = level if out is None else out.unionByName(level)
-        level = (
-            level.join(step.withColumnRenamed("s", "end"), [*PLACE, "end"])
+        level = alive(
+            level.join(step.withColumnsRenamed({"s": "end", "seed": "more"}), [*PLACE, "end"])
             .where(~F.array_contains("nodes", F.col("t")))
             .select(
                 *PLACE, "start", F.col("t").alias("end"), F.concat("nodes", F.array("t")).alias("nodes"),
-                F.concat("edge_ids", F.array("e")).alias("edge_ids"),
+                F.concat("edge_ids", F.array("e")).alias("edge_ids"), (F.col("seed") | F.col("more")).alias("seed"),
             )
         )
-    return out if out is not None else level
-
-
-#: Edges, counted, up to which components are found by one depth-first pass per place.
-LOCAL_EDGES = 1_000_000
-
-
-def _components_of(rows: pd.DataFrame) -> pd.DataFrame:
-    """Strongly connected components with two members or more of one place's edges s -> t (iterative Tarjan)."""
-    names = sorted(set(rows["s"]) | set(rows["t"]))
-    number = {n: i for i, n in enumerate(names)}
-    after: list[list[int]] = [[] for _ in names]
-    for s, t in zip(rows["s"].map(number), rows["t"].map(number)):
-        after[s].append(t)
-    index, low, on, stack, out, count = [-1] * len(names), [0] * len(names), [False] * len(names), [], [], 0
-    for root in range(len(names)):
-        if index[root] >= 0:
-            continue
-        work = [(root, 0)]
-        while work:
-            v, i = work.pop()
-            if i == 0:
-                index[v] = low[v] = count
-                count += 1
-                stack.append(v)
-                on[v] = True
-            else:
-                low[v] = min(low[v], low[after[v][i - 1]])
-            for j in range(i, len(after[v])):
-                w = after[v][j]
-                if index[w] < 0:
-                    work += [(v, j + 1), (w, 0)]
-                    break
-                if on[w]:
-                    low[v] = min(low[v], index[w])
-            else:
-                if low[v] == index[v]:
-                    members = []
-                    while True:
-                        w = stack.pop()
-                        on[w] = False
-                        members.append(w)
-                        if w == v:
-                            break
-                    if len(members) > 1:
-                        out += [(names[w], names[min(members)]) for w in members]
-    place = [rows[c].iloc[0] for c in PLACE]
-    return pd.DataFrame([(*place, n, c) for n, c in out], columns=[*PLACE, "node_id", "component"])
-
-
-def cyclic_components(edges: DataFrame, max_rounds: int = 10_000, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    out = out if out is not None else level
+    if ends is not None:
+        at = ends.groupBy(*PLACE, F.col("node_id").alias("end")).agg(F.max("seeded").alias("seeded"))
+        out = out.join(at, [*PLACE, "end"]).where("seed or seeded")
+    return out.select(*PLACE, "start", "end", "nodes", "edge_ids")
+
+
+#: Steps along edges that one job takes.
+STRIDE = 8
+
+
+def _numbered(nodes: DataFrame, key: list[str]) -> DataFrame:
+    """``nodes`` with ``h``, a number of its own for each: a hash whose seed is changed until no two nodes share one."""
+    for seed in range(64):
+        numbered = materialize(nodes.select("*", F.xxhash64(F.lit(seed), *key).alias("h")), "numbers")
+        if numbered.groupBy("h").count().where("count > 1").isEmpty():
+            return numbered
+        discard(numbered)
+    raise RuntimeError("no seed gives every node a number of its own")
+
+
+def _walked(edges: DataFrame, into: str, out: str) -> DataFrame:
+    """(n): nodes at which a walk of ``STRIDE`` edges into -> out ends."""
+    at = edges.select(F.col(out).alias("n")).distinct()
+    for _ in range(STRIDE - 1):
+        at = edges.join(at, edges[into] == at["n"], "left_semi").select(F.col(out).alias("n")).distinct()
+    return at
+
+
+def _trimmed(rest: DataFrame) -> DataFrame:
+    """Edges between nodes that a long walk enters and a long walk leaves: others lie on no cycle."""
+    before, after = _walked(rest, "s", "t").withColumnRenamed("n", "s"), _walked(rest, "t", "s").withColumnRenamed("n", "t")
+    kept = materialize(rest.join(before, "s", "left_semi").join(after, "t", "left_semi").select("s", "t"), "scc")
+    discard(rest)
+    return kept
+
+
+def _least(edges: DataFrame, into: str, out: str) -> DataFrame:
+    """(n, c): for each node of the edges the least number among itself and those that reach it along into -> out.
+
+    A job passes the labels ``STRIDE`` edges on; rounds go on until none changes. An edge from each node to itself keeps its own label,
+    so that a step needs the labels before it once only.
+    """
+    ends = edges.select(F.col(into).alias("n")).unionByName(edges.select(F.col(out).alias("n"))).distinct()
+    label = materialize(ends.select("n", F.col("n").alias("c")), "labels")
+    onward = materialize(edges.select(F.col(into).alias("n"), F.col(out).alias("to")).unionByName(label.select("n", F.col("n").alias("to"))), "onward")
+    own = F.min(F.when(F.col("n") == F.col("to"), F.col("c")))
+    while True:
+        new = label
+        for _ in range(STRIDE):
+            new = onward.join(new.select("n", "c"), "n").groupBy("to").agg(F.min("c").alias("c"), (F.min("c") < own).alias("moved")).withColumnRenamed("to", "n")
+        new = materialize(new, "labels")
+        discard(label)
+        label = new
+        if new.where("moved").isEmpty():
+            discard(onward)
+            return new
+
+
+def cyclic_components(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(place, node_id, component): members of strongly connected components with two members or a loop.
 
-    Each round first trims nodes without an edge in or without one out, until none is left, since they lie on no
-    cycle. Then every node takes the least id that reaches it (forward colours), and within a colour
-    those that reach its root backwards form the root's component. Components are put aside and the
-    rest goes on. Once at most ``local_edges`` edges are left, a counted bound, each place's rest is finished by one
-    depth-first pass.
+    Nodes get numbers, which are hashes, so that no order of ids makes the rounds many. A round trims nodes that no long walk
+    enters or none leaves, gives each node the least number that reaches it, and within the nodes of one such number the least that
+    it reaches. Where both are the same, the node is in the component of that one. Components lie within nodes that agree in both, so
+    all other edges go, and the rest goes on. There is one way for graphs of every size, every step is a join or a
+    grouping by node, and no task holds a place's graph.
     """
     loops = edges.where("source = target").select(*PLACE, F.col("source").alias("node_id")).distinct().withColumn("component", F.col("node_id"))
-    rest = materialize(edges.where("source <> target").select(*PLACE, F.col("source").alias("s"), F.col("target").alias("t")).distinct(), "scc")
-    done = None
+    ends = edges.where("source <> target").select(*PLACE, F.col("source").alias("s"), F.col("target").alias("t")).distinct()
+    key = [*PLACE, "node_id"]
+    nodes = ends.select(*PLACE, F.col("s").alias("node_id")).intersect(ends.select(*PLACE, F.col("t").alias("node_id")))
+    nodes = _numbered(nodes, key)
+    side = lambda c: nodes.select(*PLACE, F.col("node_id").alias(c), F.col("h").alias(f"h{c}"))
+    rest = materialize(ends.join(side("s"), [*PLACE, "s"]).join(side("t"), [*PLACE, "t"]).select(F.col("hs").alias("s"), F.col("ht").alias("t")), "scc")
+    done, label = None, lambda df, c, at: df.select(F.col("n").alias(at), F.col("c").alias(c))
     for _ in range(max_rounds):
-        if rest.count() <= local_edges:
-            found = rest.groupBy(*PLACE).applyInPandas(_components_of, "repository_id string, worktree_id string, node_id string, component string")
-            found = materialize(found, "components")
-            done = found if done is None else done.unionByName(found)
-            break
-        while True:
-            sources, targets = rest.select(*PLACE, F.col("s").alias("t")).distinct(), rest.select(*PLACE, F.col("t").alias("s")).distinct()
-            kept = materialize(rest.join(targets, [*PLACE, "s"], "left_semi").join(sources, [*PLACE, "t"], "left_semi").select(*PLACE, "s", "t"), "scc")
-            same = kept.count() == rest.count()
-            discard(rest)
-            rest = kept
-            if same:
-                break
+        rest = _trimmed(rest)
         if rest.isEmpty():
             break
-        color = rest.select(*PLACE, F.col("s").alias("node_id")).distinct().withColumn("c", F.col("node_id"))
-        color = materialize(color, "color")
-        while True:
-            least = rest.join(color.withColumnsRenamed({"node_id": "s", "c": "cs"}), [*PLACE, "s"]).groupBy(*PLACE, F.col("t").alias("node_id")).agg(F.min("cs").alias("least"))
-            new = color.join(least, [*PLACE, "node_id"], "left").select(*PLACE, "node_id", F.least("c", F.coalesce("least", "c")).alias("c"), (F.col("least") < F.col("c")).alias("moved"))
-            new = materialize(new, "color")
-            moved = not new.where("moved").isEmpty()
-            discard(color)
-            color = new.select(*PLACE, "node_id", "c")
-            color._palimpsest_path = new._palimpsest_path
-            if not moved:
-                break
-        back = (
-            rest.join(color.withColumnsRenamed({"node_id": "s", "c": "cs"}), [*PLACE, "s"])
-            .join(color.withColumnsRenamed({"node_id": "t", "c": "ct"}), [*PLACE, "t"])
-            .where("cs = ct")
-            .select(*PLACE, F.col("t").alias("node_id"), F.col("s").alias("before"), F.col("cs").alias("component"))
-        )
-        back = materialize(back, "back")
-        member = materialize(color.where("node_id = c").select(*PLACE, "node_id", F.col("c").alias("component")), "member")
-        frontier = member
-        while True:
-            found = (
-                frontier.join(back, [*PLACE, "node_id", "component"])
-                .select(*PLACE, F.col("before").alias("node_id"), "component")
-                .distinct()
-                .join(member, [*PLACE, "node_id", "component"], "left_anti")
-            )
-            frontier = materialize(found, "member")
-            if frontier.isEmpty():
-                break
-            member = member.unionByName(frontier)
-        member = materialize(member, "member")
-        sizes = member.groupBy(*PLACE, "component").agg(F.count("*").alias("n")).where("n > 1")
-        part = member.join(sizes.drop("n"), [*PLACE, "component"], "left_semi").select(*PLACE, "node_id", "component")
-        done = part if done is None else done.unionByName(part)
-        gone = member.select(*PLACE, "node_id")
-        left = rest.join(gone.withColumnRenamed("node_id", "s"), [*PLACE, "s"], "left_anti").join(gone.withColumnRenamed("node_id", "t"), [*PLACE, "t"], "left_anti")
-        new = materialize(left.select(*PLACE, "s", "t"), "scc")
+        fore = _least(rest, "s", "t")
+        inner = rest.join(label(fore, "cs", "s"), "s").join(label(fore, "ct", "t"), "t").where("cs = ct").select("s", "t", F.col("cs").alias("c"))
+        inner = materialize(inner, "inner")
         discard(rest)
-        rest = new
+        back = _least(inner, "t", "s")
+        whole = inner.join(label(back, "bs", "s"), "s").join(label(back, "bt", "t"), "t").where("bs = bt")
+        whole = materialize(whole.select("s", "t", "c", F.col("bs").alias("b")), "whole")
+        for x in (fore, inner, back):
+            discard(x)
+        # An edge with both ends in one component is there for each member of a component of two or more.
+        found = materialize(whole.where("b = c").select(F.col("s").alias("h"), F.col("c").alias("root")).distinct(), "members")
+        done = found if done is None else done.unionByName(found)
+        rest = materialize(whole.where("b <> c").select("s", "t"), "scc")
+        discard(whole)
     else:
         raise RuntimeError("components did not settle")
+    discard(rest)
     if done is None:
         return loops
-    alone = loops.join(done.select(*PLACE, "node_id"), [*PLACE, "node_id"], "left_anti")
-    return done.unionByName(alone.select(*PLACE, "node_id", "component"))
+    members = done.join(nodes, "h").select(*key, "root")
+    named = members.groupBy("root").agg(F.min("node_id").alias("component"))
+    members = materialize(members.join(named, "root").select(*key, "component"), "components")
+    discard(nodes)
+    alone = loops.join(members.select(*key), key, "left_anti")
+    return members.unionByName(alone.select(*key, "component"))
 
 
 def time_respecting_trace(edges: DataFrame, seeds: DataFrame, from_sequence: int, until_sequence: int, max_hops: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.operators.graph import simple_paths
+from palimpsest.session import materialize
 
 PLACE = ["repository_id", "worktree_id"]
 
@@ -14,20 +15,18 @@ def _claim_identity(rule: dict, source: Column, target: Column, premises: Column
     return F.sha2(F.concat_ws("|", F.lit(rule["id"]), F.lit(rule["version"]), *PLACE, source, target, F.array_join(premises, ",")), 256)
 
 
-def rule_claims(edges: DataFrame, rule: dict, max_depth: int = 8) -> DataFrame:
-    """Claims (place, source, relation, target, premises) of one rule, a row per witness.
-
-    A witness is a simple path of one or more ``path_relation`` edges, then one ``join_relation`` edge to X, then a
-    ``declaration_relation`` edge from X to the concept node; the claim is (start, output_relation, X).
-    """
-    paths = simple_paths(edges, rule["path_relation"], max_depth)
+def _tails(edges: DataFrame, rule: dict) -> DataFrame:
+    """(place, end, e1, x, e2, concept): the last two edges of the rule's witnesses."""
     e = edges.select(*PLACE, "edge_id", "source", "target", "relation").distinct()
     hop = e.where(F.col("relation") == rule["join_relation"]).select(*PLACE, F.col("source").alias("end"), F.col("target").alias("x"), F.col("edge_id").alias("e1"))
     declared = e.where(F.col("relation") == rule["declaration_relation"])
     if rule.get("concept") is not None:
         declared = declared.where(F.col("target") == rule["concept"])
-    declared = declared.select(*PLACE, F.col("source").alias("x"), F.col("target").alias("concept"), F.col("edge_id").alias("e2"))
-    claims = paths.join(hop, [*PLACE, "end"]).join(declared, [*PLACE, "x"])
+    return hop.join(declared.select(*PLACE, F.col("source").alias("x"), F.col("target").alias("concept"), F.col("edge_id").alias("e2")), [*PLACE, "x"])
+
+
+def _claims_of(paths: DataFrame, tails: DataFrame, rule: dict) -> DataFrame:
+    claims = paths.join(tails, [*PLACE, "end"])
     premises = F.concat("edge_ids", F.array("e1", "e2"))
     identity = _claim_identity(rule, F.col("start"), F.col("x"), premises)
     return claims.select(
@@ -36,6 +35,33 @@ def rule_claims(edges: DataFrame, rule: dict, max_depth: int = 8) -> DataFrame:
     )
 
 
+def rule_claims(edges: DataFrame, rule: dict, max_depth: int = 8) -> DataFrame:
+    """Claims (place, source, relation, target, premises) of one rule, a row per witness.
+
+    A witness is a simple path of one or more ``path_relation`` edges, then one ``join_relation`` edge to X, then a
+    ``declaration_relation`` edge from X to the concept node; the claim is (start, output_relation, X). A path longer than
+    ``max_depth`` is an error.
+    """
+    return _claims_of(simple_paths(edges, rule["path_relation"], max_depth), _tails(edges, rule), rule)
+
+
+def discover_claims(edges: DataFrame, rule: dict, seeds: DataFrame, max_depth: int = 8) -> DataFrame:
+    """The claims of ``rule_claims`` one of whose premises is a seed edge (place, edge_id), without deriving the others.
+
+    Paths are looked for only where, going backwards from the seeds and from the witnesses' last two edges, one can be in such a claim.
+    """
+    s = seeds.select(*PLACE, F.col("edge_id").alias("premise")).distinct().withColumn("hit", F.lit(True))
+    tails = _tails(edges, rule)
+    for e in ("e1", "e2"):
+        tails = tails.join(s.withColumnsRenamed({"premise": e, "hit": f"hit_{e}"}), [*PLACE, e], "left")
+    tails = materialize(tails.withColumn("seeded", F.coalesce("hit_e1", "hit_e2", F.lit(False))).drop("hit_e1", "hit_e2"), "tails")
+    ends = tails.groupBy(*PLACE, F.col("end").alias("node_id")).agg(F.max("seeded").alias("seeded"))
+    paths = simple_paths(edges, rule["path_relation"], max_depth, seeds, ends)
+    # A path may meet an unseeded tail beside the seeded one that let it in.
+    found = _claims_of(paths, tails, rule)
+    return discovered_claims(found, seeds)
+
+
 def verify_witnesses(claims: DataFrame, edges: DataFrame, rule: dict, max_depth: int = 8, premise_budget: int = 64) -> DataFrame:
     """Claims of a rule with ``problem``: null if the premises are a witness of the claim and the claim's id is theirs.
 
@@ -115,8 +141,17 @@ def affected_claims(claims: DataFrame, changed: DataFrame) -> DataFrame:
 
 def invalidations(claims: DataFrame, versions: DataFrame, after: int, until: int) -> DataFrame:
     """Claims with a premise whose version ended in (after, until]."""
-    ended = versions.where((F.col("valid_until_sequence") > after) & (F.col("valid_until_sequence") <= until))
-    return affected_claims(claims, ended)
+    return affected_claims(claims, _ended(versions, after, until))
+
+
+def _ended(versions: DataFrame, after: int, until: int) -> DataFrame:
+    return versions.where((F.col("valid_until_sequence") > after) & (F.col("valid_until_sequence") <= until))
+
+
+def invalidation_explanations(claims: DataFrame, versions: DataFrame, after: int, until: int) -> DataFrame:
+    """(place, claim_id, premise, version_id, ended_sequence): each version whose end in (after, until] invalidates a claim."""
+    ended = _ended(versions, after, until).select(*PLACE, F.col("edge_id").alias("premise"), "version_id", F.col("valid_until_sequence").alias("ended_sequence"))
+    return dependencies(claims).join(ended.distinct(), [*PLACE, "premise"])
 
 
 def claim_versions(claims: DataFrame, edge_versions: DataFrame) -> DataFrame:
@@ -202,6 +237,31 @@ def ontology_violations(claims: DataFrame, memberships: DataFrame, signatures: D
     return out.distinct()
 
 
+def compatibility_issues(old: dict[str, DataFrame], new: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """(keys, issue, name): per ontology the first incompatibility of its new version, ontologies without one left out.
+
+    An ontology version is ``instances`` (keys, relation), one row each; ``concepts`` (keys, concept); ``signatures`` (keys, relation, domain, range),
+    a relation's domains and ranges being those of its rows. Issues in order: another instance relation, a removed concept, a removed relation, a
+    narrowed domain, a narrowed range; the least name of the first kind. An old ontology that is not among the new ones has no instance relation.
+    """
+    def lost(part: str, *columns: str) -> DataFrame:
+        a, b = (side[part].select(*keys, *columns).distinct() for side in (old, new))
+        return a.join(b, [*keys, *columns], "left_anti")
+
+    kept = new["signatures"].select(*keys, "relation").distinct()
+    parts = [
+        ("instance_relation", lost("instances", "relation"), "relation"), ("removed_concept", lost("concepts", "concept"), "concept"),
+        ("removed_relation", lost("signatures", "relation"), "relation"),
+        ("narrowed_domain", lost("signatures", "relation", "domain").join(kept, [*keys, "relation"], "left_semi"), "relation"),
+        ("narrowed_range", lost("signatures", "relation", "range").join(kept, [*keys, "relation"], "left_semi"), "relation"),
+    ]
+    out = None
+    for i, (issue, rows, name) in enumerate(parts):
+        part = rows.select(*keys, F.struct(F.lit(i).alias("at"), F.col(name).alias("name"), F.lit(issue).alias("issue")).alias("i"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy(*keys).agg(F.min("i").alias("i")).select(*keys, "i.issue", "i.name")
+
+
 def compatibility_issue(old: dict, new: dict) -> tuple[str, str] | None:
     """The first incompatibility of two ontology versions: {instance_relation, concepts, relations: {name: (domains, ranges)}}."""
     if old["instance_relation"] != new["instance_relation"]:

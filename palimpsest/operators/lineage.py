@@ -6,9 +6,11 @@ A consequence is a versioned relation between endpoints, read as of a generation
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.operators.intervals import levels_of, nodes_over, nodes_within
+
 PLACE = ["repository_id", "worktree_id"]
 OPEN = 2**63 - 1
 
@@ -32,25 +34,38 @@ def overlapping(versions: DataFrame, first: int, last: int) -> DataFrame:
     )
 
 
-def interval_join(left: DataFrame, right: DataFrame, keys: list[str], width: int = 16) -> DataFrame:
-    """Pairs of overlapping versions of equal keys, by equi-join on bins of sequences.
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of overlapping versions of equal keys, by equi-joins on dyadic ranges of sequences.
 
-    Both sides: (keys, valid_from_sequence, valid_until_sequence, ...), the right's other columns distinct from the left's. A pair is
-    kept only in the bin where the later of the two begins, so it comes out once. Open ends reach to the last start of either side.
+    Both sides: (keys, valid_from_sequence, valid_until_sequence, ...), the right's other columns distinct from the left's. Two versions overlap
+    where the right begins within the left, or the left begins within the right and not at its start; each pair is of one of these kinds
+    and meets in one range. A version takes part in at most two ranges per level of the tree over the sequences, however long it is.
+    Versions with a null key or start, or that end where they begin, overlap nothing.
     """
-    top = max(
-        (d.agg(F.max(F.greatest("valid_from_sequence", F.coalesce("valid_until_sequence", "valid_from_sequence")))).first()[0] or 0) for d in (left, right)
-    )
-
-    def binned(d: DataFrame, f: str, u: str) -> DataFrame:
-        end = F.coalesce(F.col("valid_until_sequence") - 1, F.lit(top))
-        bins = F.sequence(F.floor(F.col("valid_from_sequence") / width), F.floor(F.greatest(end, "valid_from_sequence") / width))
-        return d.withColumn("bin", F.explode(bins)).withColumnsRenamed({"valid_from_sequence": f, "valid_until_sequence": u})
-
-    a, b = binned(left, "lf", "lu"), binned(right, "rf", "ru")
-    start = F.greatest("lf", "rf")
-    held = (F.coalesce("lu", F.lit(OPEN)) > F.col("rf")) & (F.coalesce("ru", F.lit(OPEN)) > F.col("lf"))
-    return a.join(b, [*keys, "bin"]).where(held & (F.col("bin") == F.floor(start / width))).drop("bin")
+    columns = ["valid_from_sequence", "valid_until_sequence"]
+    span = left.select(*columns).unionByName(right.select(*columns)).agg(
+        F.min(columns[0]).alias("low"), F.max(F.greatest(*columns)).alias("high")
+    ).first()
+    low = span["low"] or 0
+    top = (span["high"] or 0) - low + 1
+    levels = levels_of(top + 1)
+
+    def named(d: DataFrame, f: str, u: str) -> DataFrame:
+        d = d.where(F.col(columns[0]).isNotNull() & (F.col(columns[0]) < F.coalesce(columns[1], F.lit(OPEN))))
+        return d.withColumnsRenamed({columns[0]: f, columns[1]: u})
+
+    def within(d: DataFrame, start: Column, u: str) -> DataFrame:
+        end = F.least(F.coalesce(u, F.lit(OPEN)) - low, F.lit(top)).cast("bigint")
+        return d.withColumn("__n", F.explode(nodes_within(start - low, end, levels)))
+
+    def begun(d: DataFrame, f: str) -> DataFrame:
+        return d.withColumn("__n", F.explode(nodes_over(F.col(f) - low, levels)))
+
+    a, b = named(left, "lf", "lu"), named(right, "rf", "ru")
+    order = [*a.columns, *[c for c in b.columns if c not in keys]]
+    first = within(a, F.col("lf"), "lu").join(begun(b, "rf"), [*keys, "__n"])
+    second = begun(a, "lf").join(within(b, F.col("rf") + 1, "ru"), [*keys, "__n"])
+    return first.select(*order).unionByName(second.select(*order))
 
 
 def invalid_memberships(memberships: DataFrame, keys: list[str], events: DataFrame) -> DataFrame:

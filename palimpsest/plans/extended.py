@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.operators import context, graph, history, inference, lexical, lineage, resolution
 from palimpsest.plans import reference as R
-from palimpsest.plans.reference import _ASOF, _CONTRACTS, _FAMILY, _INDEX_SQL, _IN, _OUT, _REACH, _RULE_SQL, AFTER, AT, BASE, FA, FACT, PL, PLACE, RECURSIVE, RULE, TERMS, UNTIL, Tables
+from palimpsest.plans.reference import _ASOF, _CONTRACTS, _FAMILY, _INDEX_SQL, _IN, _OUT, _REACH, AFTER, AT, BASE, FA, FACT, PL, PLACE, RECURSIVE, TERMS, UNTIL, Tables
 from palimpsest.sources import scan
 from palimpsest.sources.tables import table
 
@@ -250,21 +250,6 @@ def x19(spark, d):
 # --- Inference and resolution --------------------------------------------------------------------------------------------
 
 
-@query("i02_rule_set", _RULE_SQL + ", c2 as (select p.repository_id, p.worktree_id, start source, 'Reaches' relation, a.target from p join s a on a.repository_id = p.repository_id and a.worktree_id = p.worktree_id and a.source = p.last and a.relation = 'ResolvesTo' join s b on b.repository_id = p.repository_id and b.worktree_id = p.worktree_id and b.source = a.target and b.relation = 'Calls') select repository_id, worktree_id, relation, count(*) claims from (select repository_id, worktree_id, relation from cl union all select repository_id, worktree_id, relation from c2) group by all", base=False)
-def i02(spark, d):
-    second = RULE | {"id": "calls-resolved", "join_relation": "ResolvesTo", "declaration_relation": "Calls", "output_relation": "Reaches"}
-    claims = inference.evaluate_rules(Tables(spark, d).edges, [RULE, second], 24)
-    return claims.groupBy(*PLACE, "relation").agg(F.count("*").alias("claims"))
-
-
-@query("i07_affected_explanations", f", p as (select distinct {PL}, premise_id claim_id, edge_id from premises), c as (select distinct {PL}, edge_id from ev where valid_from_sequence = {AT} or valid_until_sequence = {AT}) select {PL}, claim_id, edge_id changed from p join c using ({PL}, edge_id)")
-def i07(spark, d):
-    t = Tables(spark, d)
-    claims = t.raw("premises").select(*PLACE, F.col("premise_id").alias("claim_id"), F.array("edge_id").alias("premises")).distinct()
-    out = inference.affected_claims(claims, history.changed_at(t["edge_versions"], AT))
-    return out.select(*PLACE, "claim_id", F.array_join("changed", " ").alias("changed"))
-
-
 @query("i10_claim_evidence", f", p as (select distinct {PL}, premise_id, edge_id from premises), e as (select distinct {PL}, edge_id, provenance from ev), q as (select {PL}, provenance_id provenance, evidence_class from pv) select evidence_class, count(distinct premise_id) claims from p join e using ({PL}, edge_id) join q using ({PL}, provenance) group by 1")
 def i10(spark, d):
     t = Tables(spark, d)

@@ -20,11 +20,6 @@ KNOWN_BY = 1_867_500_000_000_000_000
 TERMS = ["ledger", "edge", "stale", "resolve", "span"]
 EXTENSIONS = ["md", "markdown"]
 MODULE_KINDS = ["Module", "Import", "Export", "ModuleResolutionDiagnostic"]
-RULE = {
-    "id": "calls-import", "version": "1", "path_relation": "Implements", "join_relation": "Imports", "declaration_relation": "Exports",
-    "concept": None, "output_relation": "DependsOn",
-}
-
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -677,9 +672,9 @@ def g07(spark, d):
     return graph.induced_edges(e, graph.reach(e, t.seeds, 3, "both")).select(*PLACE, "edge_id").distinct()
 
 
-@query("g08_simple_paths", RECURSIVE + f", s as (select distinct {PL}, edge_id, source, target from ce where relation = 'Implements'), p as (select {PL}, source start, target as last, [source, target] nodes, [edge_id] edge_ids from s where source <> target union all select p.repository_id, p.worktree_id, start, s.target, list_append(nodes, s.target), list_append(edge_ids, s.edge_id) from p join s on s.repository_id = p.repository_id and s.worktree_id = p.worktree_id and s.source = p.last where not list_contains(nodes, s.target)) select {PL}, start, last as \"end\", array_to_string(edge_ids, ' ') path from p", base=False)
+@query("g08_simple_paths", RECURSIVE + f", s as (select distinct {PL}, edge_id, source, target from ce where relation = 'References'), p as (select {PL}, source start, target as last, [source, target] nodes, [edge_id] edge_ids from s where source <> target union all select p.repository_id, p.worktree_id, start, s.target, list_append(nodes, s.target), list_append(edge_ids, s.edge_id) from p join s on s.repository_id = p.repository_id and s.worktree_id = p.worktree_id and s.source = p.last where not list_contains(nodes, s.target)) select {PL}, start, last as \"end\", array_to_string(edge_ids, ' ') path from p", base=False)
 def g08(spark, d):
-    paths = graph.simple_paths(Tables(spark, d).edges, "Implements", 24)
+    paths = graph.simple_paths(Tables(spark, d).edges, "References", 24)
     return paths.select(*PLACE, "start", "end", F.array_join("edge_ids", " ").alias("path"))
 
 
@@ -772,44 +767,7 @@ def x08(spark, d):
     return docs.join(stems, "term").groupBy("stem").agg(F.countDistinct("doc_id").alias("documents"))
 
 
-# --- Inference ---------------------------------------------------------------------------------------------------------
-
-_RULE_SQL = f"""{RECURSIVE}, s as (select distinct {PL}, edge_id, source, target, relation from ce),
-p as (select {PL}, source start, target as last, [source, target] nodes, [edge_id] ids from s where relation = 'Implements' and source <> target
-  union all select p.repository_id, p.worktree_id, start, s.target, list_append(nodes, s.target), list_append(ids, s.edge_id) from p join s on s.repository_id = p.repository_id and s.worktree_id = p.worktree_id and s.source = p.last
-  where s.relation = 'Implements' and not list_contains(nodes, s.target)),
-cl as (select p.repository_id, p.worktree_id, start source, 'DependsOn' relation, a.target, list_append(list_append(ids, a.edge_id), b.edge_id) premises from p
-  join s a on a.repository_id = p.repository_id and a.worktree_id = p.worktree_id and a.source = p.last and a.relation = 'Imports'
-  join s b on b.repository_id = p.repository_id and b.worktree_id = p.worktree_id and b.source = a.target and b.relation = 'Exports')"""
-
-
-def _claims(t: Tables) -> DataFrame:
-    return inference.rule_claims(t.edges, RULE, 24)
-
-
-@query("i01_rule_claims", _RULE_SQL + " select repository_id, worktree_id, source, relation, target, array_to_string(premises, ' ') premises from cl", base=False)
-def i01(spark, d):
-    return _claims(Tables(spark, d)).select(*PLACE, "source", "relation", "target", F.array_join("premises", " ").alias("premises"))
-
-
-@query("i03_discovered_claims", _RULE_SQL + ", seeds as (select edge_id from ce where valid_from_sequence > 20) select repository_id, worktree_id, source, target, array_to_string(premises, ' ') premises from cl where list_has_any(premises, (select list(edge_id) from seeds))", base=False)
-def i03(spark, d):
-    t = Tables(spark, d)
-    found = inference.discovered_claims(_claims(t), t.edges.where("valid_from_sequence > 20"))
-    return found.select(*PLACE, "source", "target", F.array_join("premises", " ").alias("premises"))
-
-
-@query("i06_premise_dependencies", _RULE_SQL + ", x as (select distinct repository_id, worktree_id, unnest(premises) premise, array_to_string(premises, ' ') claim, source, target from cl) select repository_id, worktree_id, premise, count(*) claims from x group by all", base=False)
-def i06(spark, d):
-    return inference.dependencies(_claims(Tables(spark, d))).groupBy(*PLACE, "premise").agg(F.count("*").alias("claims"))
-
-
-@query("i08_invalidations", f", p as (select distinct {PL}, premise_id claim_id, edge_id from premises), c as (select distinct {PL}, edge_id from ev where valid_until_sequence > {AFTER} and valid_until_sequence <= {UNTIL}) select {PL}, claim_id, edge_id changed from p join c using ({PL}, edge_id)")
-def i08(spark, d):
-    t = Tables(spark, d)
-    claims = t.raw("premises").select(*PLACE, F.col("premise_id").alias("claim_id"), F.array("edge_id").alias("premises")).distinct()
-    out = inference.invalidations(claims, t["edge_versions"], AFTER, UNTIL)
-    return out.select(*PLACE, "claim_id", F.array_join("changed", " ").alias("changed"))
+# --- Contracts and ontologies --------------------------------------------------------------------------------------
 
 
 def _contracts(t: Tables) -> DataFrame:
@@ -858,13 +816,6 @@ def i12(spark, d):
     return inference.latest_evaluations(_evaluations(Tables(spark, d)), AT)
 
 
-@query("i16_active_claims", _RULE_SQL + f", pr as (select distinct repository_id, worktree_id, source, target, array_to_string(premises, ' ') ids, unnest(premises) edge_id from cl), lv as (select repository_id, worktree_id, edge_id, max((valid_from_sequence, coalesce(valid_until_sequence, 9223372036854775807))) v from ev group by 1, 2, 3), bo as (select repository_id, worktree_id, source, target, ids, max(v[1]) born, min(v[2]) closed from pr join lv using (repository_id, worktree_id, edge_id) group by all) select repository_id, worktree_id, count(*) claims from bo where closed > born and born <= 40 and closed > 40 group by 1, 2", base=False)
-def i16(spark, d):
-    t = Tables(spark, d)
-    v = inference.claim_versions(_claims(t), t["edge_versions"])
-    return v.where("born_sequence <= 40 and (closed_sequence is null or closed_sequence > 40)").groupBy(*PLACE).agg(F.count("*").alias("claims"))
-
-
 @query("i13_ontology_violations", f", c as (select distinct {PL}, edge_id claim_id, source, target from ce where relation = 'Calls') select {PL}, claim_id, 'domain' violates from c where not exists (select 1 from cn n where n.repository_id = c.repository_id and n.worktree_id = c.worktree_id and n.node_id = c.source and n.kind = 'Function') union select {PL}, claim_id, 'range' from c where not exists (select 1 from cn n where n.repository_id = c.repository_id and n.worktree_id = c.worktree_id and n.node_id = c.target and n.kind = 'Function')")
 def i13(spark, d):
     t = Tables(spark, d)

@@ -128,6 +128,35 @@ def test_witnesses_are_verified(spark):
     assert set(good) == {"a", "b"}
 
 
+def test_discovery_equals_filtered_evaluation(spark):
+    import random
+
+    rng = random.Random(4)
+    place = "repository_id string, worktree_id string, "
+    edges = [("r", f"w{w}", f"e{i:02d}", *(f"n{rng.randint(0, 7)}" for _ in range(2)), rng.choice("AAB")) for w in range(12) for i in range(16)]
+    e = spark.createDataFrame(edges, place + "edge_id string, source string, target string, relation string")
+    rule = {"id": "u", "version": "1", "path_relation": "A", "join_relation": "B", "declaration_relation": "A", "concept": None, "output_relation": "D"}
+    claims = inference.rule_claims(e, rule, 8)
+    for seeds in (e.where("edge_id in ('e03', 'e11')"), e.where("edge_id = 'e05' and worktree_id <> 'w3'"), e.where("false")):
+        got = {r.claim_id for r in inference.discover_claims(e, rule, seeds, 8).collect()}
+        assert got == {r.claim_id for r in inference.discovered_claims(claims, seeds).collect()}
+    assert claims.count() > 100
+    sound = inference.verify_witnesses(claims, e, rule)
+    assert sound.where("problem is not null").count() == 0
+
+
+def test_ontology_compatibility(spark):
+    k = "o string, "
+    make = lambda i, c, s: {"instances": spark.createDataFrame(i, k + "relation string"), "concepts": spark.createDataFrame(c, k + "concept string"), "signatures": spark.createDataFrame(s, k + "relation string, domain string, range string")}
+    old = make([(o, "is") for o in "abcdef"], [(o, c) for o in "abcdef" for c in "XYZ"], [(o, r, d, "X") for o in "abcdef" for r, d in (("r", "X"), ("r", "Y"), ("s", "X"))])
+    new = make(
+        [("a", "is"), *((o, "isa" if o == "b" else "is") for o in "bcde")], [(o, c) for o in "abcde" for c in ("XY" if o in "bc" else "XYZW")],
+        [(o, r, d, g) for o in "abcde" for r, d, g in (("r", "X", "X"), ("r", "Y", "X"), ("s", "X", "X"), ("t", "X", "X")) if not (o == "d" and r == "s") and not (o == "e" and d == "Y")],
+    )
+    got = {(r.o, r.issue, r.name) for r in inference.compatibility_issues(old, new, ["o"]).collect()}
+    assert got == {("b", "instance_relation", "is"), ("c", "removed_concept", "Z"), ("d", "removed_relation", "s"), ("e", "narrowed_domain", "r"), ("f", "instance_relation", "is")}
+
+
 def test_hash_chain():
     entries = [(1, "a"), (2, "b")]
     digests = publication.chain_digest(entries)
@@ -238,7 +267,7 @@ def test_interval_join_equals_brute_force(spark):
     side = lambda n: [("k", i, f := rng.randint(1, 60), rng.choice([None, f + rng.randint(1, 40)])) for i in range(n)]
     a, b = side(40), side(40)
     df = lambda rows, c: spark.createDataFrame(rows, f"key string, {c} int, valid_from_sequence bigint, valid_until_sequence bigint")
-    got = sorted((r.x, r.y) for r in lineage.interval_join(df(a, "x"), df(b, "y"), ["key"], 7).collect())
+    got = sorted((r.x, r.y) for r in lineage.interval_join(df(a, "x"), df(b, "y"), ["key"]).collect())
     inf = float("inf")
     assert got == sorted((p[1], q[1]) for p in a for q in b if (p[3] or inf) > q[2] and (q[3] or inf) > p[2])
 

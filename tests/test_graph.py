@@ -83,10 +83,19 @@ def test_cyclic_components(case):
             group = {m for m in nodes if m in to[n] and n in to[m]}
             if len(group) > 1 or n in loops:
                 want[w, n] = min(group)
-    # By depth-first passes alone, and by the distributed rounds alone.
-    for local in (graph.LOCAL_EDGES, 0):
-        got = {(r.worktree_id, r.node_id): r.component for r in graph.cyclic_components(edges, local_edges=local).collect()}
-        assert got == want
+    got = {(r.worktree_id, r.node_id): r.component for r in graph.cyclic_components(edges).collect()}
+    assert got == want
+
+
+def test_components_beyond_one_stride(spark):
+    """A long chain into a long ring, and a chain on to another ring."""
+    n = 3 * graph.STRIDE + 2
+    ring = lambda x: [(f"{x}{i:02d}", f"{x}{(i + 1) % n:02d}") for i in range(n)]
+    chain = lambda x: [(f"{x}{i:02d}", f"{x}{i + 1:02d}") for i in range(n)]
+    pairs = chain("a") + [(f"a{n:02d}", "m05")] + ring("m") + [("m01", "b00")] + chain("b") + [(f"b{n:02d}", "c03")] + ring("c") + chain("z")
+    e = spark.createDataFrame([("r", "w", f"e{i}", s, t, "Calls") for i, (s, t) in enumerate(pairs)], SCHEMA)
+    got = {(r.node_id, r.component) for r in graph.cyclic_components(e).collect()}
+    assert got == {(x, y) for r, y in ((ring("m"), "m00"), (ring("c"), "c00")) for x, _ in r}
 
 
 def test_simple_paths_and_overflow(spark):
