@@ -70,3 +70,46 @@ def lexical_family(kind: Column) -> Column:
     return (
         F.when(kind.isin(CODE), "Code").when(kind.isin(DOCUMENTATION), "Documentation").when(kind.isin(REFERENCE), "Reference").otherwise("Other")
     )
+
+
+#: Kinds whose source text is indexed, and kinds that a reference may resolve to.
+SOURCE_CONTENT = ["Function", "Struct", "Enum", "Trait", "Test", "Class", "Import", "Export", "Section", "DocumentChunk"]
+REFERENCE_TARGETS = ["Function", "Test", "Class", "Struct", "Trait", "File", "Document"]
+
+
+def is_source_content(kind: Column) -> Column:
+    return F.coalesce(kind.isin(SOURCE_CONTENT), F.lit(False))
+
+
+def is_source_anchor(kind: Column, namespace: Column, external_kind: Column, anchors: str) -> Column:
+    """An External node of kind ``anchor`` in the namespace of anchors."""
+    return F.coalesce((kind == "External") & (namespace == anchors) & (external_kind == "anchor"), F.lit(False))
+
+
+def is_reference_target(kind: Column, anchor: Column | None = None) -> Column:
+    """Definitions, files, documents and source anchors; nothing else may answer a reference."""
+    target = F.coalesce(kind.isin(REFERENCE_TARGETS), F.lit(False))
+    return target if anchor is None else target | anchor
+
+
+def source_role(kind: Column) -> Column:
+    """TestIntent for tests, else null: its absence is no proof of production code."""
+    return F.when(kind == "Test", "TestIntent")
+
+
+def span_lines(text: Column, start: Column, end: Column) -> Column:
+    """The whole lines, numbered from 1, that the UTF-8 bytes [start, end) of a text touch: (first_line, last_line, text).
+
+    Null for a span that is empty, ends beyond the text, or begins or ends inside a character.
+    """
+    raw = F.encode(text, "UTF-8")
+    part = lambda at, n: F.substring(raw, at + 1, n)
+    # Bytes 10xxxxxx continue a character.
+    inside = lambda at: F.conv(F.hex(part(at, F.lit(1))), 16, 10).cast("int").bitwiseAND(0xC0) == 0x80
+    breaks = lambda b: F.octet_length(b) - F.octet_length(F.replace(F.decode(b, "UTF-8"), F.lit("\n"), F.lit("")))
+    sound = (start >= 0) & (start < end) & (end <= F.octet_length(raw)) & ~F.coalesce(inside(start), F.lit(False)) & ~F.coalesce(inside(end), F.lit(False))
+    first = breaks(part(F.lit(0), start)) + 1
+    # A line break as the last byte belongs to the line that it ends.
+    last = breaks(part(F.lit(0), end - F.when(part(end - 1, F.lit(1)) == F.lit(b"\n"), 1).otherwise(0))) + 1
+    lines = F.array_join(F.slice(F.split(text, "\n", -1), first, last - first + 1), "\n")
+    return F.when(sound, F.struct(first.cast("bigint").alias("first_line"), last.cast("bigint").alias("last_line"), lines.alias("text")))

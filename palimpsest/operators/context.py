@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import REFERENCE, lexical_family
+from palimpsest.functions.text import REFERENCE, lexical_family, source_role
 from palimpsest.operators.graph import reach
 from palimpsest.operators.lexical import pack
 
@@ -57,6 +57,27 @@ def seed_plan(ranked: DataFrame, nodes: DataFrame, k: int = 32) -> DataFrame:
     )
 
 
+def preferred(plan: DataFrame, originals: DataFrame, nodes: DataFrame, tests: str | None = None, lexical_first: bool = False) -> DataFrame:
+    """A plan (place, node_id, rank) in a preferred order, its own order kept otherwise.
+
+    tests: None, ``first`` or ``last`` says where nodes of test intent go; ``lexical_first`` puts the original lexical hits before all else.
+    """
+    role = nodes.groupBy(*PLACE, "node_id").agg(F.max(F.coalesce(source_role(F.col("kind")) == "TestIntent", F.lit(False))).alias("__test"))
+    first = originals.select(*PLACE, "node_id").distinct().withColumn("__original", F.lit(True))
+    rows = plan.join(role, [*PLACE, "node_id"], "left").join(first, [*PLACE, "node_id"], "left")
+    test, original = F.coalesce("__test", F.lit(False)), F.coalesce("__original", F.lit(False))
+    keys = ([~original] if lexical_first else []) + ([~test] if tests == "first" else [test] if tests == "last" else []) + [F.col("rank")]
+    by = Window.partitionBy(*PLACE).orderBy(*keys, "node_id")
+    return rows.select(*PLACE, "node_id", F.row_number().over(by).cast("bigint").alias("place"))
+
+
+def selection_report(seeds: DataFrame, expanded: DataFrame) -> DataFrame:
+    """(place, seeds, nodes, deepest): what a request would take into a context, without packing it."""
+    s = seeds.groupBy(*PLACE).agg(F.count("*").alias("seeds"))
+    n = expanded.groupBy(*PLACE).agg(F.count("*").alias("nodes"), F.max("depth").cast("bigint").alias("deepest"))
+    return s.join(n, PLACE)
+
+
 def expand(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(place, node_id, depth): the seeds' undirected neighbourhood."""
     return reach(edges, seeds, hops, "both")
@@ -74,7 +95,7 @@ def section_relevance(near: DataFrame, edges: DataFrame) -> DataFrame:
 def candidates(seeds: DataFrame, expanded: DataFrame, nodes: DataFrame, edges: DataFrame, texts: DataFrame, most: int = 256) -> DataFrame:
     """(place, kind, key, text, node_ids, relevance, distance, position): at most ``most`` per place, in packing order.
 
-    texts: (place, file_id, text) of current files. Kinds come in KINDS order, then relevance, distance, granularity and key.
+    texts: (place, file_id, text) of current files. Kinds come in KINDS order, then relevance, distance, granularity, key and text (an edge may be there twice with other ends).
     A section counts as relevant as the most relevant chunk in it.
     """
     n = nodes.groupBy(*PLACE, "node_id").agg(F.min(F.struct("kind", "name", "owner_file")).alias("n"))
@@ -103,7 +124,7 @@ def candidates(seeds: DataFrame, expanded: DataFrame, nodes: DataFrame, edges: D
         .unionByName(shaped(path, 2, F.col("edge_id"), F.concat_ws(" ", "node_id", "relation", "target")))
         .unionByName(shaped(totals, 3, F.lit("total"), F.concat(F.col("nodes").cast("string"), F.lit(" nodes"))))
     )
-    by = Window.partitionBy(*PLACE).orderBy("order", F.desc("relevance"), "distance", "granularity", "key")
+    by = Window.partitionBy(*PLACE).orderBy("order", F.desc("relevance"), "distance", "granularity", "key", "text")
     kinds = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("order") + 1)
     return (
         all_.withColumn("position", F.row_number().over(by).cast("bigint")).where(F.col("position") <= most).withColumn("kind", kinds).drop("order", "granularity")

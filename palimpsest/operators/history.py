@@ -262,6 +262,34 @@ def fact_counts(versions: DataFrame, generations: DataFrame, limit: int | None =
     return counts.orderBy(*PLACE, "valid_from_sequence").limit(limit)
 
 
+def with_status(generations: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Generations (place, generation, status, ...) with the status that decisions (place, generation, status) give them.
+
+    A decision on a generation that is not there is an error; several on one are decided by the greatest status.
+    """
+    unknown = decisions.join(generations.select(*PLACE, "generation").distinct(), [*PLACE, "generation"], "left_anti")
+    if not unknown.isEmpty():
+        raise ValueError("a status for a generation that is not there")
+    new = decisions.groupBy(*PLACE, "generation").agg(F.max("status").alias("__status"))
+    rows = generations.join(new, [*PLACE, "generation"], "left").withColumn("status", F.coalesce("__status", "status"))
+    return rows.select(*generations.columns)
+
+
+def feed_pages(versions: DataFrame, size: int = 256, spread: int = 6) -> DataFrame:
+    """The facts of each worktree in fact order (family, id, start) with the page of ``size`` that each lies in, from 0.
+
+    Facts are numbered within blocks of equal family and id prefix of ``spread`` characters, and blocks by running sums, so that no
+    window goes over a worktree. A reader resumes after the last (page, fact) that it has seen.
+    """
+    rows = versions.withColumn("ord", fact_order(F.col("fact_kind"))).withColumn("block", F.substring("fact_id", 1, spread))
+    sizes = rows.groupBy(*PLACE, "ord", "block").agg(F.count("*").alias("n"))
+    earlier = Window.partitionBy(*PLACE).orderBy("ord", "block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    inside = Window.partitionBy(*PLACE, "ord", "block").orderBy("fact_id", "valid_from_sequence", F.col("valid_until_sequence").asc_nulls_last())
+    at = F.col("offset") + F.row_number().over(inside) - 1
+    return rows.join(offsets, [*PLACE, "ord", "block"]).withColumn("page", F.floor(at / size).cast("bigint")).drop("ord", "block", "offset")
+
+
 def roots(versions: DataFrame) -> DataFrame:
     """A digest of each worktree's facts, the same in whatever order they come, and other if any fact changes."""
     text = F.concat_ws("|", "fact_kind", "fact_id", F.col("valid_from_sequence").cast("string"), F.coalesce(F.col("valid_until_sequence").cast("string"), F.lit("-")))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.stem import stemmed
-from palimpsest.functions.text import identifier_terms, lexical_family, rarity, terminal_segment
+from palimpsest.functions.text import identifier_terms, is_source_content, lexical_family, rarity, terminal_segment
 
 PLACE = ["repository_id", "worktree_id"]
 
@@ -99,6 +100,37 @@ def fused(nodes: DataFrame, exact: DataFrame, body: DataFrame, stem_scores: Data
     return rows.where("score > 0").withColumn("tier", F.when(F.col("family").isin("Code", "Documentation"), 0).otherwise(1))
 
 
+def body_postings(nodes: DataFrame, files: DataFrame, terms: list[str]) -> DataFrame:
+    """(place, node_id, term) of the terms in the texts behind nodes of source-content kinds.
+
+    files: (place, file_id, content_hash, text) of current files; a text whose digest does not begin with its content_hash is not
+    indexed. Texts are reduced to the asked terms before anything is joined.
+    """
+    sound = F.startswith(F.sha2(F.encode("text", "UTF-8"), 256), F.col("content_hash")) & (F.length("content_hash") > 0)
+    asked = F.array_intersect(identifier_terms(F.col("text")), F.array(*[F.lit(t) for t in terms]))
+    said = files.where(sound).select(*PLACE, F.col("file_id").alias("owner_file"), F.explode(asked).alias("term")).distinct()
+    owners = nodes.where(is_source_content(F.col("kind"))).select(*PLACE, "node_id", "owner_file").distinct()
+    return owners.join(said, [*PLACE, "owner_file"]).select(*PLACE, "node_id", "term").distinct()
+
+
+def refilled(channels: DataFrame, limit: int = 256) -> DataFrame:
+    """(place, node_id, rank): one id of each channel in turn, ids once; a channel goes on past ids that are taken.
+
+    channels: (place, channel, position, node_id). A channel can pass over at most ``limit`` taken ids, so no more than its first
+    ``limit`` matter, and a place's group is that many rows of each channel.
+    """
+    first = F.row_number().over(Window.partitionBy(*PLACE, "channel").orderBy("position", "node_id"))
+    rows = channels.withColumn("at", first).where(F.col("at") <= limit).select(*PLACE, "channel", "at", "node_id")
+
+    def turn(group: pd.DataFrame) -> pd.DataFrame:
+        lists = [list(part.sort_values("at")["node_id"]) for _, part in group.groupby("channel", sort=True)]
+        ids = round_robin(lists, limit)
+        place = [group[c].iloc[0] for c in PLACE]
+        return pd.DataFrame([(*place, n, i + 1) for i, n in enumerate(ids)], columns=[*PLACE, "node_id", "rank"])
+
+    return rows.groupBy(*PLACE).applyInPandas(turn, "repository_id string, worktree_id string, node_id string, rank bigint")
+
+
 def round_robin(channels: list[list[str]], limit: int = 256) -> list[str]:
     """One id of each channel in turn, ids once; a channel goes on past ids that are taken."""
     out: dict[str, None] = {}
@@ -137,31 +169,53 @@ def best_window(lines: list[str], terms: set[str], fits: Callable[[str], bool],
 
 
 def pack(candidates: list[dict], budget: int, terms: set[str] = frozenset(), count: Callable[[str], int] = utf8_bytes) -> dict:
-    """Greedy packing of at most a few hundred candidates in their order: a whole item, else its best excerpt, else it is omitted.
+    """Greedy packing of at most a few hundred candidates in their order: a whole item, else its best excerpt; else earlier sources, the last
+    first, are cut down to narrower excerpts until the item fits; else it is omitted.
 
     An item with the text of one already in adds its node ids to that. Gives items, tokens and omitted counts by kind.
     """
     items: list[dict] = []
     at: dict[tuple, dict] = {}
-    used, omitted = 0, {}
+    omitted: dict[str, int] = {}
+    used = lambda: sum(i["tokens"] for i in items)
+
+    def excerpt(c: dict, fits: Callable[[str], bool], widths=(24, 12, 6, 3, 1)) -> dict | None:
+        lines = c["text"].split("\n")
+        window = best_window(lines, terms, fits, widths) if c["kind"] == "source_evidence" else None
+        if window is None:
+            return None
+        first = c.get("line_start", 1)
+        text = "\n".join(lines[window[0] : window[1] + 1])
+        return c | {"text": text, "line_start": first + window[0], "line_end": first + window[1], "tokens": count(text)}
+
+    def compacted(cost: int) -> bool:
+        """Make room for ``cost`` by excerpts of the items in, or leave all as it is."""
+        kept = [dict(i) for i in items]
+        for item in reversed(items):
+            whole = len(item["text"].split("\n"))
+            for width in (24, 12, 6, 3, 1):
+                if width < whole and (short := excerpt(item, lambda t: True, (width,))) and short["tokens"] < item["tokens"]:
+                    item.update(short)
+                    if used() + cost <= budget:
+                        return True
+        for item, before in zip(items, kept):
+            item.clear()
+            item.update(before)
+        return False
+
     for c in candidates:
         key = (c["kind"], c["text"])
         if key in at:
             at[key]["node_ids"] = sorted(set(at[key]["node_ids"]) | set(c["node_ids"]))
             continue
-        cost = count(c["text"])
-        if used + cost > budget and c["kind"] == "source_evidence":
-            lines = c["text"].split("\n")
-            window = best_window(lines, terms, lambda t: used + count(t) <= budget)  # noqa: B023
-            if window:
-                text = "\n".join(lines[window[0] : window[1] + 1])
-                c = c | {"text": text, "line_start": c.get("line_start", 1) + window[0], "line_end": c.get("line_start", 1) + window[1]}
-                cost = count(text)
-        if used + cost > budget:
+        c = c | {"tokens": count(c["text"])}
+        if used() + c["tokens"] > budget:
+            free = budget - used()
+            c = excerpt(c, lambda t: count(t) <= free) or c  # noqa: B023
+        if used() + c["tokens"] > budget and (c["tokens"] > budget or not compacted(c["tokens"])):
             omitted[c["kind"]] = omitted.get(c["kind"], 0) + 1
             continue
-        used += cost
         item = c | {"rank": len(items) + 1, "node_ids": sorted(c["node_ids"])}
         items.append(item)
         at[key] = item
-    return {"items": items, "tokens": used, "omitted": omitted}
+    return {"items": items, "tokens": used(), "omitted": omitted}

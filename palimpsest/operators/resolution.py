@@ -14,7 +14,7 @@ DEFINITIONS = ["Module", "Function", "Struct", "Enum", "Trait", "Class"]
 
 
 def resolve_references(references: DataFrame, definitions: DataFrame) -> DataFrame:
-    """(place, reference_id, status, targets, resolved): by exact canonical name, else, if unqualified, by the last segment.
+    """(place, reference_id, relation, status, targets, resolved): by exact canonical name, else, if unqualified, by the last segment.
 
     references: (place, reference_id, symbol, relation); definitions: (place, node_id, name, kind). Only traits answer Implements; imports and
     references marked Unresolved match nothing. One match is a Reference, none Unresolved, more Ambiguous.
@@ -39,7 +39,7 @@ def resolve_references(references: DataFrame, definitions: DataFrame) -> DataFra
     who = F.when(pick("n", 0) > 0, pick("m", 0)).otherwise(pick("m", 1))
     status = F.when(F.col("targets") == 1, "Reference").when(F.col("targets") > 1, "Ambiguous").otherwise("Unresolved")
     return r.withColumn("targets", n).withColumn("status", status).select(
-        *PLACE, "reference_id", "status", F.col("targets").cast("bigint").alias("targets"), F.when(F.col("targets") == 1, who).alias("resolved")
+        *PLACE, "reference_id", "relation", "status", F.col("targets").cast("bigint").alias("targets"), F.when(F.col("targets") == 1, who).alias("resolved")
     )
 
 
@@ -51,16 +51,32 @@ def python_module_paths(module: Column, source: Column, roots: list[str]) -> Col
     here = F.array_join(folders, "/")
     stem = lambda base: F.array_join(F.filter(F.array(base, tail), lambda x: x != ""), "/")
     both = lambda s: F.array(F.concat(s, F.lit(".py")), F.concat(s, F.lit("/__init__.py")))
-    return F.when(dots > 0, both(stem(here))).otherwise(F.flatten(F.array(*[both(stem(F.lit(r))) for r in roots])))
+    return F.when(dots > 0, both(stem(here))).otherwise(F.flatten(F.array(*[both(stem(F.lit(r))) for r in roots])) if roots else F.array().cast("array<string>"))
+
+
+#: What an ECMAScript import leaves out.
+ECMASCRIPT_ENDS = [".ts", ".js", ".mjs", "/index.ts", "/index.js", "/index.mjs"]
+
+
+def ecmascript_module_paths(module: Column, source: Column) -> Column:
+    """Paths that a relative ECMAScript import may mean, in order: as written, then with each ending. Others have none: they need a package resolver."""
+    at = normal_link(source, module)
+    return F.when(module.rlike(r"^\.\.?/") & at.isNotNull(), F.flatten(F.array(F.array(at), F.array(*[F.concat(at, F.lit(e)) for e in ECMASCRIPT_ENDS]))))
 
 
 def resolve_modules(imports: DataFrame, files: DataFrame, roots: list[str]) -> DataFrame:
-    """(place, import_id, path, status): the first candidate path that is a file; status resolved or unresolved."""
-    c = imports.select(*PLACE, "import_id", F.posexplode(python_module_paths(F.col("module"), F.col("source_path"), roots)).alias("i", "path"))
-    hit = c.join(files.select(*PLACE, "path").distinct(), [*PLACE, "path"]).groupBy(*PLACE, "import_id").agg(F.min_by("path", "i").alias("path"))
-    return imports.select(*PLACE, "import_id").join(hit, [*PLACE, "import_id"], "left").withColumn(
-        "status", F.when(F.col("path").isNull(), "unresolved").otherwise("resolved")
+    """(place, import_id, path, status): the first candidate path that is a file; status resolved, unresolved, or unsupported without candidates.
+
+    imports: (place, import_id, module, source_path), and language, where there are others than python; each language has its own candidates.
+    """
+    language = F.col("language") if "language" in imports.columns else F.lit("python")
+    paths = F.when(language == "python", python_module_paths(F.col("module"), F.col("source_path"), roots)).when(
+        language.isin("typescript", "javascript"), ecmascript_module_paths(F.col("module"), F.col("source_path"))
     )
+    c = imports.select(*PLACE, "import_id", F.posexplode(paths).alias("i", "path"))
+    hit = c.join(files.select(*PLACE, "path").distinct(), [*PLACE, "path"]).groupBy(*PLACE, "import_id").agg(F.min_by("path", "i").alias("path"))
+    status = F.when(F.col("path").isNotNull(), "resolved").when(F.col("__none"), "unsupported").otherwise("unresolved")
+    return imports.select(*PLACE, "import_id", paths.isNull().alias("__none")).join(hit, [*PLACE, "import_id"], "left").withColumn("status", status).drop("__none")
 
 
 def export_bindings(exports: DataFrame, stars: DataFrame, max_depth: int = 32) -> DataFrame:
@@ -140,7 +156,7 @@ def normal_link(source: Column, link: Column) -> Column:
     path = F.try_url_decode(F.regexp_replace(link, r"[#?].*$", ""))
     local = ~link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:|^//|^#")
     folder = F.regexp_replace(source, r"[^/]*$", "")
-    whole = F.when(path.startswith("/"), F.substring(path, 2, 100_000)).otherwise(F.concat(folder, path))
+    whole = F.when(path.startswith("/"), F.regexp_replace(path, "^/", "")).otherwise(F.concat(folder, path))
     # A step above the root leaves a mark that stays.
     step = lambda acc, x: F.when((x == "") | (x == ".") | F.array_contains(acc, F.lit("\0")), acc).when(
         x == "..", F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array(F.lit("\0")))

@@ -58,3 +58,10 @@ def processing_coverage(files: DataFrame) -> DataFrame:
 def duplicates(rows: DataFrame, key: list[str]) -> DataFrame:
     """Keys that occur more than once, which is an error wherever evidence must be single."""
     return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def root_check(roots: DataFrame, manifest: DataFrame) -> DataFrame:
+    """(place, holds): whether each worktree's root and number of facts are those of its manifest; one without either side does not hold."""
+    a = roots.select(*PLACE, F.struct("root", "facts").alias("__a"))
+    b = manifest.select(*PLACE, F.struct("root", "facts").alias("__b"))
+    return a.join(b, PLACE, "full_outer").select(*PLACE, F.col("__a").eqNullSafe(F.col("__b")).alias("holds"))

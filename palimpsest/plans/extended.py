@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text as T
-from palimpsest.operators import context, graph, history, inference, lexical, lineage, resolution
+from palimpsest.operators import context, graph, history, inference, lexical, lineage, resolution, validation
 from palimpsest.plans import reference as R
 from palimpsest.plans.reference import _ASOF, _CONTRACTS, _FAMILY, _INDEX_SQL, _IN, _OUT, _REACH, AFTER, AT, BASE, FA, FACT, PL, PLACE, RECURSIVE, TERMS, UNTIL, Tables
 from palimpsest.sources import scan
@@ -188,11 +188,57 @@ def x05(spark, d):
     return both.agg(F.count("*").alias("candidates"), F.coalesce(F.bool_and(F.col("a").eqNullSafe(F.col("b"))), F.lit(True)).alias("same"))
 
 
-@query("x09_fused_scores", _INDEX_SQL + f", fam as (select {PL}, node_id, owner_file, {_FAMILY} family from cn), f as (select fam.*, coalesce(score, 0) score, case when family in ('Code', 'Documentation') then 0 else 1 end tier from fam left join rk using ({PL}, node_id)) select {PL}, node_id, family, (score * 2)::bigint score, tier from f where score > 0")
+_FILES = f"(select distinct {PL}, file_id, text from file_versions where valid_until_sequence is null and starts_with(sha256(text), content_hash) and length(content_hash) > 0)"
+_BODY_SQL = _INDEX_SQL + f", ft as (select distinct {PL}, file_id owner_file, term from (select {PL}, file_id, unnest({R._TERMS_SQL.replace('coalesce(name', 'coalesce(text')}) term from {_FILES} x) join wanted using (term)), bx as (select distinct cn.repository_id, cn.worktree_id, node_id, term from cn join ft on ft.repository_id = cn.repository_id and ft.worktree_id = cn.worktree_id and ft.owner_file = cn.owner_file where kind in ('Function', 'Struct', 'Enum', 'Trait', 'Test', 'Class', 'Import', 'Export', 'Section', 'DocumentChunk')), bw as (select {PL}, term, length(bin(population // (frequency + 1) + 1)) w from (select {PL}, term, count(distinct node_id) frequency from bx group by all) join pop using ({PL})), bk as (select {PL}, node_id, (sum(w) * count(*))::bigint score from bx join bw using ({PL}, term) group by all)"
+
+
+def _body(t: Tables) -> DataFrame:
+    """Postings of the terms in the text behind each node."""
+    files = history.current(t.raw("file_versions")).select(*PLACE, "file_id", "content_hash", "text")
+    return lexical.body_postings(t.nodes, files, TERMS)
+
+
+@query("x08_body_postings", _BODY_SQL + " select * from bx")
+def x08_body(spark, d):
+    return _body(Tables(spark, d))
+
+
+@query("x09_fused_scores", _BODY_SQL + f", fam as (select {PL}, node_id, owner_file, {_FAMILY} family from cn), f as (select fam.*, coalesce(rk.score, 0) + coalesce(bk.score, 0) score, case when family in ('Code', 'Documentation') then 0 else 1 end tier from fam left join rk using ({PL}, node_id) left join bk using ({PL}, node_id)) select {PL}, node_id, family, score::bigint score, tier from f where score > 0")
 def x09(spark, d):
+    """Name and body; where no stem is asked for, the greater of body and stems is the body."""
+    t = Tables(spark, d)
+    body = lexical.ranked(_body(t), lexical.populations(t.nodes), TERMS)
+    return lexical.fused(t.nodes, R._ranked(t), body, body.where("false")).select(*PLACE, "node_id", "family", "score", "tier")
+
+
+@query("x09_fused_with_stems")
+def x09_stems(spark, d):
+    """Name, body and stems together, then the first of each file."""
+    from palimpsest.functions.stem import stem
+
+    t = Tables(spark, d)
+    people = lexical.populations(t.nodes)
+    stems = lexical.ranked(lexical.stemmed_postings(lexical.postings(t.nodes)), people, sorted({stem(x) for x in TERMS}))
+    fused = lexical.fused(t.nodes, R._ranked(t), lexical.ranked(_body(t), people, TERMS), stems)
+    best = fused.groupBy(*PLACE, "node_id").agg(F.max(F.struct("score", "owner_file", "tier")).alias("b")).select(*PLACE, "node_id", "b.*")
+    return lexical.first_per_file(best, 32).select(*PLACE, "node_id", "owner_file", "score", "tier", "rank")
+
+
+@query("w06_refilled_plan")
+def w06(spark, d):
+    """Channels of names, bodies and stems by family, refilled in turn."""
+    from palimpsest.functions.stem import stem
+
     t = Tables(spark, d)
-    scores = R._ranked(t)
-    return lexical.fused(t.nodes, scores, scores, scores.where("false")).select(*PLACE, "node_id", "family", "score", "tier")
+    people, family = lexical.populations(t.nodes), t.nodes.groupBy(*PLACE, "node_id").agg(F.min(T.lexical_family(F.col("kind"))).alias("family"))
+    stems = lexical.ranked(lexical.stemmed_postings(lexical.postings(t.nodes)), people, sorted({stem(x) for x in TERMS}))
+    out = None
+    for name, scores in (("1 name", R._ranked(t)), ("2 body", lexical.ranked(_body(t), people, TERMS)), ("3 stem", stems)):
+        rows = scores.join(family, [*PLACE, "node_id"])
+        position = F.row_number().over(Window.partitionBy(*PLACE, "family").orderBy(F.desc("score"), "node_id"))
+        part = rows.select(*PLACE, F.concat(F.lit(f"{name} "), "family").alias("channel"), position.alias("position"), "node_id")
+        out = part if out is None else out.unionByName(part)
+    return lexical.refilled(out, 256)
 
 
 @query("x10_seed_plan", _INDEX_SQL + f", fam as (select {PL}, node_id, min({_FAMILY}) family from cn group by {PL}, node_id), t as (select rk.*, family, row_number() over (partition by {PL}, family order by score desc, node_id) turn from rk join fam using ({PL}, node_id)), o as (select *, row_number() over (partition by {PL} order by turn, list_position(['Code','Documentation','Reference','Other'], family)) rank from t) select {PL}, node_id, family, turn, rank from o where rank <= 32")
@@ -206,7 +252,7 @@ _SEEDS_SQL = f", m as (select {PL}, node_id, kind, contains(lower(name), 'edge')
 
 @query("x12_lexical_seeds", _SEEDS_SQL + " select * from seeds")
 def x12(spark, d):
-    return context.lexical_seeds(Tables(spark, d).nodes, context.query_terms("resolve the edge")[:1] + ["resolve"], 8)
+    return context.lexical_seeds(Tables(spark, d).nodes, context.query_terms("Resolve edge"), 8)
 
 
 @query("x13_context_expansion", RECURSIVE + _SEEDS_SQL + f", st as ({_OUT} union {_IN}), b as (select {PL}, node_id, 0 depth from seeds union select b.repository_id, b.worktree_id, st.b, b.depth + 1 from b join st on st.repository_id = b.repository_id and st.worktree_id = b.worktree_id and st.a = b.node_id where b.depth < 1) select {PL}, node_id, min(depth) depth from b group by 1, 2, 3", base=False)
@@ -215,13 +261,45 @@ def x13(spark, d):
     return context.expand(t.edges, context.lexical_seeds(t.nodes, ["edge", "resolve"], 8), 1)
 
 
-def _candidates(t: Tables):
-    seeds = context.lexical_seeds(t.nodes, ["edge", "resolve"], 8)
-    texts = history.current(t.raw("file_versions")).groupBy(*PLACE, "file_id").agg(F.min("text").alias("text"))
-    return context.candidates(seeds, context.expand(t.edges, seeds, 1), t.nodes, t.edges, texts)
+@query("x11_preferred_plan", _INDEX_SQL + f", fam as (select {PL}, node_id, min({_FAMILY}) family, bool_or(kind = 'Test') tests from cn group by {PL}, node_id), t as (select rk.*, family, tests, row_number() over (partition by {PL}, family order by score desc, node_id) turn from rk join fam using ({PL}, node_id)), o as (select *, row_number() over (partition by {PL} order by turn, list_position(['Code','Documentation','Reference','Other'], family)) rank from t), p as (select * from o where rank <= 32) select {PL}, node_id, row_number() over (partition by {PL} order by matched < 2, tests, rank) place from p")
+def x11(spark, d):
+    """The seed plan with nodes that match two terms first, tests last."""
+    t = Tables(spark, d)
+    ranked = R._ranked(t)
+    return context.preferred(context.seed_plan(ranked, t.nodes), ranked.where("matched >= 2"), t.nodes, "last", True)
 
 
-@query("x14_context_candidates")
+@query("x20_selection_report", SQL["x13_context_expansion"].replace(f" select {PL}, node_id, min(depth) depth from b group by 1, 2, 3", f", m2 as (select {PL}, node_id, min(depth) depth from b group by 1, 2, 3) select {PL}, (select count(*) from seeds z where z.repository_id = m2.repository_id and z.worktree_id = m2.worktree_id) seeds, count(*) nodes, max(depth)::bigint deepest from m2 group by 1, 2"), base=False)
+def x20(spark, d):
+    t = Tables(spark, d)
+    seeds = context.lexical_seeds(t.nodes, context.query_terms("Resolve edge"), 8)
+    return context.selection_report(seeds, context.expand(t.edges, seeds, 1))
+
+
+def _candidates(t: Tables):
+    seeds = context.lexical_seeds(t.nodes, ["edge", "resolve"], 8)
+    near = context.expand(t.edges, seeds, 1)
+    # Only the texts of files that own a node in reach are read on.
+    owners = t.nodes.join(near.select(*PLACE, "node_id"), [*PLACE, "node_id"], "left_semi").select(*PLACE, F.col("owner_file").alias("file_id")).distinct()
+    files = history.current(t.raw("file_versions")).join(owners, [*PLACE, "file_id"], "left_semi")
+    return context.candidates(seeds, near, t.nodes, t.edges, files.groupBy(*PLACE, "file_id").agg(F.min("text").alias("text")))
+
+
+_NEAR_SQL = SQL["x13_context_expansion"].replace(f" select {PL}, node_id, min(depth) depth from b group by 1, 2, 3", f", ex as (select {PL}, node_id, min(depth) depth from b group by 1, 2, 3)")
+_CANDIDATES_SQL = _NEAR_SQL + f""", nn as (select {PL}, node_id, kind, name, owner_file from (select *, row_number() over (partition by {PL}, node_id order by kind nulls first, name nulls first, owner_file nulls first) rn from cn) where rn = 1),
+n0 as (select {PL}, node_id, depth, coalesce(relevance, 0) relevance, kind, name, owner_file from ex left join (select {PL}, node_id, relevance from seeds) using ({PL}, node_id) join nn using ({PL}, node_id)),
+inh as (select c.repository_id, c.worktree_id, c.source node_id, max(relevance) inherited from ce c join n0 on n0.repository_id = c.repository_id and n0.worktree_id = c.worktree_id and n0.node_id = c.target where c.relation = 'Contains' and kind = 'DocumentChunk' group by 1, 2, 3),
+near as (select {PL}, node_id, depth, case when kind = 'Section' then greatest(relevance, coalesce(inherited, relevance)) else relevance end relevance, kind, name, owner_file from n0 left join inh using ({PL}, node_id)),
+tx as (select {PL}, file_id owner_file, min(text) text from file_versions where valid_until_sequence is null group by 1, 2, 3),
+pe as (select {PL}, source, target, min(relation) relation, min(edge_id) edge_id from ce group by 1, 2, 3, 4),
+al as (select {PL}, 0 o, case when kind in ('Reference', 'UnresolvedReference', 'AmbiguousReference', 'Import', 'Export', 'ModuleResolutionDiagnostic') then 1 when kind in ('File', 'Module', 'Script', 'Document') then 2 else 0 end gr, node_id key, text, node_id node_ids, relevance, depth from near join tx using ({PL}, owner_file)
+  union all select {PL}, 1, 0, node_id, kind || ' ' || coalesce(name, ''), node_id, relevance, depth from near
+  union all select near.repository_id, near.worktree_id, 2, 0, edge_id, source || ' ' || relation || ' ' || target, node_id, relevance, depth from pe join near on near.repository_id = pe.repository_id and near.worktree_id = pe.worktree_id and near.node_id = pe.source where (pe.repository_id, pe.worktree_id, pe.target) in (select ({PL}, node_id) from ex)
+  union all select {PL}, 3, 0, 'total', count(*) || ' nodes', min(node_id), max(relevance), 0 from near group by {PL})
+select {PL}, ['source_evidence', 'signature', 'graph_path', 'summary'][o + 1] kind, key, text, node_ids, relevance::bigint relevance, depth::bigint distance, position from (select *, row_number() over (partition by {PL} order by o, relevance desc, depth, gr, key, text) position from al) where position <= 256"""
+
+
+@query("x14_context_candidates", _CANDIDATES_SQL, base=False)
 def x14(spark, d):
     return _candidates(Tables(spark, d)).withColumn("node_ids", F.array_join("node_ids", " "))
 
@@ -239,12 +317,14 @@ def a10(spark, d):
     return R._ranked(t).join(kept, [*PLACE, "node_id"], "left_anti").join(family, [*PLACE, "node_id"]).groupBy(*PLACE, "family").agg(F.count("*").alias("omitted"))
 
 
-@query("x19_line_of_span", "select distinct file_id, valid_from_sequence, 1 + length(substr(text, 1, instr(text, '{') - 1)) - length(replace(substr(text, 1, instr(text, '{') - 1), chr(10), '')) line from file_versions where instr(text, '{') > 0", base=False)
+@query("x19_line_of_span", "with t as (select distinct file_id, valid_from_sequence, text, strlen(substr(text, 1, instr(text, '{') - 1)) a, strlen(text) n, hex(encode(text)) h from file_versions where instr(text, '{') > 0), s as (select *, a + x.w b from t, (values (1), (40), (200)) x(w)), k as (select *, b <= n and coalesce(substr(h, 2 * b + 1, 1), '') not in ('8', '9', 'A', 'B') ok from s), l as (select *, len(list_filter(regexp_extract_all(substr(h, 1, 2 * a), '..'), lambda x: x = '0A')) + 1 f, len(list_filter(regexp_extract_all(substr(h, 1, 2 * (b - case when substr(h, 2 * b - 1, 2) = '0A' then 1 else 0 end)), '..'), lambda x: x = '0A')) + 1 e from k) select file_id, valid_from_sequence, a start_byte, b end_byte, case when ok then f end first_line, case when ok then e end last_line, case when ok then md5(array_to_string(list_slice(string_split(text, chr(10)), f, e), chr(10))) end lines from l", base=False)
 def x19(spark, d):
-    at = F.instr("text", "{")
-    head = F.substring("text", F.lit(1), at - 1)
-    line = 1 + F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit("")))
-    return table(spark, d, "file_versions").where(at > 0).select("file_id", "valid_from_sequence", line.cast("bigint").alias("line")).distinct()
+    """The lines of three spans from each file's first brace; spans that end inside a character or beyond the text are refused."""
+    start = F.octet_length(F.substring(F.col("text"), F.lit(1), F.instr("text", "{") - 1))
+    f = table(spark, d, "file_versions").where(F.instr("text", "{") > 0).select("file_id", "valid_from_sequence", "text").distinct()
+    spans = f.select("*", start.cast("bigint").alias("start_byte"), F.explode(F.array(F.lit(1), F.lit(40), F.lit(200))).alias("w")).withColumn("end_byte", F.col("start_byte") + F.col("w"))
+    lines = spans.withColumn("l", T.span_lines(F.col("text"), F.col("start_byte").cast("int"), F.col("end_byte").cast("int")))
+    return lines.select("file_id", "valid_from_sequence", "start_byte", "end_byte", "l.first_line", "l.last_line", F.md5(F.encode("l.text", "UTF-8")).alias("lines"))
 
 
 # --- Inference and resolution --------------------------------------------------------------------------------------------
@@ -259,9 +339,9 @@ def i10(spark, d):
     return p.join(e, [*PLACE, "edge_id"]).join(q, [*PLACE, "provenance"]).groupBy("evidence_class").agg(F.countDistinct("premise_id").alias("claims"))
 
 
-@query("r07_resolution_status", R.SQL["r01_resolve_references"][len(BASE) :].replace("select repository_id, worktree_id, reference_id, case", "select status, count(*) n from (select repository_id, worktree_id, reference_id, case") + ") group by 1")
+@query("r07_resolution_status", R.SQL["r01_resolve_references"][len(BASE) :].replace("select repository_id, worktree_id, reference_id, relation, case", "select relation, status, count(*) n from (select repository_id, worktree_id, reference_id, relation, case") + ") group by 1, 2")
 def r07(spark, d):
-    return R.r01(spark, d).groupBy("status").agg(F.count("*").alias("n"))
+    return R.r01(spark, d).groupBy("relation", "status").agg(F.count("*").alias("n"))
 
 
 @query("r15_files_to_extract", f", a as (select {PL}, file_id, max(content_hash) was from fv where {_ASOF} group by all), b as (select {PL}, file_id, max(content_hash) now from fv where valid_until_sequence is null group by all) select {PL}, file_id, was is null \"new\" from b left join a using ({PL}, file_id) where was is distinct from now")
@@ -284,26 +364,42 @@ def r17(spark, d):
     return Tables(spark, d).nodes.where(F.col("kind").isin("Import", "Export")).groupBy(*PLACE, "kind", "name").agg(F.count("*").alias("n"))
 
 
-@query("r02_canonical_symbols", "select p_partkey, regexp_replace(regexp_replace(regexp_replace(p_type || '::Map<' || p_name || ', Vec<' || p_brand || '>>', '\\s+', '', 'g'), '<[^<>]*>', '', 'g'), '<[^<>]*>', '', 'g') symbol from part", base=False)
+_TYPES = "[A-Z][A-Za-z0-9]*<[^;{}()=\\n]*>"
+
+
+@query("r02_canonical_symbols", "with s as (select distinct unnest(regexp_extract_all(text, '[A-Z][A-Za-z0-9]*<[^;{}()=\\n]*>')) written from file_versions where normalized_path like '%.rs'), b as (select written from s where length(replace(written, '<', '')) = length(replace(written, '>', '')) and not regexp_matches(written, '->|=>|[<>][^A-Za-z<> ]')) select written, " + "regexp_replace(" * 8 + "regexp_replace(written, '\\s+', '', 'g')" + ", '<[^<>]*>', '', 'g')" * 8 + " symbol from b", base=False)
 def r02(spark, d):
-    whole = F.concat("p_type", F.lit("::Map<"), "p_name", F.lit(", Vec<"), "p_brand", F.lit(">>"))
-    return table(spark, d, "part").select("p_partkey", T.canonical_symbol(whole).alias("symbol"))
+    """The types with arguments that Rust texts write, without them."""
+    f = table(spark, d, "file_versions").where("normalized_path like '%.rs'")
+    s = f.select(F.explode(F.regexp_extract_all("text", F.lit(_TYPES), F.lit(0))).alias("written")).distinct()
+    even = F.length(F.replace("written", F.lit("<"), F.lit(""))) == F.length(F.replace("written", F.lit(">"), F.lit("")))
+    s = s.where(even & ~F.col("written").rlike("->|=>|[<>][^A-Za-z<> ]"))
+    return s.select("written", T.canonical_symbol(F.col("written")).alias("symbol"))
 
 
-@query("r10_normal_links", "select doc_id, path target from documents where path is not null", base=False)
+@query("r10_normal_links", "with l as (select distinct doc_id, path, unnest(regexp_extract_all(text, '\\[([A-Za-z0-9_./-]+\\.[a-z]+)\\]', 1)) link from documents where path is not null and text is not null) select doc_id, link, regexp_replace(path, '[^/]*$', '') || link beside, case when regexp_matches(path, '/') then regexp_replace(path, '[^/]+/[^/]*$', '') || link end above, link as root, null::varchar outside from l where not regexp_matches('/' || link, '/\\.{0,2}/|/\\.{0,2}$')", base=False)
 def r10(spark, d):
-    docs = table(spark, d, "documents").where("path is not null")
-    link = F.concat(F.lit("../"), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1), F.lit("/./"), F.regexp_extract("path", r"[^/]*$", 0), F.lit("#top"))
-    return docs.select("doc_id", resolution.normal_link(F.col("path"), link).alias("target"))
+    """The paths that documents mention in brackets, as links beside the document, from the folder above, from the root, and of another host."""
+    link = F.explode(F.regexp_extract_all("text", F.lit(r"\[([A-Za-z0-9_./-]+\.[a-z]+)\]"), F.lit(1))).alias("link")
+    l = table(spark, d, "documents").where("path is not null and text is not null").select("doc_id", "path", link).distinct()
+    l = l.where(~F.concat(F.lit("/"), "link").rlike(r"/\.{0,2}/|/\.{0,2}$"))
+    to = lambda before, after="": resolution.normal_link(F.col("path"), F.concat(F.lit(before), "link", F.lit(after)))
+    return l.select("doc_id", "link", to("./", "#top").alias("beside"), to("x/../../", "?a=1").alias("above"), to("/").alias("root"), to("https://host/").alias("outside"))
 
 
-@query("v02_root_moved", f", a as (select {PL}, bit_xor(('0x' || substr(md5(fact_kind || '|' || fact_id || '|' || valid_from_sequence || '|-'), 1, 15))::bigint) root from facts where {_ASOF} group by 1, 2), b as (select {PL}, bit_xor(('0x' || substr(md5(fact_kind || '|' || fact_id || '|' || valid_from_sequence || '|-'), 1, 15))::bigint) root from facts where valid_until_sequence is null group by 1, 2) select {PL}, a.root is distinct from b.root moved from a full join b using ({PL})")
+@query("v02_root_moved", f", a as (select {PL}, bit_xor(('0x' || substr(md5(fact_kind || '|' || fact_id || '|' || valid_from_sequence || '|-'), 1, 15))::bigint) root from facts where {_ASOF} group by 1, 2), b as (select {PL}, bit_xor(('0x' || substr(md5(fact_kind || '|' || fact_id || '|' || valid_from_sequence || '|-'), 1, 15))::bigint) root from facts where valid_until_sequence is null group by 1, 2) select {PL}, a.root is distinct from b.root moved, a.root is not null holds from a full join b using ({PL})")
 def v02(spark, d):
+    """Roots of an earlier graph, written as a manifest, against the graph as it is read again then and against that of now."""
     f = Tables(spark, d).facts
     bare = lambda x: x.withColumn("valid_until_sequence", F.lit(None).cast("bigint"))
     a = history.roots(bare(history.as_of(f, AT))).select(*PLACE, F.col("root").alias("a"))
     b = history.roots(bare(history.current(f))).select(*PLACE, F.col("root").alias("b"))
-    return a.join(b, PLACE, "full_outer").select(*PLACE, (~F.col("a").eqNullSafe(F.col("b"))).alias("moved"))
+    from palimpsest.session import materialize
+
+    manifest = materialize(history.roots(bare(history.as_of(f, AT))), "manifest")
+    held = validation.root_check(history.roots(bare(history.as_of(f, AT))), manifest)
+    rows = a.join(b, PLACE, "full_outer").select(*PLACE, (~F.col("a").eqNullSafe(F.col("b"))).alias("moved"))
+    return rows.join(held, PLACE, "left").select(*PLACE, "moved", F.coalesce("holds", F.lit(False)).alias("holds"))
 
 
 @query("t05_fact_history_times", f"select {FA}, valid_from_sequence, nanos accepted_nanos from facts left join (select {PL}, generation_sequence valid_from_sequence, nanos from g) using ({PL}, valid_from_sequence)")
@@ -313,14 +409,21 @@ def t05(spark, d):
     return t.facts.join(g, [*PLACE, "valid_from_sequence"], "left").select(*FACT, "valid_from_sequence", "accepted_nanos")
 
 
-@query("t19_status_counts", f"select {PL}, status, count(*) generations from g group by all")
+@query("t19_status_counts", f", d as (select {PL}, generation, case when bool_or(status = 'committed') then 'Verified' else 'Rejected' end st from watermarks group by all) select {PL}, coalesce(st, status) status, count(*) generations from g left join d using ({PL}, generation) group by all")
 def t19(spark, d):
-    return history.chain(Tables(spark, d).raw("generations")).groupBy(*PLACE, "status").agg(F.count("*").alias("generations"))
+    """Generations after each run has set the status of the one that it was for."""
+    t = Tables(spark, d)
+    g = history.chain(t.raw("generations"))
+    st = F.when(F.bool_or(F.col("status") == "committed"), "Verified").otherwise("Rejected")
+    runs = t.raw("watermarks").groupBy(*PLACE, "generation").agg(st.alias("status"))
+    decided = runs.join(g.select(*PLACE, "generation"), [*PLACE, "generation"], "left_semi")
+    return history.with_status(g, decided).groupBy(*PLACE, "status").agg(F.count("*").alias("generations"))
 
 
-@query("s11_feed_partitions", f"select fact_kind, min(fact_id) first_id, max(fact_id) last_id, count(*) as \"rows\" from facts group by 1")
+@query("s11_feed_pages", f", o as (select *, (row_number() over (partition by {PL} order by case fact_kind when 'file' then 0 when 'provenance' then 1 when 'node' then 2 else 3 end, fact_id, valid_from_sequence, valid_until_sequence nulls last) - 1) // 256 page from facts) select {PL}, page, count(*) as \"rows\", min(fact_id) first_id, max(fact_id) last_id, max(valid_from_sequence) last_sequence from o group by 1, 2, 3")
 def s11(spark, d):
-    return Tables(spark, d).facts.groupBy("fact_kind").agg(F.min("fact_id").alias("first_id"), F.max("fact_id").alias("last_id"), F.count("*").alias("rows"))
+    pages = history.feed_pages(Tables(spark, d).facts, 256)
+    return pages.groupBy(*PLACE, "page").agg(F.count("*").alias("rows"), F.min("fact_id").alias("first_id"), F.max("fact_id").alias("last_id"), F.max("valid_from_sequence").alias("last_sequence"))
 
 
 __all__ = ["QUERIES", "SQL", "scan"]

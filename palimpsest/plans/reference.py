@@ -142,10 +142,18 @@ def s08(spark, d):
     return history.within_budget(history.as_of(Tables(spark, d)["node_versions"], AT).select(*PLACE, "node_id", "version_id"), 10**15)
 
 
-@query("s10_records_last_with_prefix", f"select {PL}, max(lpad(run_id::varchar, 12, '0')) last_key, count(distinct run_id) records from watermarks group by 1, 2", base=False)
+@query("s10_records_last_with_prefix", f"""with w as (select distinct {PL}, run_id, status from watermarks), k as (select {PL}, 'run/' || repository_id || '/' || worktree_id || '/' || lpad(run_id::varchar, 12, '0') k, bool_or(status = 'committed') c from w group by all)
+select {PL}, max(k) last_key, arg_max(case when c then 'committed' else 'seen' end, k) last_value, count(*) records from k group by 1, 2""", base=False)
 def s10(spark, d):
-    runs = table(spark, d, "watermarks").select(*PLACE, "run_id").distinct()
-    return runs.groupBy(*PLACE).agg(F.max(F.lpad(F.col("run_id").cast("string"), 12, "0")).alias("last_key"), F.count("*").alias("records"))
+    """Every run is put as seen, then the committed ones again; what is read is the last write of each key, by prefix."""
+    runs = table(spark, d, "watermarks")
+    key = F.concat_ws("/", F.lit("run"), *PLACE, F.lpad(F.col("run_id").cast("string"), 12, "0")).alias("key")
+    records = scan.RecordTable(spark, scratch_path(spark, "records"))
+    records.put(runs.select(key, F.lit("seen").alias("value")))
+    records.put(runs.where("status = 'committed'").select(key, F.col("status").alias("value")))
+    parts = F.split("key", "/")
+    rows = records.scan("run/").select(F.element_at(parts, 2).alias("repository_id"), F.element_at(parts, 3).alias("worktree_id"), "key", "value")
+    return rows.groupBy(*PLACE).agg(F.max("key").alias("last_key"), F.max_by("value", "key").alias("last_value"), F.count("*").alias("records"))
 
 
 @query("s12_export_and_audit", f"select fact_kind, count(*) as \"rows\", 'ok' audit from facts group by 1")
@@ -253,6 +261,21 @@ def p10(spark, d):
     return Tables(spark, d).nodes.groupBy(T.lexical_family(F.col("kind")).alias("family"), "kind").agg(F.count("*").alias("nodes"))
 
 
+@query("p-09_source_content", f"select {PL}, kind, count(*) nodes from cn where kind in ('Function', 'Struct', 'Enum', 'Trait', 'Test', 'Class', 'Import', 'Export', 'Section', 'DocumentChunk') group by all")
+def p09(spark, d):
+    return Tables(spark, d).nodes.where(T.is_source_content(F.col("kind"))).groupBy(*PLACE, "kind").agg(F.count("*").alias("nodes"))
+
+
+@query("p-11_reference_targets", f", a as (select distinct {PL}, node_id, namespace = 'syntax' and external_kind = 'anchor' anchor from external_snapshots), x as (select {PL}, node_id, kind in ('Function', 'Test', 'Class', 'Struct', 'Trait', 'File', 'Document') target, false anchor, case when kind = 'Test' then 'TestIntent' end as \"role\" from cn union all select {PL}, node_id, anchor, anchor, null from a) select target, anchor, \"role\", count(*) nodes from x group by all")
+def p11(spark, d):
+    t = Tables(spark, d)
+    anchor = T.is_source_anchor(F.col("kind"), F.col("namespace"), F.col("external_kind"), "syntax")
+    external = t.raw("external_snapshots").withColumn("kind", F.lit("External")).select(*PLACE, "node_id", "kind", anchor.alias("anchor")).distinct()
+    rows = t.nodes.select(*PLACE, "node_id", "kind", F.lit(False).alias("anchor")).unionByName(external)
+    target = T.is_reference_target(F.col("kind"), F.col("anchor"))
+    return rows.groupBy(target.alias("target"), "anchor", T.source_role(F.col("kind")).alias("role")).agg(F.count("*").alias("nodes"))
+
+
 @query("p-12_known_by", f", r as (select *, max(nanos) over w m, min((nanos is not null)::int) over w k from g window w as (partition by {PL} order by generation_sequence)) select {PL}, max(generation_sequence) known_sequence from r where k = 1 and m <= {KNOWN_BY} group by 1, 2")
 def p12(spark, d):
     return history.known_sequences(Tables(spark, d).raw("generations"), KNOWN_BY)
@@ -325,9 +348,9 @@ def j11(spark, d):
     return p.join(closed, [*PLACE, "edge_id"], "left_semi").groupBy(F.col("edge_id").alias("premise_edge")).agg(F.count("*").alias("premises"))
 
 
-@query("j13_owning_section")
+@query("j13_owning_section", "", base=False)
 def j13(spark, d):
-    return resolution.owning_sections(table(spark, d, "documents"))
+    return _wide(resolution.owning_sections(table(spark, d, "documents")), "paragraph", "section_line")
 
 
 @query("j14_fact_change_events", f"select {FA}, count(*) events, min(generation_sequence) first_sequence, max(generation_sequence) last_sequence from ch group by all")
@@ -402,7 +425,9 @@ def a05(spark, d):
 
 @query("a06_processing_coverage", f"select {PL}, case when language is null then 'unclassified' when length(coalesce(diagnostic_message, '')) > 0 then 'syntax_failed' else 'completed' end state, count(*) files from (select distinct * from file_versions) where valid_until_sequence is null group by all", base=False)
 def a06(spark, d):
-    return validation.processing_coverage(history.current(Tables(spark, d).raw("file_versions").distinct()))
+    # The digest stands for the text, which is not read.
+    rows = Tables(spark, d).raw("file_versions").drop("text").distinct()
+    return validation.processing_coverage(history.current(rows))
 
 
 _TERMS_SQL = "list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(coalesce(name, ''), '([a-z0-9])([A-Z])', '\\1 \\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1 \\2', 'g'), '[^A-Za-z0-9]+'), lambda x: lower(x)), lambda x: length(x) > 0)))"
@@ -531,12 +556,14 @@ def u06(spark, d):
     return rows.groupBy(*PLACE, "name").agg(F.min(F.struct("valid_from_sequence", "node_id")).alias("m")).select(*PLACE, "name", "m.node_id")
 
 
-@query("u07_coalesced_excerpts", "select md5(text) excerpt, count(distinct file_id) files, string_agg(distinct file_id, ' ' order by file_id) file_ids from file_versions where length(text) > 0 group by 1", base=False)
+@query("u07_coalesced_excerpts", "with f as (select distinct md5(text) excerpt, file_id from file_versions where length(text) > 0), n as (select excerpt, count(*) files from f group by 1), p as (select f.*, files, ('0x' || substr(md5(file_id), 1, 8))::bigint % ((files + 255) // 256) part from f join n using (excerpt)) select excerpt, part, files, string_agg(file_id, ' ' order by file_id) file_ids from p group by all", base=False)
 def u07(spark, d):
-    f = table(spark, d, "file_versions").where(F.length("text") > 0)
-    return f.groupBy(F.md5(F.encode("text", "UTF-8")).alias("excerpt")).agg(
-        F.countDistinct("file_id").alias("files"), F.array_join(F.array_sort(F.collect_set("file_id")), " ").alias("file_ids")
-    )
+    """The ids of an excerpt come in parts of about 256, so that no text's list grows without bound."""
+    f = table(spark, d, "file_versions").where(F.length("text") > 0).select(F.md5(F.encode("text", "UTF-8")).alias("excerpt"), "file_id").distinct()
+    n = f.groupBy("excerpt").agg(F.count("*").alias("files"))
+    part = F.conv(F.substring(F.md5("file_id"), 1, 8), 16, 10).cast("bigint") % F.floor((F.col("files") + 255) / 256)
+    rows = f.join(n, "excerpt").withColumn("part", part)
+    return rows.groupBy("excerpt", "part", "files").agg(F.array_join(F.array_sort(F.collect_list("file_id")), " ").alias("file_ids"))
 
 
 # --- Temporal -------------------------------------------------------------------------------------------------------
@@ -829,14 +856,38 @@ def i13(spark, d):
 _DEFS = "('Module','Function','Struct','Enum','Trait','Class')"
 
 
-@query("r01_resolve_references", f", df as (select distinct {PL}, node_id, name key from cn where kind in {_DEFS} and name is not null), rf as (select distinct {PL}, node_id reference_id, name key from cn where kind = 'UnresolvedReference'), m as (select rf.{PL.replace(', ', ', rf.')}, reference_id, rf.key, count(distinct df.node_id) targets, min(df.node_id) who from rf left join df on df.repository_id = rf.repository_id and df.worktree_id = rf.worktree_id and df.key = rf.key group by all) select {PL}, reference_id, case when targets = 1 then 'Reference' when targets > 1 then 'Ambiguous' else 'Unresolved' end status, targets, case when targets = 1 then who end resolved from m")
+@query("r01_resolve_references", f", df as (select distinct {PL}, node_id, kind, name key from cn where kind in {_DEFS} and name is not null), rf as (select distinct n.repository_id, n.worktree_id, n.node_id reference_id, n.name key, coalesce(e.relation, 'Unresolved') relation from cn n left join (select distinct {PL}, target, relation from ce) e on e.repository_id = n.repository_id and e.worktree_id = n.worktree_id and e.target = n.node_id where kind = 'UnresolvedReference'), m as (select rf.{PL.replace(', ', ', rf.')}, reference_id, rf.relation, rf.key, count(distinct df.node_id) targets, min(df.node_id) who from rf left join df on df.repository_id = rf.repository_id and df.worktree_id = rf.worktree_id and df.key = rf.key and rf.relation not in ('Imports', 'Unresolved') and (rf.relation <> 'Implements' or df.kind = 'Trait') group by all) select {PL}, reference_id, relation, case when targets = 1 then 'Reference' when targets > 1 then 'Ambiguous' else 'Unresolved' end status, targets, case when targets = 1 then who end resolved from m")
 def r01(spark, d):
-    n = Tables(spark, d).nodes
-    refs = n.where("kind = 'UnresolvedReference'").select(*PLACE, F.col("node_id").alias("reference_id"), F.col("name").alias("symbol"), F.lit("Calls").alias("relation")).distinct()
+    """Unresolved references by each relation that leads to them; one that nothing leads to has no static target."""
+    t = Tables(spark, d)
+    n = t.nodes
+    by = t.edges.select(*PLACE, F.col("target").alias("node_id"), "relation").distinct()
+    refs = n.where("kind = 'UnresolvedReference'").join(by, [*PLACE, "node_id"], "left")
+    refs = refs.select(*PLACE, F.col("node_id").alias("reference_id"), F.col("name").alias("symbol"), F.coalesce("relation", F.lit("Unresolved")).alias("relation")).distinct()
     return resolution.resolve_references(refs, n.where(F.col("kind").isin(resolution.DEFINITIONS) & F.col("name").isNotNull()))
 
 
-@query("r06_export_bindings")
+@query("r04_module_paths", f", f as (select distinct {PL}, file_id, normalized_path path from fv where valid_until_sequence is null), i as (select {PL}, file_id import_id, regexp_replace(path, '^[^/]*/', '') tail, path from f where path like '%.py'), c as (select i.repository_id, i.worktree_id, import_id, r.n, r.root || tail path from i, (values (1, 'src/'), (2, 'pkg/'), (3, 'tools/')) r(n, root)), h as (select c.repository_id, c.worktree_id, import_id, arg_min(c.path, n) path from c join f on f.repository_id = c.repository_id and f.worktree_id = c.worktree_id and f.path = c.path group by 1, 2, 3) select distinct {PL}, import_id, h.path, case when h.path is null then 'unresolved' else 'resolved' end status from (select distinct {PL}, import_id from i) left join h using ({PL}, import_id)")
+def r04(spark, d):
+    """The module that each current Python file is, below its first folder, looked for under three roots in order."""
+    f = history.current(Tables(spark, d)["file_versions"]).select(*PLACE, "file_id", F.col("normalized_path").alias("path")).distinct()
+    tail = F.regexp_replace(F.regexp_replace("path", r"^[^/]*/", ""), r"\.py$", "")
+    i = f.where(F.col("path").endswith(".py")).select(*PLACE, F.col("file_id").alias("import_id"), F.replace(tail, F.lit("/"), F.lit(".")).alias("module"), F.col("path").alias("source_path"))
+    return resolution.resolve_modules(i, f, ["src", "pkg", "tools"]).distinct()
+
+
+_JS = "regexp_extract_all(text, 'from \"([^\"]+)\"', 1)"
+
+
+@query("r05_relative_imports", f"with f as (select distinct {PL}, file_id, normalized_path path, {_JS} modules from file_versions where valid_until_sequence is null), i as (select {PL}, file_id || '#' || m import_id, path, m from (select {PL}, file_id, path, unnest(modules) m from f where regexp_matches(path, '\\.(ts|js|mjs)$'))), c as (select i.*, e.n, regexp_replace(path, '[^/]*$', '') || substr(m, 3) || e.e as pth from i, (values (0, ''), (1, '.ts'), (2, '.js'), (3, '.mjs'), (4, '/index.ts'), (5, '/index.js'), (6, '/index.mjs')) e(n, e) where m like './%'), h as (select c.repository_id, c.worktree_id, import_id, arg_min(pth, n) found from c join f on f.repository_id = c.repository_id and f.worktree_id = c.worktree_id and f.path = c.pth group by 1, 2, 3) select {PL}, import_id, found path, case when found is not null then 'resolved' when m like './%' then 'unresolved' else 'unsupported' end status from (select distinct {PL}, import_id, m from i) left join h using ({PL}, import_id)", base=False)
+def r05(spark, d):
+    f = history.current(table(spark, d, "file_versions")).select(*PLACE, "file_id", F.col("normalized_path").alias("path"), F.regexp_extract_all("text", F.lit('from "([^"]+)"'), F.lit(1)).alias("modules")).distinct()
+    i = f.where(F.col("path").rlike(r"\.(ts|js|mjs)$")).select(*PLACE, "file_id", "path", F.explode("modules").alias("module"))
+    i = i.select(*PLACE, F.concat("file_id", F.lit("#"), "module").alias("import_id"), "module", F.col("path").alias("source_path"), F.lit("typescript").alias("language")).distinct()
+    return resolution.resolve_modules(i, f.select(*PLACE, "path"), ["src"])
+
+
+@query("r06_export_bindings", RECURSIVE + ", ex as (select distinct source module, target as name from ce where relation = 'Exports'), sx as (select distinct source module, target source from ce where relation = 'ResolvesTo'), k as (select module, name, module origin from ex union select sx.module, k.name, k.origin from k join sx on sx.source = k.module where name <> 'default' and not exists (select 1 from ex e2 where e2.module = sx.module and e2.name = k.name)) select module, name, min(origin) origin from k group by 1, 2 having count(distinct origin) = 1", base=False)
 def r06(spark, d):
     t = Tables(spark, d)
     e = t.edges.where("relation = 'Exports'").select(F.col("source").alias("module"), F.col("target").alias("name"))
@@ -853,6 +904,9 @@ def r09(spark, d):
     return _wide(resolution.paragraphs(table(spark, d, "documents")), "paragraph", "first_line", "last_line")
 
 
+SQL["j13_owning_section"] = _HEADS + ", b as (select *, not regexp_matches(txt, '\\S') blank from l), q as (select *, sum(blank::int) over (partition by doc_id order by line) run from b), p as (select doc_id, run, min(line) first_line from q where not blank group by 1, 2), n as (select *, row_number() over (partition by doc_id order by first_line) - 1 paragraph from p), hh as (select doc_id, line from h where level > 0) select n.doc_id, n.paragraph, max(hh.line) section_line from n left join hh on hh.doc_id = n.doc_id and hh.line < n.first_line group by all"
+
+
 # --- Integrity and materialization ------------------------------------------------------------------------------------------
 
 
@@ -875,7 +929,7 @@ def v05(spark, d):
     return table(spark, d, "watermarks").where("status = 'failed'").select(*PLACE, "run_id", "generation").distinct()
 
 
-@query("m06_chain_digest")
+@query("m06_chain_digest", RECURSIVE + f", o as (select {PL}, generation root, generation_sequence sequence, row_number() over (partition by {PL} order by generation_sequence, generation) rn, count(*) over (partition by {PL}) n from g), f as (select {PL}, rn, sha256('|' || sequence || '|' || root) digest from o where rn = 1 union all select o.repository_id, o.worktree_id, o.rn, sha256(f.digest || '|' || o.sequence || '|' || o.root) from f join o on o.repository_id = f.repository_id and o.worktree_id = f.worktree_id and o.rn = f.rn + 1) select {PL}, digest, n generations from f join o using ({PL}, rn) where rn = n", base=False)
 def m06(spark, d):
     g = history.chain(Tables(spark, d).raw("generations")).select(*PLACE, F.col("generation_sequence").alias("sequence"), F.col("generation").alias("root"))
     return publication.chain_digests(g)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -131,6 +132,43 @@ class Records:
         return found[-1] if found else None
 
 
+class RecordTable:
+    """Records by key at any number: batches of (key, value) under one folder, each visible by its commit; the last write of a key holds.
+
+    Reads are DataFrames: prefix scans, pages in key order and the last key of a prefix are filters on the key.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _batches(self) -> list[str]:
+        return [n for n in list_names(self.spark, f"{self.root}/commits") if n.endswith(".json")]
+
+    def put(self, rows: DataFrame) -> int:
+        """Write a batch, each key once (of several values of one key the greatest). Gives the batch's number; raises if another writer took it."""
+        number, name = len(self._batches()) + 1, uuid.uuid4().hex[:12]
+        rows.groupBy("key").agg(F.max("value").alias("value")).where(F.col("key").isNotNull()).withColumn("batch", F.lit(number)).write.parquet(f"{self.root}/data/{name}")
+        if not write_once(self.spark, f"{self.root}/commits/{number:08d}.json", json.dumps({"data": name})):
+            raise RuntimeError(f"batch {number} was committed by another writer")
+        return number
+
+    def scan(self, prefix: str = "", after: str | None = None) -> DataFrame:
+        """(key, value, batch) of the records whose key begins with a prefix and comes after another key."""
+        names = [json.loads(read_text(self.spark, f"{self.root}/commits/{n}"))["data"] for n in self._batches()]
+        if not names:
+            return self.spark.createDataFrame([], "key string, value string, batch int")
+        rows = self.spark.read.parquet(*[f"{self.root}/data/{n}" for n in names]).where(F.col("key").startswith(prefix))
+        if after is not None:
+            rows = rows.where(F.col("key") > after)
+        return rows.groupBy("key").agg(F.max_by("value", "batch").alias("value"), F.max("batch").alias("batch"))
+
+    def page(self, prefix: str, limit: int, after: str | None = None) -> DataFrame:
+        return self.scan(prefix, after).orderBy("key").limit(limit)
+
+    def last(self, prefix: str) -> str | None:
+        return self.scan(prefix).agg(F.max("key").alias("k")).first()["k"]
+
+
 def observation_nodes(observations: DataFrame, granted: list[str], namespace: str) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): validated observations as nodes whose id is a digest of their content, so a repeat is the same node.
 

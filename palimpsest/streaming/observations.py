@@ -11,8 +11,13 @@ from palimpsest.sources.scan import observation_nodes
 
 
 def stream_observations(observations: DataFrame, granted: list[str], namespace: str, delay: str = "1 hour") -> DataFrame:
-    """Observation nodes of a stream, each id once. State is bounded by a watermark on the observation's time."""
-    timed = observations.withColumn("observed_at", F.timestamp_micros((F.col("observed_at_nanos") / 1000).cast("bigint")))
+    """Observation nodes of a stream, each id once within ``delay``.
+
+    State is bounded by a watermark on the observation's time: an observation later than the delay is dropped, and one repeated after it
+    comes out again. ``observation_nodes`` over what has been stored is the exact way; ids are digests of the content, so it drops such
+    repeats and, run over the source, has the late ones too.
+    """
+    timed = observations.withColumn("observed_at", F.timestamp_micros(F.expr("observed_at_nanos div 1000")))
     content = F.concat_ws("|", "producer_namespace", "subject", "relation", "object", F.col("observed_at_nanos").cast("string"))
     usable = timed.where(
         (F.col("producer_namespace") == namespace) & F.col("relation").isin(granted) & F.col("subject").isNotNull() & F.col("object").isNotNull()
@@ -28,7 +33,7 @@ def stream_observations(observations: DataFrame, granted: list[str], namespace:
 
 def windowed_counts(observations: DataFrame, width: str = "1 day", delay: str = "2 hours") -> DataFrame:
     """Observations by relation in tumbling windows of their time; rows later than the delay are dropped by the watermark."""
-    timed = observations.withColumn("observed_at", F.timestamp_micros((F.col("observed_at_nanos") / 1000).cast("bigint")))
+    timed = observations.withColumn("observed_at", F.timestamp_micros(F.expr("observed_at_nanos div 1000")))
     return timed.withWatermark("observed_at", delay).groupBy(F.window("observed_at", width), "relation").agg(F.count("*").alias("observations"))
 
 

@@ -157,6 +157,83 @@ def test_ontology_compatibility(spark):
     assert got == {("b", "instance_relation", "is"), ("c", "removed_concept", "Z"), ("d", "removed_relation", "s"), ("e", "narrowed_domain", "r"), ("f", "instance_relation", "is")}
 
 
+def test_spans_and_predicates(spark):
+    text = "aé\nb{c\nd}\n"  # bytes: a 0, é 1-2, \n 3, b 4, { 5, c 6, \n 7, d 8, } 9, \n 10
+    spans = [(0, 1, (1, 1, "aé")), (1, 3, (1, 1, "aé")), (3, 4, (1, 1, "aé")), (4, 8, (2, 2, "b{c")), (5, 10, (2, 3, "b{c\nd}")), (0, 11, (1, 3, "aé\nb{c\nd}")), (2, 5, None), (0, 2, None), (4, 4, None), (9, 12, None), (-1, 3, None), (None, 3, None)]
+    rows = spark.createDataFrame([(i, text, a, b) for i, (a, b, _) in enumerate(spans)], "i int, t string, a int, b int")
+    got = {r.i: r.s and (r.s.first_line, r.s.last_line, r.s.text) for r in rows.select("i", T.span_lines(F.col("t"), F.col("a"), F.col("b")).alias("s")).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(spans)}
+    kinds = spark.createDataFrame([("Test",), ("Import",), (None,), ("File",)], "k string")
+    assert [tuple(r) for r in kinds.select(T.is_source_content(F.col("k")), T.is_reference_target(F.col("k")), T.source_role(F.col("k"))).collect()] == [(True, True, "TestIntent"), (True, False, None), (False, False, None), (False, True, None)]
+
+
+def test_record_table(spark, tmp_path):
+    t = scan.RecordTable(spark, f"file://{tmp_path}/records")
+    df = lambda *rows: spark.createDataFrame(list(rows), "key string, value string")
+    assert t.scan().count() == 0 and t.last("a") is None
+    assert t.put(df(("a/1", "x"), ("a/2", "y"), ("a/2", "z"), ("b/1", None), (None, "n"))) == 1
+    assert t.put(df(("a/1", "w"), ("a/10", "v"))) == 2
+    assert {(r.key, r.value) for r in t.scan("a/").collect()} == {("a/1", "w"), ("a/2", "z"), ("a/10", "v")}
+    assert [r.key for r in t.page("", 2, "a/1").collect()] == ["a/10", "a/2"] and t.last("a/") == "a/2"
+    other = scan.RecordTable(spark, f"file://{tmp_path}/records")
+    other._batches = lambda: ["1"]
+    with pytest.raises(RuntimeError):
+        other.put(df(("c", "d")))
+
+
+def test_feed_pages_and_status(spark):
+    place = "repository_id string, worktree_id string, "
+    rows = [("r", w, k, f"{k[0]}{i:03d}", 1, None) for w in "ab" for k in ("edge", "file", "node") for i in range(7)]
+    pages = history.feed_pages(spark.createDataFrame(rows, place + "fact_kind string, fact_id string, valid_from_sequence bigint, valid_until_sequence bigint"), 4, 3)
+    got = sorted((r.worktree_id, r.page, ["file", "node", "edge"].index(r.fact_kind), r.fact_id) for r in pages.collect())
+    want = [(w, i // 4, "fne".index(f[0]), f) for w in "ab" for i, f in enumerate([f"{k}{i:03d}" for k in "fne" for i in range(7)])]
+    assert got == sorted(want)
+    g = spark.createDataFrame([("r", "w", "g1", "Accepted"), ("r", "w", "g2", "Accepted")], place + "generation string, status string")
+    set_to = spark.createDataFrame([("r", "w", "g2", "Rejected"), ("r", "w", "g2", "Verified")], g.schema)
+    assert sorted((r.generation, r.status) for r in history.with_status(g, set_to).collect()) == [("g1", "Accepted"), ("g2", "Verified")]
+    with pytest.raises(ValueError):
+        history.with_status(g, spark.createDataFrame([("r", "w", "g9", "Verified")], g.schema))
+
+
+def test_refill_and_preferences(spark):
+    import random
+
+    rng, place = random.Random(6), "repository_id string, worktree_id string, "
+    lists = {(w, c): rng.sample([f"n{i}" for i in range(20)], rng.randint(0, 15)) for w in "ab" for c in "xyz"}
+    rows = [("r", w, c, i, n) for (w, c), ids in lists.items() for i, n in enumerate(ids)]
+    got = lexical.refilled(spark.createDataFrame(rows, place + "channel string, position int, node_id string"), 9).orderBy("rank").collect()
+    for w in "ab":
+        assert [r.node_id for r in got if r.worktree_id == w] == lexical.round_robin([lists[w, c] for c in "xyz" if lists[w, c]], 9)
+    plan = spark.createDataFrame([("r", "w", f"n{i}", i) for i in range(1, 5)], place + "node_id string, rank int")
+    nodes = spark.createDataFrame([("r", "w", "n1", "Test"), ("r", "w", "n2", "Function"), ("r", "w", "n3", "Test")], place + "node_id string, kind string")
+    hits = plan.where("node_id in ('n3', 'n4')")
+    order = lambda **k: [r.node_id for r in context.preferred(plan, hits, nodes, **k).orderBy("place").collect()]
+    assert order() == ["n1", "n2", "n3", "n4"] and order(tests="first") == ["n1", "n3", "n2", "n4"] and order(tests="last") == ["n2", "n4", "n1", "n3"]
+    assert order(tests="last", lexical_first=True) == ["n4", "n3", "n2", "n1"]
+
+
+def test_body_terms_of_unchanged_texts(spark):
+    import hashlib
+
+    place = "repository_id string, worktree_id string, "
+    text = "def resolve_edge(): pass"
+    digest = hashlib.sha256(text.encode()).hexdigest()[:16]
+    files = spark.createDataFrame([("r", "w", "f", digest, text), ("r", "w", "g", "0" * 16, text), ("r", "w", "h", digest, None)], place + "file_id string, content_hash string, text string")
+    nodes = spark.createDataFrame([("r", "w", "a", "Function", "f"), ("r", "w", "b", "Module", "f"), ("r", "w", "c", "Function", "g"), ("r", "w", "d", "Function", None)], place + "node_id string, kind string, owner_file string")
+    assert sorted((r.node_id, r.term) for r in lexical.body_postings(nodes, files, ["edge", "resolve", "no"]).collect()) == [("a", "edge"), ("a", "resolve")]
+
+
+def test_packing_cuts_earlier_sources(spark):
+    whole = "\n".join(["filler line of text"] * 20 + ["the needle is here"] + ["more filler"] * 9)
+    found = [{"kind": "source_evidence", "text": whole, "node_ids": ["a"]}, {"kind": "signature", "text": "x" * 80, "node_ids": ["b"]}]
+    got = lexical.pack(found, len(whole) + 10, {"needle"})
+    assert [i["kind"] for i in got["items"]] == ["source_evidence", "signature"] and "needle" in got["items"][0]["text"]
+    assert got["tokens"] == sum(len(i["text"]) for i in got["items"]) <= len(whole) + 10 and not got["omitted"]
+    # Where no cut makes room, all stays as it was.
+    kept = lexical.pack([found[0], found[1] | {"text": "y" * (len(whole) + 5)}], len(whole) + 10, {"needle"})
+    assert [i["text"] for i in kept["items"]] == [whole] and kept["omitted"] == {"signature": 1}
+
+
 def test_hash_chain():
     entries = [(1, "a"), (2, "b")]
     digests = publication.chain_digest(entries)
