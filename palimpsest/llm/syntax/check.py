@@ -9,7 +9,10 @@ run as relational steps over the tokens:
 3. a running count of statement ends at depth 0 groups the tokens into top-level statements, each reduced to its shape
    (the sequence of its token classes); every distinct shape is derived from the grammar's productions once.
 
-A content fails if any check does; a Python shape is checked by Python's own parser.
+A content fails if any check does. All languages go the same way; indentation of Python comes as tokens.
+
+Contents are brought together once, before they are lexed. Tokens are written in buckets by content, so that none of the checks
+shuffles them.
 
 Edge cases: null text or path, other extensions and empty or blank text give no case; contents shared by several
 versions flag each of them; a repeated row counts once in found and in rates; extra columns are ignored.
@@ -17,8 +20,8 @@ versions flag each of them; a repeated row counts once in found and in rates; ex
 
 from __future__ import annotations
 
-import ast
-import warnings
+import math
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from palimpsest.llm.documents import spread
 from palimpsest.llm.syntax import rules
 from palimpsest.llm.syntax.lexers import lex
-from palimpsest.session import materialize
+from palimpsest.session import delete, discard, materialize, scratch_path
 
 #: Extension to language.
 EXTENSIONS = {
@@ -35,8 +38,10 @@ EXTENSIONS = {
 }
 #: Bytes of a diagnostic's message that are kept.
 MESSAGE_BYTES = 4096
+#: Bytes of text whose tokens a bucket should hold, and Spark's own limit of their number.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 100_000
 KEY = ["lang", "content"]
-_TOKENS = "lang string, content binary, pos int, prev string, cls string, nest int, kind string, ends boolean, out string"
+_TOKENS = "lang string, content binary, pos int, prev string, cls string, nest int, kind string, ends boolean"
 
 
 def language_of(path: Column) -> Column:
@@ -44,11 +49,14 @@ def language_of(path: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in EXTENSIONS.items() for x in pair]), extension)
 
 
+def in_language(files: DataFrame) -> DataFrame:
+    """Files with a text in a known language."""
+    return files.withColumn("lang", language_of(F.col("normalized_path"))).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+
+
 def keyed(files: DataFrame) -> DataFrame:
     """Files in a known language, with the key of their content."""
-    return files.withColumn("lang", language_of(F.col("normalized_path"))).where(
-        F.col("lang").isNotNull() & F.col("text").isNotNull()
-    ).withColumn("content", F.unhex(F.substring(F.sha2(F.encode("text", "UTF-8"), 256), 1, 32)))
+    return in_language(files).withColumn("content", F.unhex(F.substring(F.sha2(F.encode("text", "UTF-8"), 256), 1, 32)))
 
 
 def tokens(contents: DataFrame) -> DataFrame:
@@ -62,15 +70,33 @@ def tokens(contents: DataFrame) -> DataFrame:
                 columns = [
                     pa.array([lang] * n), pa.array([content] * n, pa.binary()), pa.array(range(n), pa.int32()),
                     pa.array(["^", *t.cls]), pa.array([*t.cls, "$"]), pa.array([*t.nest, 0], pa.int32()),
-                    pa.array([*t.kind, ""]), pa.array([*t.end, False]), pa.array([*t.out, ""]),
+                    pa.array([*t.kind, ""]), pa.array([*t.end, False]),
                 ]
-                yield pa.RecordBatch.from_arrays(
-                    columns, names=["lang", "content", "pos", "prev", "cls", "nest", "kind", "ends", "out"]
-                )
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "content", "pos", "prev", "cls", "nest", "kind", "ends"])
 
     return contents.select(*KEY, "text").mapInArrow(lexed, _TOKENS)
 
 
+class TokenTable:
+    """The tokens of all distinct contents, in a table bucketed by content."""
+
+    def __init__(self, files: DataFrame):
+        self.spark = files.sparkSession
+        # The number of buckets follows the bytes of text, and is that of the cores at least, so that small inputs are spread too.
+        size = in_language(files).agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        width = min(max(math.ceil(size / BUCKET_BYTES), self.spark.sparkContext.defaultParallelism), MOST_BUCKETS)
+        self.path, self.name = scratch_path(self.spark, "tokens"), f"palimpsest_{uuid.uuid4().hex}"
+        contents = keyed(files).groupBy(*KEY).agg(F.first("text").alias("text")).repartition(width, *KEY)
+        # Rows of a content lie together, so that a task writes one file for its bucket without sorting.
+        rows = tokens(contents).write.format("parquet").bucketBy(width, *KEY)
+        rows.option("path", self.path).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+        delete(self.spark, self.path)
+
+
 def bad_pairs(found: DataFrame) -> DataFrame:
     """Adjacent tokens that the grammar never puts next to each other."""
     permitted = [(lang, a, b) for lang in rules.LANGUAGES for a, b in sorted(rules.grammar(lang).pairs())]
@@ -112,63 +138,52 @@ def statements(found: DataFrame) -> DataFrame:
     ended = F.when(F.col("ends") & (F.col("depth") <= 0), 1).otherwise(0)
     numbered = (
         found.where("cls <> '$'")
-        .select(*KEY, "pos", "ends", "out", depth.alias("depth"))
-        .select(*KEY, "pos", "out", F.coalesce(F.sum(ended).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n"))
+        .select(*KEY, "pos", "ends", "cls", depth.alias("depth"))
+        .select(*KEY, "pos", "cls", F.coalesce(F.sum(ended).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n"))
     )
     return numbered.groupBy(*KEY, "n").agg(
         F.min("pos").alias("pos"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "out"))), lambda x: x["out"]), "").alias("shape"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "cls"))), lambda x: x["cls"]), " ").alias("shape"),
     ).select(*KEY, "pos", "shape")
 
 
-def _parses(shape: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(shape)
-    except (SyntaxError, ValueError):
-        return False
-    except (MemoryError, RecursionError):
-        pass  # too deep to tell
-    return True
-
-
-def bad_statements(found: DataFrame) -> DataFrame:
+def bad_statements(all_: DataFrame) -> DataFrame:
     """Statements whose shape the grammar cannot produce."""
 
     def judged(batches):
-        grammars = {lang: rules.grammar(lang) for lang in rules.LANGUAGES if lang != "python"}
+        grammars = {lang: rules.grammar(lang) for lang in rules.LANGUAGES}
         for batch in batches:
             langs, shapes = (batch.column(i).to_pylist() for i in range(2))
-            keep = [
-                not (_parses(s) if lang == "python" else grammars[lang].accepts(s.split()))
-                for lang, s in zip(langs, shapes)
-            ]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([not grammars[lang].accepts(s.split()) for lang, s in zip(langs, shapes)], pa.bool_()))
 
-    all_ = statements(found)
     bad = spread(all_.select("lang", "shape").distinct()).mapInArrow(judged, "lang string, shape string")
     return all_.join(bad, ["lang", "shape"], "left_semi").select(*KEY, "pos", F.lit("no statement has this form").alias("message"))
 
 
 def failing_contents(files: DataFrame) -> DataFrame:
     """(lang, content, pos, message): the first problem of each content that does not parse."""
-    contents = keyed(files).select(*KEY, "text").dropDuplicates(KEY)
-    found = materialize(tokens(spread(contents)), "tokens")
-    problems = bad_pairs(found).unionByName(bad_nesting(found)).unionByName(bad_statements(found))
-    return problems.groupBy(*KEY).agg(F.min(F.struct("pos", "message")).alias("p")).select(*KEY, "p.pos", "p.message")
+    table = TokenTable(files)
+    said = materialize(statements(table.rows), "statements")
+    problems = bad_pairs(table.rows).unionByName(bad_nesting(table.rows)).unionByName(bad_statements(said))
+    first = problems.groupBy(*KEY).agg(F.min(F.struct("pos", "message")).alias("p")).select(*KEY, "p.pos", "p.message")
+    first = materialize(first, "problems")
+    table.drop()
+    discard(said)
+    return first
 
 
 def diagnostics(files: DataFrame) -> DataFrame:
     """(repository_id, worktree_id, file_id, valid_from_sequence, lang, message, truncated) of each version that does not parse."""
     full = F.concat(F.lit("token "), F.col("pos").cast("string"), F.lit(": "), F.col("message"))
+    # Cut by bytes; a character that the cut would break goes whole.
+    cut = F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(full, "UTF-8"), 1, MESSAGE_BYTES).cast("string")), "\ufffd+$", "")
     return (
         keyed(files)
         .select("repository_id", "worktree_id", "file_id", "valid_from_sequence", *KEY)
         .join(failing_contents(files), KEY)
         .select(
             "repository_id", "worktree_id", "file_id", "valid_from_sequence", "lang",
-            F.substring(full, 1, MESSAGE_BYTES).alias("message"), (F.octet_length(full) > MESSAGE_BYTES).alias("truncated"),
+            F.when(F.octet_length(full) > MESSAGE_BYTES, cut).otherwise(full).alias("message"), (F.octet_length(full) > MESSAGE_BYTES).alias("truncated"),
         )
         .distinct()
     )

@@ -1,4 +1,4 @@
-"""Lexers: text to tokens (class, nesting, whether a top-level statement may end here, piece of the statement's shape).
+"""Lexers: text to tokens (class, nesting, whether a top-level statement may end here).
 
 What no rule of the language knows becomes a token of class ``error``; a marker of an unresolved merge at the start
 of a line, outside literals and comments, one of class ``conflict``. No grammar has either class.
@@ -6,6 +6,8 @@ of a line, outside literals and comments, one of class ``conflict``. No grammar
 
 from __future__ import annotations
 
+import unicodedata
+
 import regex as re
 
 OPEN = {"(": ")", "[": "]", "{": "}"}
@@ -21,14 +23,12 @@ class Tokens:
         self.nest: list[int] = []
         self.kind: list[str] = []
         self.end: list[bool] = []
-        self.out: list[str] = []
 
-    def add(self, cls: str, nest: int = 0, kind: str = "", end: bool = False, out: str | None = None) -> None:
+    def add(self, cls: str, nest: int = 0, kind: str = "", end: bool = False) -> None:
         self.cls.append(cls)
         self.nest.append(nest)
         self.kind.append(kind)
         self.end.append(end)
-        self.out.append(f"{cls if out is None else out} ")
 
     def punct(self, p: str) -> None:
         if p in OPEN:
@@ -676,76 +676,214 @@ PYTHON_WORDS = set(
 )
 _PYTHON = re.compile(
     r"""(?P<space>[ \t\f]+|\\(?:\r\n|\r|\n)|\#[^\r\n]*)|(?P<nl>\r\n|\r|\n)
-    |(?P<str>(?i:[bfrut]|br|rb|fr|rf|tr|rt)?(?:\"\"\"(?s:(?:[^\\]|\\.)*?)\"\"\"|'''(?s:(?:[^\\]|\\.)*?)'''|"(?!"")(?:[^"\\\r\n]|\\(?s:\r\n|.))*"|'(?!'')(?:[^'\\\r\n]|\\(?s:\r\n|.))*'))
-    |(?P<num>(?:0[xX][\da-fA-F_]+|0[oO][0-7_]+|0[bB][01_]+|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?[jJ]?)\w*)
-    |(?P<id>[\p{L}_]\w*)|(?P<assignop>\*\*=|//=|>>=|<<=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=)
+    |(?P<str>(?i:(?P<lead>[bfrut]|br|rb|fr|rf|tr|rt)?)(?P<quote>\"\"\"|\'\'\'|"|'))
+    |(?P<num>(?:0[xX](?:_?[\da-fA-F])+|0[oO](?:_?[0-7])+|0[bB](?:_?[01])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))
+    |(?P<id>[\p{L}\p{Nl}_][\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}]*)|(?P<assignop>\*\*=|//=|>>=|<<=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=)
     |(?P<op>\.\.\.|->|:=|\*\*|//|<<|>>|<=|>=|==|!=|[-+*/%@&|^~<>=,:;.(){}\[\]])""",
     re.X,
 )
-_PLAIN_NUMBER = re.compile(r"(?:0|[1-9]\d*)(?:\.\d+)?|0x[\da-fA-F]+")
+#: A decimal integer may not begin with 0 unless it is 0.
+_OLD_OCTAL = re.compile(r"0[\d_]*[1-9][\d_]*")
+_AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|not|or)\b|[^\w]|$")
 _GOES_ON = re.compile(r"(?:else|elif|except|finally)\b")
+_ESCAPE = re.compile(r"\\(?s:N\{(?P<name>[^{}]+)\}|(?P<bad>x(?![\da-fA-F]{2})|u(?![\da-fA-F]{4})|U(?!(?:000[\da-fA-F]|0010)[\da-fA-F]{4})|N)|.)")
+_BLANK = re.compile(r"[ \t\f]*")
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)")
 
 
-def lex_python(text: str) -> Tokens:
-    """The shape of a Python statement is itself Python: names, literals and comments made uniform, indentation kept."""
-    t, at, n, depth = Tokens(), 0, len(text), 0
-    if text.startswith("\ufeff"):
-        at = 1
-    fresh = True  # at the start of a logical line
-    decorated = False
-    while at < n:
-        if fresh and depth == 0:
-            m = re.compile(r"[ \t\f]*").match(text, at)
-            rest = text[m.end() : m.end() + 1]
-            if rest in ("", "#", "\r", "\n"):
-                stop = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|$)").match(text, at).end()
-                at = stop if stop > at else n
-                continue
-            indent = m.group()
-            if not indent and t.cls and not decorated and not _GOES_ON.match(text, m.end()):
-                t.end[-1] = True
-            if not t.cls and indent:
+class _Python:
+    """Tokens of Python, indentation and replacement fields of f-strings included: ``indent`` and ``dedent``, and ``f(`` .. ``f)`` around
+    fields ``f{`` .. ``f}``, whose format follows ``f:``."""
+
+    def __init__(self, text: str):
+        self.text, self.n, self.t, self.levels = text, len(text), Tokens(), [(0, 0)]
+
+    def error(self, at: int) -> int:
+        self.t.add("error")
+        return at + 1
+
+    def run(self) -> Tokens:
+        text, t = self.text, self.t
+        at, fresh, decorated = int(text.startswith("\ufeff")), True, False
+        self.depth = 0
+        while at < self.n:
+            if fresh and self.depth == 0:
+                m = _BLANK.match(text, at)
+                rest = text[m.end() : m.end() + 1]
+                if rest in ("", "#", "\r", "\n"):
+                    stop = _LINE.match(text, at).end()
+                    at = stop if stop > at else self.n
+                    continue
+                self.indentation(m.group())
+                if len(self.levels) == 1 and t.cls and not decorated and not _GOES_ON.match(text, m.end()):
+                    t.end[-1] = True
+                decorated = rest == "@" and len(self.levels) == 1
+                at, fresh = m.end(), False
+            if text[at] in "\r\n" and self.depth == 0:
+                at = _PYTHON.match(text, at).end()
                 t.add("nl")
-            if t.cls and t.cls[-1] == "nl":
-                t.out[-1] = "\n" + indent
-            decorated = rest == "@" and not indent
-            at, fresh = m.end(), False
+                fresh = True
+                continue
+            at = self.token(at)
+        if t.cls and t.cls[-1] not in ("nl", "dedent"):
+            t.add("nl")
+        for _ in self.levels[1:]:
+            t.add("dedent")
+        return t
+
+    def indentation(self, blank: str) -> None:
+        # A form feed begins the column anew; tabs must mean the same for tab stops of eight and of one.
+        blank = blank.rpartition("\f")[2]
+        wide = narrow = 0
+        for c in blank:
+            wide, narrow = (wide // 8 * 8 + 8 if c == "\t" else wide + 1), narrow + 1
+        top = self.levels[-1]
+        if (wide > top[0]) != (narrow > top[1]) or (wide == top[0]) != (narrow == top[1]):
+            self.t.add("error")
+        elif wide > top[0]:
+            self.levels.append((wide, narrow))
+            self.t.add("indent")
+        else:
+            while self.levels[-1][0] > wide:
+                self.levels.pop()
+                self.t.add("dedent")
+            if self.levels[-1] != (wide, narrow):
+                self.t.add("error")
+
+    def token(self, at: int) -> int:
+        """Take one token, or white space, from ``at`` on; the place after it."""
+        text, t = self.text, self.t
         if text[at] in "<>=|" and _line_start(text, at) and (m := _CONFLICT.match(text, at)):
-            t.add("conflict", out="<<<<<<<")
-            at = m.end()
-            continue
+            t.add("conflict")
+            return m.end()
         m = _PYTHON.match(text, at)
         if not m:
-            t.add("error", out="?")
-            at += 1
-            continue
+            return self.error(at)
         what, s = m.lastgroup, m.group()
-        at = m.end()
-        if what == "space":
-            continue
-        if what == "nl":
-            if depth == 0:
-                t.add("nl")
-                t.out[-1] = "\n"
-                fresh = True
-            continue
-        if what == "id":
-            cls = s if s in PYTHON_WORDS else "id"
-            t.add(cls, out=s if cls != "id" or s == "_" else "x")
-        elif what == "str":
-            lead = re.match(r"(?i)[a-z]*", s).group().lower()
-            t.add("str", out=s if "f" in lead or "t" in lead else ('b""' if "b" in lead else '""') if s.isascii() and "\\" not in s else s)
-        elif what == "num":
-            t.add("num", out="9" if _PLAIN_NUMBER.fullmatch(s) else s)
+        if what in ("space", "nl"):
+            # A line that is joined to nothing.
+            if s[0] == "\\" and m.end() == self.n:
+                t.add("error")
+            return m.end()
+        if m.group("str") is not None:
+            return self.string(m)
+        if what == "num":
+            t.add("num" if not _OLD_OCTAL.fullmatch(s) and _AFTER_NUMBER.match(text, m.end()) else "error")
+        elif what == "id":
+            t.add(s if s in PYTHON_WORDS or s == "_" else "id")
         elif what == "op":
-            depth = max(0, depth + (s in OPEN) - (s in CLOSE))
+            self.depth = max(0, self.depth + (s in OPEN) - (s in CLOSE))
             t.punct(s)
         else:
-            t.add(what, out="+=")
-    if t.cls and t.cls[-1] != "nl":
-        t.add("nl")
-        t.out[-1] = "\n"
-    return t
+            t.add(what)
+        return m.end()
+
+    def string(self, m) -> int:
+        lead, quote, at = (m.group("lead") or "").lower(), m.group("quote"), m.end()
+        if "f" in lead or "t" in lead:
+            self.t.add("f(")
+            end = self.formatted(at, quote, "r" in lead, None)
+            self.t.add("f)" if end is not None else "error")
+            return self.n if end is None else end
+        start = at
+        while True:
+            if at >= self.n or (len(quote) == 1 and self.text[at] in "\r\n"):
+                return self.error(self.n if at >= self.n else at)
+            if self.text[at] == "\\":
+                at += 3 if self.text.startswith("\r\n", at + 1) else 2
+            elif self.text.startswith(quote, at):
+                break
+            else:
+                at += 1
+        body = self.text[start:at]
+        sound = (body.isascii() if "b" in lead else True) and ("r" in lead or self.escapes(body, "b" in lead))
+        self.t.add(("bytes" if "b" in lead else "str") if sound else "error")
+        return at + len(quote)
+
+    def escapes(self, body: str, raw_bytes: bool) -> bool:
+        for m in _ESCAPE.finditer(body) if "\\" in body else ():
+            if m.group("bad") and (not raw_bytes or m.group("bad") == "x"):
+                return False
+            if m.group("name") and not raw_bytes:
+                try:
+                    unicodedata.lookup(m.group("name"))
+                except KeyError:
+                    return False
+        return True
+
+    def formatted(self, at: int, quote: str, raw: bool, spec: int | None) -> int | None:
+        """The literal parts and fields up to the closing quote, or of a format up to the field's brace. None where there is no end.
+
+        ``spec`` is the nesting of a format.
+        """
+        text, literal = self.text, at
+        while at < self.n:
+            c = text[at]
+            if c in "\r\n" and len(quote) == 1 and spec is None:
+                return None
+            if text.startswith(quote, at) and spec is None:
+                if not raw and not self.escapes(text[literal:at], False):
+                    self.t.add("error")
+                return at + len(quote)
+            if text.startswith(quote, at):
+                return None
+            if spec is not None and c == "}":
+                return at
+            if c == "\\" and not raw:
+                if text.startswith("\\N{", at) and "}" in text[at:]:
+                    at = text.index("}", at) + 1
+                else:
+                    at += 3 if text.startswith("\r\n", at + 1) else 1 if text[at + 1 : at + 2] in "{}" else 2
+            elif c == "\\" and raw:
+                at += 1 if text[at + 1 : at + 2] in "{}" else 2
+            elif c == "{" and text.startswith("{{", at) and spec is None:
+                at += 2
+            elif c == "{":
+                if not raw and not self.escapes(text[literal:at], False):
+                    self.t.add("error")
+                end = self.field(at + 1, quote, raw, 0 if spec is None else spec)
+                if end is None:
+                    return None
+                at = literal = end
+            elif c == "}":
+                if not text.startswith("}}", at):
+                    self.t.add("error")
+                at += 2
+            else:
+                at += 1
+        return None
+
+    def field(self, at: int, quote: str, raw: bool, nesting: int) -> int | None:
+        t, text, outer = self.t, self.text, self.depth
+        t.add("f{", 1, "{")
+        self.depth = outer + 1
+        while at < self.n:
+            c = text[at]
+            if self.depth == outer + 1:
+                if c == "}":
+                    break
+                if c == "!" and text[at + 1 : at + 2] != "=":
+                    t.add("!")
+                    at += 1
+                    continue
+                if c == ":":
+                    t.add("f:")
+                    stop = self.formatted(at + 1, quote, raw, nesting + 1) if nesting < 2 else None
+                    if stop is None:
+                        self.depth = outer
+                        return None
+                    at = stop
+                    break
+            at = self.token(at)
+        self.depth = outer
+        if at >= self.n:
+            return None
+        t.add("f}", -1, "{")
+        return at + 1
+
+
+def lex_python(text: str) -> Tokens:
+    return _Python(text).run()
 
 
 def lex(language: str, text: str) -> Tokens:

@@ -195,37 +195,88 @@ cond: word | '&&' | '||' | '!' | '(' | ')' | 'redir' | 'nl'
 
 PYTHON = """
 shape: statement*
-statement: simples 'nl' | compound | 'nl'
-simples: simple (';' simple)* ';'?
+statement: simples | compound
+simples: simple (';' simple)* ';'? 'nl'
+suite: simples | 'nl' 'indent' statement+ 'dedent'
 name: 'id' | 'match' | 'case' | 'type' | '_'
-simple: exprs | exprs (('=' | 'assignop') (exprs | yield))+ | exprs ':' expr ('=' (exprs | yield))? | yield | 'pass' | 'break' | 'continue'
-simple: 'return' exprs? | 'raise' (expr ('from' expr)?)? | ('global' | 'nonlocal') name (',' name)* | 'del' exprs | 'assert' expr (',' expr)?
-simple: 'import' dotted ('as' name)? (',' dotted ('as' name)?)* | 'from' ('.' | '...')* dotted? 'import' ('*' | imported | '(' imported ','? ')') | 'type' name tparams? '=' expr
+simple: exprs | (targets '=')+ (yield | exprs) | single 'assignop' (yield | exprs) | single ':' expr ('=' (yield | exprs))? | yield | 'pass' | 'break' | 'continue'
+simple: 'return' exprs? | 'raise' (expr ('from' expr)?)? | ('global' | 'nonlocal') name (',' name)* | 'del' gone (',' gone)* ','? | 'assert' expr (',' expr)?
+simple: 'import' dotted ('as' name)? (',' dotted ('as' name)?)* | 'from' ('.' | '...')* dotted 'import' imports | 'from' ('.' | '...')+ 'import' imports
+simple: 'type' name tparams? '=' expr
+imports: '*' | imported | '(' imported ','? ')'
 imported: name ('as' name)? (',' name ('as' name)?)*
 dotted: name ('.' name)*
-compound: ('@' expr 'nl')* 'async'? 'def' name tparams? '(' params ')' ('->' exprs)? ':' suite | ('@' expr 'nl')* 'class' name tparams? ('(' args ')')? ':' suite
-compound: 'if' named ':' suite | 'elif' named ':' suite | 'else' ':' suite | 'while' named ':' suite | 'async'? 'for' exprs 'in' exprs ':' suite
-compound: 'try' ':' suite | 'except' '*'? (exprs ('as' name)?)? ':' suite | 'finally' ':' suite | 'async'? 'with' items ':' suite
-compound: 'match' exprs ':' suite | 'case' exprs ('if' named)? ':' suite
-items: exprs ('as' expr (',' exprs ('as' expr)?)*)? | '(' exprs ('as' expr (',' expr ('as' expr)?)*)? ','? ')'
-suite: simples 'nl' | 'nl' statement
-tparams: '[' ('*' | '**')? name (':' expr)? ('=' expr)? (',' ('*' | '**')? name (':' expr)? ('=' expr)?)* ','? ']'
-params: (param (',' param)* ','?)?
-param: ('*' | '**')? name (':' expr)? ('=' expr)? | '*' | '/'
-exprs: item (',' item)* ','?
-item: '*'? named
-named: expr (':=' expr)?
+place: name | primary '.' name | primary '[' slices ']'
+single: place | '(' single ')'
+targets: target (',' target)* ','?
+target: '*'? (place | '(' targets? ')' | '[' targets? ']')
+gone: place | '(' (gone (',' gone)* ','?)? ')' | '[' (gone (',' gone)* ','?)? ']'
+compound: ('@' named 'nl')* 'async'? 'def' name tparams? '(' params ')' ('->' expr)? ':' suite | ('@' named 'nl')* 'class' name tparams? ('(' bases ')')? ':' suite
+compound: 'if' named ':' suite ('elif' named ':' suite)* else? | 'while' named ':' suite else? | 'async'? 'for' targets 'in' exprs ':' suite else?
+compound: 'try' ':' suite (except+ else? finally? | group+ else? finally? | finally) | 'async'? 'with' items ':' suite
+compound: 'match' subject ':' 'nl' 'indent' case+ 'dedent'
+else: 'else' ':' suite
+finally: 'finally' ':' suite
+except: 'except' (expr ('as' name)?)? ':' suite
+group: 'except' '*' expr ('as' name)? ':' suite
+items: item (',' item)* | '(' item (',' item)* ','? ')'
+item: expr ('as' target)?
+subject: named | starred ',' | starred (',' starred)+ ','?
+case: 'case' patterns ('if' named)? ':' suite
+patterns: pattern | part ',' | part (',' part)+ ','?
+part: '*' name | pattern
+pattern: closed ('|' closed)* ('as' name)?
+closed: literal | dotted | '(' pattern ')' | '(' (part ',' | part (',' part)+ ','?)? ')' | '[' (part (',' part)* ','?)? ']' | '{' (entry (',' entry)* ','?)? '}'
+closed: dotted '(' (pattern (',' pattern)* (',' name '=' pattern)* ','? | name '=' pattern (',' name '=' pattern)* ','?)? ')'
+literal: '-'? 'num' (('+' | '-') 'num')? | text | 'None' | 'True' | 'False'
+entry: (literal | name ('.' name)+) ':' pattern | '**' name
+tparams: '[' tparam (',' tparam)* ','? ']'
+tparam: name (':' expr)? ('=' expr)? | '*' name ('=' starexpr)? | '**' name ('=' expr)?
+params: (front (',' back)? ','? | back ','?)?
+front: plains | slashed | defaults | dslashed
+plains: par | plains ',' par
+slashed: plains ',' '/' | slashed ',' par
+defaults: dpar | plains ',' dpar | slashed ',' dpar | defaults ',' dpar
+dslashed: defaults ',' '/' | dslashed ',' dpar
+back: '*' spar (',' (par | dpar))* (',' rest)? | '*' (',' (par | dpar))+ (',' rest)? | rest
+rest: '**' par
+par: name (':' expr)?
+dpar: par '=' expr
+spar: name (':' starexpr)?
+lparams: (lfront (',' lback)? ','? | lback ','?)?
+lfront: lplains | lslashed | ldefaults | ldslashed
+lplains: name | lplains ',' name
+lslashed: lplains ',' '/' | lslashed ',' name
+ldefaults: ldpar | lplains ',' ldpar | lslashed ',' ldpar | ldefaults ',' ldpar
+ldslashed: ldefaults ',' '/' | ldslashed ',' ldpar
+lback: '*' name (',' (name | ldpar))* (',' '**' name)? | '*' (',' (name | ldpar))+ (',' '**' name)? | '**' name
+ldpar: name '=' expr
+exprs: starexpr (',' starexpr)* ','?
+starexpr: '*' arith | expr
+starred: '*' arith | named
+starreds: starred (',' starred)* ','?
+named: name ':=' expr | expr
 yield: 'yield' exprs? | 'yield' 'from' expr
-expr: operand (binary operand)* ('if' expr 'else' expr)? | 'lambda' params ':' expr
-binary: '+' | '-' | '*' | '**' | '/' | '//' | '%' | '@' | '<<' | '>>' | '&' | '|' | '^' | '<' | '>' | '<=' | '>=' | '==' | '!=' | 'in' | 'not' 'in' | 'is' | 'is' 'not' | 'and' | 'or'
-operand: ('+' | '-' | '~' | 'not' | 'await')* atom tail*
-tail: '.' name | '(' args ')' | '[' (slice (',' slice)* ','?) ']'
-slice: item | expr? ':' expr? (':' expr?)?
-args: (arg (',' arg)* ','?)? | named comp+
-arg: ('*' | '**')? named comp* | name '=' expr
-atom: name | 'num' | 'str'+ | 'None' | 'True' | 'False' | '...' | '(' (exprs | yield | named comp+)? ')' | '[' (exprs | named comp+)? ']' | '{' (entry (',' entry)* ','? | entry comp+)? '}'
-entry: item | expr ':' expr | '**' expr
-comp: 'async'? 'for' exprs 'in' expr ('if' expr)*
+expr: either ('if' either 'else' expr)? | 'lambda' lparams ':' expr
+either: both ('or' both)*
+both: 'not'* compared ('and' 'not'* compared)*
+compared: arith (('<' | '>' | '<=' | '>=' | '==' | '!=' | 'in' | 'not' 'in' | 'is' | 'is' 'not') arith)*
+arith: unary (('+' | '-' | '*' | '/' | '//' | '%' | '@' | '<<' | '>>' | '&' | '|' | '^') unary)*
+unary: ('+' | '-' | '~')* 'await'? primary ('**' unary)?
+primary: atom tail*
+tail: '.' name | '(' args ')' | '[' slices ']'
+slices: slice (',' slice)* ','?
+slice: starred | expr? ':' expr? (':' expr?)?
+args: bases | named comp+
+bases: (given (',' given)* (',' keyword)* ','? | keyword (',' keyword)* ','?)?
+given: named | '*' expr
+keyword: name '=' expr (',' (name '=' expr | '*' expr))* | '**' expr (',' (name '=' expr | '**' expr))*
+atom: name | 'num' | text | 'None' | 'True' | 'False' | '...' | '(' (yield | named) ')' | '(' (starred ',' starreds?)? ')' | '(' named comp+ ')'
+atom: '[' starreds? ']' | '[' named comp+ ']' | '{' starreds '}' | '{' named comp+ '}' | '{' (pair (',' pair)* ','?)? '}' | '{' expr ':' expr comp+ '}'
+pair: expr ':' expr | '**' arith
+comp: 'async'? 'for' targets 'in' either ('if' either)*
+text: ('str' | 'f(' field* 'f)')+ | 'bytes'+
+field: 'f{' (exprs | yield) '='? ('!' name)? ('f:' field*)? 'f}'
 """
 
 
