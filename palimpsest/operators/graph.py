@@ -64,6 +64,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, direction: str = "o
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    discard(step)
     return seen
 
 
@@ -88,6 +89,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFra
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+    discard(e)
     return seen
 
 
@@ -171,6 +173,8 @@ def simple_paths(edges: DataFrame, relation: str, max_depth: int, seeds: DataFra
             )
         )
     out = out if out is not None else level
+    discard(step)
+    discard(marks)
     if ends is not None:
         at = ends.groupBy(*PLACE, F.col("node_id").alias("end")).agg(F.max("seeded").alias("seeded"))
         out = out.join(at, [*PLACE, "end"]).where("seed or seeded")
@@ -303,4 +307,5 @@ def time_respecting_trace(edges: DataFrame, seeds: DataFrame, from_sequence: int
         if frontier.isEmpty():
             break
         states = states.unionByName(frontier)
+    discard(e)
     return states

@@ -275,3 +275,25 @@ def compatibility_issue(old: dict, new: dict) -> tuple[str, str] | None:
             if set(old["relations"][name][i]) - set(new["relations"][name][i]):
                 return issue, name
     return None
+
+
+def document_claims(claims: DataFrame, documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected): statements drawn from documents, as concept and claim records with the place of their quote.
+
+    claims: (doc_id, subject, relation, object, quote); documents: (doc_id, text). A statement is accepted if it is whole and its
+    quote stands in the text, word for word; its evidence is the first such place, in UTF-8 bytes. Accepted rows have the ids of both
+    concepts and of the claim, digests of their content, so that a repeated statement is one claim. Rejected rows have a reason.
+    """
+    whole = F.forall(F.array(*[F.coalesce(F.col(c), F.lit("")) != "" for c in ("subject", "relation", "object", "quote")]), lambda x: x)
+    rows = claims.select("doc_id", "subject", "relation", "object", "quote").distinct().join(documents.select("doc_id", "text"), "doc_id", "left")
+    at = F.instr("text", F.col("quote"))
+    reason = F.when(~whole, "incomplete").when(F.col("text").isNull(), "document").when(at == 0, "quote")
+    judged = rows.withColumn("reason", reason)
+    start = F.octet_length(F.substring(F.col("text"), F.lit(1), at - 1)).cast("bigint")
+    concept = lambda c: F.sha2(F.concat_ws("|", F.lit("concept"), c), 256)
+    accepted = judged.where(F.col("reason").isNull()).select(
+        "doc_id", "subject", "relation", "object", concept("subject").alias("subject_id"), concept("object").alias("object_id"),
+        F.sha2(F.concat_ws("|", F.lit("claim"), F.col("doc_id").cast("string"), "subject", "relation", "object"), 256).alias("claim_id"),
+        start.alias("start_byte"), (start + F.octet_length("quote")).alias("end_byte"),
+    )
+    return accepted, judged.where(F.col("reason").isNotNull()).drop("text")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import warnings
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +83,44 @@ def resolve_modules(imports: DataFrame, files: DataFrame, roots: list[str]) -> D
     return imports.select(*PLACE, "import_id", paths.isNull().alias("__none")).join(hit, [*PLACE, "import_id"], "left").withColumn("status", status).drop("__none")
 
 
+def python_symbols(files: DataFrame, key: list[str]) -> DataFrame:
+    """(key, kind, name, first_line, last_line): the definitions and imports of Python texts, by the language's own syntax trees.
+
+    files: (key, text). Kinds are Function, Class and Import; names are qualified by the definitions around them, imports by their module. A text
+    that has no tree (null, not Python, or nested beyond the parser) gives one row of kind Diagnostic with the error as its name.
+    """
+    types = {f.name: f.dataType.simpleString() for f in files.select(*key).schema}
+
+    def walked(text: str | None) -> list[tuple]:
+        try:
+            with warnings.catch_warnings():
+                warnings.simplefilter("ignore")
+                tree = ast.parse(text or "")
+        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+            return [("Diagnostic", type(e).__name__, getattr(e, "lineno", None) or 1, None)]
+        out, todo = [], [(tree, "")]
+        while todo:
+            node, outer = todo.pop()
+            for child in ast.iter_child_nodes(node):
+                inner = outer
+                if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+                    inner = f"{outer}{child.name}::"
+                    out.append(("Class" if isinstance(child, ast.ClassDef) else "Function", inner[:-2], child.lineno, child.end_lineno))
+                elif isinstance(child, (ast.Import, ast.ImportFrom)):
+                    module = "." * getattr(child, "level", 0) + (getattr(child, "module", None) or "")
+                    out += [("Import", f"{module}::{n.name}" if isinstance(child, ast.ImportFrom) else n.name, child.lineno, child.end_lineno) for n in child.names]
+                todo.append((child, inner))
+        return out
+
+    def extracted(batches):
+        for batch in batches:
+            rows = [(*k, *found) for *k, text in batch.itertuples(index=False) for found in walked(text)]
+            yield pd.DataFrame(rows, columns=[*key, "kind", "name", "first_line", "last_line"]).astype({"first_line": "Int64", "last_line": "Int64"})
+
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in types.items()), "kind string, name string, first_line bigint, last_line bigint"])
+    return files.select(*key, "text").mapInPandas(extracted, schema)
+
+
 def export_bindings(exports: DataFrame, stars: DataFrame, max_depth: int = 32) -> DataFrame:
     """(module, name, origin): where each exported name comes from through star re-exports.
 

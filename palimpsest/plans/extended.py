@@ -426,4 +426,26 @@ def s11(spark, d):
     return pages.groupBy(*PLACE, "page").agg(F.count("*").alias("rows"), F.min("fact_id").alias("first_id"), F.max("fact_id").alias("last_id"), F.max("valid_from_sequence").alias("last_sequence"))
 
 
+_STATED = r"\[([A-Za-z0-9_./-]+\.[a-z]+)\]"
+
+
+@query("i17_document_claims", f"with l as (select distinct doc_id, path, text, unnest(regexp_extract_all(text, '{_STATED}', 1)) link from documents where path is not null and text is not null), c as (select doc_id, path subject, link as object, text, v.q, case v.q when 'as_is' then '[' || link || ']' when 'altered' then '[' || link || ']!?' else '' end quote from l, (values ('as_is'), ('altered'), ('empty')) v(q)), j as (select *, case when quote = '' then 'incomplete' when instr(text, quote) = 0 then 'quote' end reason from c) select doc_id, subject, object, reason, case when reason is null then sha256('claim|' || doc_id || '|' || subject || '|mentions|' || object) end claim_id, case when reason is null then strlen(substr(text, 1, instr(text, quote) - 1)) end start_byte from j", base=False)
+def i17(spark, d):
+    """That documents mention paths, with the mention as quote; then with an altered quote and with none."""
+    docs = table(spark, d, "documents").where("path is not null and text is not null")
+    l = docs.select("doc_id", F.col("path").alias("subject"), F.explode(F.regexp_extract_all("text", F.lit(_STATED), F.lit(1))).alias("object")).distinct()
+    quotes = F.array(F.concat(F.lit("["), "object", F.lit("]")), F.concat(F.lit("["), "object", F.lit("]!?")), F.lit(""))
+    accepted, rejected = inference.document_claims(l.select("*", F.lit("mentions").alias("relation"), F.explode(quotes).alias("quote")), docs)
+    none = F.lit(None)
+    return accepted.select("doc_id", "subject", "object", none.cast("string").alias("reason"), "claim_id", "start_byte").unionByName(
+        rejected.select("doc_id", "subject", "object", "reason", none.cast("string").alias("claim_id"), none.cast("bigint").alias("start_byte"))
+    )
+
+
+@query("r12_python_symbols")
+def r12(spark, d):
+    f = history.current(table(spark, d, "file_versions")).where("normalized_path like '%.py'").select(*PLACE, "file_id", "valid_from_sequence", "text").distinct()
+    return resolution.python_symbols(f, [*PLACE, "file_id", "valid_from_sequence"])
+
+
 __all__ = ["QUERIES", "SQL", "scan"]

@@ -234,6 +234,19 @@ def test_packing_cuts_earlier_sources(spark):
     assert [i["text"] for i in kept["items"]] == [whole] and kept["omitted"] == {"signature": 1}
 
 
+def test_document_claims_and_python_symbols(spark):
+    docs = spark.createDataFrame([(1, "é: the index keeps edges."), (2, None)], "doc_id int, text string")
+    claims = [(1, "index", "keeps", "edges", "index keeps"), (1, "index", "keeps", "edges", "index keeps"), (1, "index", "loses", "edges", "index loses"), (1, "index", "keeps", None, "index"), (2, "a", "b", "c", "d"), (3, "a", "b", "c", "d")]
+    accepted, rejected = inference.document_claims(spark.createDataFrame(claims, "doc_id int, subject string, relation string, object string, quote string"), docs)
+    assert [(r.doc_id, r.start_byte, r.end_byte) for r in accepted.collect()] == [(1, 8, 19)]
+    assert sorted((r.doc_id, r.reason) for r in rejected.collect()) == [(1, "incomplete"), (1, "quote"), (2, "document"), (3, "document")]
+    text = "import a.b as c\nfrom ..d import e, f\n\nclass A:\n    async def m(self):\n        def inner(): pass\n\ndef g(): ...\n"
+    files = spark.createDataFrame([(1, text), (2, "def ("), (3, None), (4, "")], "file int, text string")
+    got = sorted((r.file, r.kind, r.name, r.first_line, r.last_line) for r in resolution.python_symbols(files, ["file"]).collect() if r.kind != "Diagnostic")
+    assert got == [(1, "Class", "A", 4, 6), (1, "Function", "A::m", 5, 6), (1, "Function", "A::m::inner", 6, 6), (1, "Function", "g", 8, 8), (1, "Import", "..d::e", 2, 2), (1, "Import", "..d::f", 2, 2), (1, "Import", "a.b", 1, 1)]
+    assert [(r.file, r.name) for r in resolution.python_symbols(files, ["file"]).where("kind = 'Diagnostic'").collect()] == [(2, "SyntaxError")]
+
+
 def test_hash_chain():
     entries = [(1, "a"), (2, "b")]
     digests = publication.chain_digest(entries)
