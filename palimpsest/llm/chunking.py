@@ -3,7 +3,8 @@
 A document is oversized if the UTF-8 bytes of its text and of the non-null elements of its context
 exceed ``max_bytes`` of its profile. Its text is cut into pieces that fit with the context; a piece
 ends at the end of a paragraph, else of a line, else of a sentence, else of a word, and
-begins up to ``overlap_bytes`` before the end of the piece before, at a boundary.
+begins up to ``overlap_bytes`` before the end of the piece before: at the first paragraph, line or sentence within that
+reach, else at the first word.
 
 Pointer doubling. Every boundary is joined to its farthest legal successor, the start of the next piece
 (as-of lookups by a merge of boundaries and probes in one sorted window). The successor table is
@@ -15,7 +16,8 @@ unknown has no limit and stays whole; null elements of a context count nothing a
 if a context leaves no room for a run of the text (96 bytes, or the whole of a shorter text), the outermost
 elements are left out of the pieces until there is, and ``left_out`` counts them; a stretch without any boundary is cut between
 characters, never inside one; nulls in overlap_bytes count as 0; extra columns are dropped.
-A repeated doc_id is one document and a null one is none. Profiles whose max_bytes is under 512 are an error, since a piece could not hold a word.
+A repeated doc_id is one document and a null one is none. A document of a profile whose max_bytes is under 512 stays whole and is
+``refused``, since a piece could not be sure to hold a run beside its overlap.
 """
 
 from __future__ import annotations
@@ -61,15 +63,13 @@ def _kept_context(context: Column, most: Column) -> Column:
 
 
 def sized(documents: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(doc_id, text, kept, left_out, room, overlap, oversized): what a piece of each document may hold."""
-    if not profiles.where(F.col("max_bytes") < LEAST_BYTES).isEmpty():
-        raise ValueError(f"max_bytes must be at least {LEAST_BYTES}")
-    # Profiles are a fixed handful of rows, so they are broadcast.
-    limits = F.broadcast(
+    """(doc_id, text, kept, left_out, room, overlap, oversized, refused): what a piece of each document may hold."""
+    # Written first, so that the planner knows their size when it chooses the join.
+    limits = materialize(
         profiles.groupBy("profile").agg(
             F.min("max_bytes").alias("max_bytes"), F.max(F.coalesce("overlap_bytes", F.lit(0))).alias("overlap")
-        )
-    )
+        ), "profiles"
+    )
     d = documents.select("doc_id", "text", "context", "profile").where(F.col("text").isNotNull())
     d = d.join(limits, "profile", "left")
     over = F.coalesce(text_bytes(F.col("text")) + context_bytes(F.col("context")) > F.col("max_bytes"), F.lit(False))
@@ -77,17 +77,22 @@ def sized(documents: DataFrame, profiles: DataFrame) -> DataFrame:
     # A context that leaves room for a run of the text, or for all of it, stays whole.
     kept = _kept_context(F.col("context"), fits - F.least(text_bytes(F.col("text")), F.lit(RUN_BYTES)))
     given = F.size(F.filter(F.coalesce("context", F.array().cast("array<string>")), lambda x: x.isNotNull()))
-    return d.withColumn("oversized", over).withColumn("kept", kept).select(
-        "doc_id", "text", "kept", (given - F.size("kept")).alias("left_out"), (fits - context_bytes(F.col("kept"))).alias("room"), F.col("overlap").cast("bigint"), "oversized"
+    small = F.coalesce(F.col("max_bytes") < LEAST_BYTES, F.lit(False))
+    d = d.withColumn("oversized", over).withColumn("refused", over & small)
+    d = d.withColumn("kept", F.when(F.col("refused"), _kept_context(F.col("context"), F.lit(2**62))).otherwise(kept))
+    return d.select(
+        "doc_id", "text", "kept", (given - F.size("kept")).alias("left_out"), (fits - context_bytes(F.col("kept"))).alias("room"), F.col("overlap").cast("bigint"), "oversized", "refused"
     )
 
 
 def boundaries(items: DataFrame) -> DataFrame:
     """(doc_id, at, level, room, overlap): every place where a text may be cut, in bytes, 0 and the end included."""
     fine = F.floor(F.col("room") / 4)
+    # Words inside stretches that an overlap could not go back over whole, or that are long beside the room.
+    by = F.when(F.col("overlap") > 0, F.least(fine, "overlap")).otherwise(fine)
     natural = F.split("text", NATURAL, -1)
     by_word = F.flatten(
-        F.transform(natural, lambda s: F.when(F.octet_length(s) > fine, F.split(s, WORD, -1)).otherwise(F.array(s)))
+        F.transform(natural, lambda s: F.when(F.octet_length(s) > by, F.split(s, WORD, -1)).otherwise(F.array(s)))
     )
     pieces = F.flatten(
         F.transform(
@@ -146,12 +151,13 @@ def successors(cuts: DataFrame) -> DataFrame:
         .otherwise(F.col("any"))
     )
     ends = found.select("doc_id", "room", "overlap", "total", "s", end.alias("e"))
-    # The start after e: the first boundary at or after both e - overlap and (next boundary after e) - room.
+    # The start after e: of the boundaries at or after both e - overlap and (next boundary after e) - room the first that is natural and lies
+    # before e, else the first of any kind.
     marks = cuts.select(
-        "doc_id", F.col("at").alias("key"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("e"),
+        "doc_id", F.col("at").alias("key"), F.lit(1).alias("kind"), "level", F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("e"),
         F.lit(None).cast("bigint").alias("room"), F.lit(None).cast("bigint").alias("overlap"), F.lit(None).cast("bigint").alias("total"),
     )
-    at_end = ends.select("doc_id", F.col("e").alias("key"), F.lit(2).alias("kind"), "s", "e", "room", "overlap", "total")
+    at_end = ends.select("doc_id", F.col("e").alias("key"), F.lit(2).alias("kind"), F.lit(INNER).alias("level"), "s", "e", "room", "overlap", "total")
     onward = Window.partitionBy("doc_id").orderBy("key", "kind").rowsBetween(1, Window.unboundedFollowing)
     after = (
         marks.unionByName(at_end)
@@ -159,22 +165,23 @@ def successors(cuts: DataFrame) -> DataFrame:
         .where("kind = 2")
     )
     least = F.greatest(F.col("e") - F.col("overlap"), F.coalesce("following", "e") - F.col("room"))
-    probes = after.select("doc_id", least.alias("key"), F.lit(0).alias("kind"), "s", "e", "room", "overlap", "total")
+    probes = after.select("doc_id", least.alias("key"), F.lit(0).alias("kind"), F.lit(INNER).alias("level"), "s", "e", "room", "overlap", "total")
     ahead = Window.partitionBy("doc_id").orderBy("key", "kind").rowsBetween(0, Window.unboundedFollowing)
     return (
         marks.unionByName(probes)
         .withColumn("b", F.min(F.when(F.col("kind") == 1, F.col("key"))).over(ahead))
+        .withColumn("natural", F.min(F.when((F.col("kind") == 1) & (F.col("level") > INNER), F.col("key"))).over(ahead))
         .where("kind = 0")
-        .select("doc_id", "s", "e", F.when(F.col("e") < F.col("total"), F.least("b", "e")).alias("nxt"))
+        .withColumn("b", F.when(F.col("natural") < F.col("e"), F.col("natural")).otherwise(F.least("b", "e")))
+        .select("doc_id", "s", "e", F.when(F.col("e") < F.col("total"), F.col("b")).alias("nxt"))
     )
 
 
-def reached_starts(table: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """The starts reached from 0 by following ``nxt``: pointer doubling. Also the tables to discard later."""
+def reached_starts(table: DataFrame) -> DataFrame:
+    """The starts reached from 0 by following ``nxt``: pointer doubling."""
     reached = table.where("s = 0").select("doc_id", "s")
     reached = materialize(reached, "starts")
     jump = materialize(table.where("nxt is not null").select("doc_id", "s", "nxt"), "jump")
-    done = [reached]
     while not jump.isEmpty():
         step = reached.join(jump, ["doc_id", "s"]).select("doc_id", F.col("nxt").alias("s"))
         grown = materialize(reached.unionByName(step), "starts")
@@ -186,9 +193,8 @@ def reached_starts(table: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         discard(jump)
         discard(reached)
         reached, jump = grown, squared
-        done = [reached]
     discard(jump)
-    return reached, done
+    return reached
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -201,43 +207,35 @@ def _slices(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
 
 
 def split_documents(documents: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(doc_id, piece, pieces, start_byte, text, context, oversized, left_out): every piece of every document, from 0."""
+    """(doc_id, piece, pieces, start_byte, overlap, text, context, oversized, left_out, refused): every piece of every document, from 0.
+
+    ``overlap`` is the number of bytes that a piece shares with the one before.
+    """
     items = sized(unique_documents(documents), profiles)
-    whole = items.where(~F.col("oversized") | (F.octet_length("text") == 0)).select(
-        "doc_id",
-        F.lit(0).alias("piece"),
-        F.lit(1).alias("pieces"),
-        F.lit(0).cast("bigint").alias("start_byte"),
-        "text",
-        F.col("kept").alias("context"),
-        "oversized",
-        "left_out",
-    )
-    large = items.where(F.col("oversized") & (F.octet_length("text") > 0))
+    split_it = F.col("oversized") & ~F.col("refused") & (F.octet_length("text") > 0)
+    whole = items.where(~split_it).select(
+        "doc_id", F.lit(0).alias("piece"), F.lit(1).alias("pieces"), F.lit(0).cast("bigint").alias("start_byte"), F.lit(0).cast("bigint").alias("overlap"), "text",
+        F.col("kept").alias("context"), "oversized", "left_out", "refused",
+    )
+    large = items.where(split_it)
     table = materialize(successors(boundaries(large)), "successors")
-    starts, _ = reached_starts(table)
+    starts = reached_starts(table)
     cuts = (
         starts.join(table, ["doc_id", "s"])
         .groupBy("doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("cuts"))
     )
-    cut = large.join(cuts, "doc_id").select(
-        "doc_id",
-        "kept",
-        "left_out",
-        F.col("cuts.s").alias("starts"),
-        _slices("text", F.col("cuts.s"), F.col("cuts.e")).alias("texts"),
-    )
+    cuts = materialize(cuts, "cuts")
+    discard(starts)
+    discard(table)
+    cut = large.join(cuts, "doc_id").select("doc_id", "kept", "left_out", "cuts", _slices("text", F.col("cuts.s"), F.col("cuts.e")).alias("texts"))
     split = cut.select(
-        "doc_id", "kept", "left_out", "starts", F.size("texts").alias("pieces"), F.posexplode("texts").alias("piece", "text")
-    ).select(
-        "doc_id",
-        "piece",
-        "pieces",
-        F.element_at("starts", F.col("piece") + 1).alias("start_byte"),
-        "text",
-        F.col("kept").alias("context"),
-        F.lit(True).alias("oversized"),
-        "left_out",
+        "doc_id", "kept", "left_out", "cuts", F.size("texts").alias("pieces"), F.posexplode("texts").alias("piece", "text")
     )
+    start = F.element_at("cuts", F.col("piece") + 1)["s"]
+    before = F.when(F.col("piece") > 0, F.element_at("cuts", F.greatest(F.col("piece"), F.lit(1)))["e"] - start).otherwise(0)
+    split = split.select(
+        "doc_id", "piece", "pieces", start.alias("start_byte"), before.cast("bigint").alias("overlap"), "text", F.col("kept").alias("context"),
+        F.lit(True).alias("oversized"), "left_out", F.lit(False).alias("refused"),
+    )
     return whole.unionByName(split)

@@ -3,8 +3,9 @@
 Sizes are tokens of a public tokenizer. With n the available and t the target shares of the sources, the
 weights are the normalised t * (n / t) ** x: exponent 0 gives the targets, 1 the natural shares. The exponent
 is bisected to the least at which no source would be used more than its ``max_repeats`` times for the
-wanted total. Without a wanted total the largest is taken that the targets allow, so that the
-exponent is 0 and the targets themselves are met.
+wanted total. Without a wanted total the largest is taken that the targets allow, so that the bisection ends at
+0 and the targets themselves are met. With a wanted entropy in place of stated shares the weights are the normalised n ** x, and the
+exponent is bisected to meet the entropy: 1 keeps the natural shares, 0 makes all equal.
 
 The weights become token budgets. A budget of f full uses and a rest takes every document f times and, for
 the rest, the first documents of a permutation: documents fall into hash blocks of bounded size, blocks
@@ -60,32 +61,53 @@ def tempered(available: dict[str, int], targets: dict[str, float], x: float) ->
     return {s: w / whole for s, w in raw.items()}
 
 
+def entropy(weights: dict[str, float]) -> float:
+    """In nats."""
+    return -sum(w * math.log(w) for w in weights.values() if w > 0)
+
+
+def _bisected(enough, low: float = 0.0, high: float = 1.0) -> float:
+    """The least exponent for which ``enough`` holds, which stays true from there on up to ``high``."""
+    if enough(low):
+        return low
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if enough(middle) else (middle, high)
+    return high
+
+
 def mixing_weights(
-    available: dict[str, int], targets: dict[str, float], repeats: dict[str, int], total: int | None = None
+    available: dict[str, int], targets: dict[str, float], repeats: dict[str, int], total: int | None = None, wanted_entropy: float | None = None
 ) -> tuple[dict[str, float], int, float]:
-    """(weights, total, exponent) under the repetition limits. A total beyond all limits is an error."""
+    """(weights, total, exponent) under the repetition limits. A total beyond all limits is an error, and so is an entropy beyond that of
+    equal or natural shares."""
     targets = {s: t for s, t in targets.items() if t and t > 0 and available.get(s, 0) > 0}
     if not targets:
         return {}, 0, 0.0
     most = lambda w: min(repeats[s] * available[s] / w[s] for s in w)
-    exact = tempered(available, targets, 0.0)
+    if wanted_entropy is not None:
+        # Equal targets make the exponent that of the natural shares alone. Entropy falls as it grows.
+        targets = dict.fromkeys(targets, 1 / len(targets))
+        at = lambda x: tempered(available, targets, x)
+        if not entropy(at(1.0)) - 1e-9 <= wanted_entropy <= entropy(at(0.0)) + 1e-9:
+            raise ValueError(f"an entropy of {wanted_entropy} lies outside {entropy(at(1.0))} to {entropy(at(0.0))}")
+        x = _bisected(lambda x: entropy(at(x)) <= wanted_entropy)
+        total = int(most(at(x))) if total is None else total
+        if total > most(at(x)):
+            raise ValueError(f"a total of {total} tokens needs more repetition than the limits allow")
+        return at(x), total, x
     if total is None:
-        return exact, int(most(exact)), 0.0
-    if total <= most(exact):
-        return exact, total, 0.0
+        total = int(most(tempered(available, targets, 0.0)))
     # Weights at exponent 1 are the natural shares; between, the tightest source is relieved step by step.
-    if total > most(tempered(available, targets, 1.0)):
+    if total > most(tempered(available, targets, 1.0)) and total > most(tempered(available, targets, 0.0)):
         raise ValueError(f"a total of {total} tokens needs more repetition than the limits allow")
-    low, high = 0.0, 1.0
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (low, middle) if total <= most(tempered(available, targets, middle)) else (middle, high)
-    return tempered(available, targets, high), total, high
+    x = _bisected(lambda x: total <= most(tempered(available, targets, x)))
+    return tempered(available, targets, x), total, x
 
 
-def _plan(counted: DataFrame, targets: DataFrame, total: int | None, passes: float | None = None) -> list[dict]:
+def _plan(counted: DataFrame, targets: DataFrame, total: int | None, passes: float | None = None, evenness: float | None = None) -> list[dict]:
     """A row for each target source; as many come to the driver as there are targets. ``passes`` states the total as so many
-    times the tokens of the sources that have a target."""
+    times the tokens of the sources that have a target. ``evenness`` wants that part of the way from the natural shares' entropy to that of equal ones."""
     rows = targets.groupBy("source").agg(F.max("target_share").alias("t"), F.max("max_repeats").alias("m"))
     sums = (
         counted.where(F.col("source").isNotNull()).groupBy("source").agg(F.sum("tokens").alias("n"), F.count("*").alias("docs"))
@@ -97,7 +119,12 @@ def _plan(counted: DataFrame, targets: DataFrame, total: int | None, passes: flo
     m = {r["source"]: r["m"] or 1 for r in got}
     if passes is not None:
         total = int(passes * sum(n[s] for s in n if t[s] > 0))
-    weights, whole, x = mixing_weights(n, t, m, total)
+    wanted = None
+    if evenness is not None:
+        held = {s: n[s] for s in n if t[s] > 0 and n[s] > 0}
+        natural = {s: c / sum(held.values()) for s, c in held.items()}
+        wanted = entropy(natural) + evenness * (math.log(len(held)) - entropy(natural)) if held else None
+    weights, whole, x = mixing_weights(n, t, m, total, wanted)
     out = []
     for r in got:
         s = r["source"]
@@ -121,7 +148,8 @@ _PLAN = "source string, target_share double, max_repeats int, available_tokens b
 def _copies(counted: DataFrame, plan: list[dict], seed: int) -> DataFrame:
     """(source, doc_id, tokens, copies): how often each document is used."""
     spark = counted.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(plan, _PLAN))  # one row per target source
+    # One row per target source. Spark broadcasts it where that is small, and joins by shuffle where there are very many targets.
+    wanted = spark.createDataFrame(plan, _PLAN)
     place = F.xxhash64(F.lit(seed), "doc_id")
     rows = (
         counted.where(F.col("tokens") > 0)
@@ -143,17 +171,17 @@ def _copies(counted: DataFrame, plan: list[dict], seed: int) -> DataFrame:
     ).where(F.col("copies") > 0)
 
 
-def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, passes: float | None = None, **tokenizer) -> DataFrame:
+def mixed(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, passes: float | None = None, evenness: float | None = None, **tokenizer) -> DataFrame:
     """(source, doc_id, epoch, tokens): a row for each use of a document, epochs from 0."""
     counted = materialize(token_counts(documents, **tokenizer), "tokens")
-    copies = _copies(counted, _plan(counted, targets, total, passes), seed)
+    copies = _copies(counted, _plan(counted, targets, total, passes, evenness), seed)
     return copies.select("source", "doc_id", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("epoch"), "tokens")
 
 
-def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, passes: float | None = None, **tokenizer) -> DataFrame:
+def shares(documents: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, passes: float | None = None, evenness: float | None = None, **tokenizer) -> DataFrame:
     """Per target source its available and used tokens, the share reached, and how many times over it is used."""
     counted = materialize(token_counts(documents, **tokenizer), "tokens")
-    plan = _plan(counted, targets, total, passes)
+    plan = _plan(counted, targets, total, passes, evenness)
     used = _copies(counted, plan, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"))
     out = counted.sparkSession.createDataFrame(plan, _PLAN).join(used, "source", "left")
     tokens = F.coalesce("used", F.lit(0))

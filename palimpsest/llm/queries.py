@@ -12,6 +12,8 @@ from palimpsest.sources.tables import table
 
 #: The wanted total of the tempered mixtures: half the tokens of the target sources, more than the targets allow.
 PASSES = 0.5
+#: The wanted entropy of the even mixtures: halfway from that of the natural shares to that of equal ones.
+EVENNESS = 0.5
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +60,14 @@ def p9_tempered_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), passes=PASSES)
 
 
+def p9_even_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), evenness=EVENNESS)
+
+
+def p9_even_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(_documents(spark, sf_dir), table(spark, sf_dir, "mix_targets"), evenness=EVENNESS)
+
+
 def p10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.assign(_documents(spark, sf_dir))
 
@@ -77,6 +87,8 @@ QUERIES = {
     "p9_shares": p9_shares,
     "p9_tempered_mix": p9_tempered_mix,
     "p9_tempered_shares": p9_tempered_shares,
+    "p9_even_mix": p9_even_mix,
+    "p9_even_shares": p9_even_shares,
     "p10_found": p10_found,
     "p10_languages": p10_languages,
 }

@@ -155,13 +155,25 @@ def test_chunks_cover_fit_and_overlap(spark):
             piece = r.text.encode()
             assert raw[r.start_byte : r.start_byte + len(piece)] == piece
             assert end - overlap <= r.start_byte <= end and (i == 0 or r.start_byte + len(piece) > end)
+            assert r.overlap == (end - r.start_byte if i else 0) and r.refused is False
             if size > most:
                 assert len(piece) + sum(len(c.encode()) for c in r.context) <= most
             end = r.start_byte + len(piece)
         assert end == len(raw)
     assert chunking.split_documents(spark.createDataFrame([], DOCS), profiles).count() == 0
-    with pytest.raises(ValueError):
-        chunking.split_documents(spark.createDataFrame(docs, DOCS), spark.createDataFrame([("p", 100, 1)], "profile string, max_bytes int, overlap_bytes int"))
+    tiny = spark.createDataFrame([("small", 100, 1), ("none", 600, 0)], "profile string, max_bytes int, overlap_bytes int")
+    left = {r.doc_id: r for r in chunking.split_documents(spark.createDataFrame(docs, DOCS), tiny).where("piece = 0").collect()}
+    assert all(r.refused == (d[3] == "small" and r.oversized) and (not r.refused or (r.pieces == 1 and r.text == d[1])) for d in docs if d[1] is not None for r in [left[d[0]]])
+
+
+def test_overlaps_go_back_to_words_where_sentences_are_long(spark):
+    sentence = " ".join(f"word{i:03d}" for i in range(18)) + ". "  # longer than the overlap, shorter than a quarter of the room
+    profiles = spark.createDataFrame([("p", 1200, 120)], "profile string, max_bytes int, overlap_bytes int")
+    parts = chunking.split_documents(spark.createDataFrame([(1, sentence * 40, None, "p", "", "")], DOCS), profiles).orderBy("piece").collect()
+    assert len(parts) > 5 and all(100 <= r.overlap <= 120 and r.text.startswith("word") for r in parts[1:])
+    short = "A short sentence stands here. "
+    parts = chunking.split_documents(spark.createDataFrame([(1, short * 200, None, "p", "", "")], DOCS), profiles).orderBy("piece").collect()
+    assert all(r.overlap == 120 and r.text.startswith("A short") for r in parts[1:])
 
 
 def test_cuts_prefer_paragraphs(spark):
@@ -234,6 +246,31 @@ def test_exponent_is_the_least_that_fits():
         mixing.mixing_weights(n, t, m, 5000)
 
 
+def test_exponent_meets_an_entropy():
+    n, m = {"a": 1000, "b": 100, "c": 10, "none": 0}, {"a": 1, "b": 2, "c": 3, "none": 1}
+    t = {"a": 0.2, "b": 0.2, "c": 0.5, "none": 0.1}
+    for wanted in (0.4, 0.8, 1.05):
+        weights, total, x = mixing.mixing_weights(n, t, m, wanted_entropy=wanted)
+        assert 0 < x < 1 and abs(mixing.entropy(weights) - wanted) < 1e-9 and set(weights) == {"a", "b", "c"}
+        whole = sum(n[s] ** x for s in weights)
+        assert all(abs(w - n[s] ** x / whole) < 1e-12 and w * total <= m[s] * n[s] + 1 for s, w in weights.items())
+    for bad in (1.2, 0.1):
+        with pytest.raises(ValueError):
+            mixing.mixing_weights(n, t, m, wanted_entropy=bad)
+
+
+def test_registered_mixture_of_an_entropy(spark):
+    import math
+
+    import __spark_entry__ as entry
+
+    rows = [r for r in entry.queries()["p9_even_shares"](spark, "/root/testdata/sf0.001").collect() if r.available_tokens]
+    natural = mixing.entropy({r.source: r.available_tokens / sum(x.available_tokens for x in rows) for r in rows})
+    reached = mixing.entropy({r.source: r.actual_share for r in rows})
+    assert 0 < rows[0].exponent < 1 and abs(reached - (natural + math.log(len(rows))) / 2) < 0.05
+    assert all(r.times_used <= r.max_repeats for r in rows)
+
+
 def test_registered_mixture_is_tempered(spark):
     import __spark_entry__ as entry
 
@@ -290,6 +327,21 @@ def test_held_out_accuracy(spark):
     assert sum(truth[x.doc_id] == x.lang for x in got) / len(got) >= 0.98
 
 
+def test_a_language_that_is_not_modelled(spark):
+    """A language outside the model keeps its label, or stays undetermined; without training texts nothing is called foreign."""
+    rng = random.Random(2)
+    known = [(i, " ".join(rng.sample(SENTENCES[c], 2)), c) for i, c in enumerate(list(SENTENCES) * 30)]
+    korean = "각 세대는 생산자가 마지막 실행 중에 관찰한 간선을 유지한다. 아무도 이 행들의 순서에 의존해서는 안 된다."
+    docs = known + [(1001, korean, "ko"), (1002, korean, None), (1003, korean, "de")]
+    model = language.train(documents(spark, known))
+    got = {x.doc_id: x for x in language.assign(documents(spark, docs), model=model).collect()}
+    assert {i: (got[i].lang, got[i].paragraph) for i in (1001, 1002, 1003)} == {1001: ("ko", -1), 1002: ("und", -1), 1003: ("und", -1)}
+    assert all(x.lang in language.LANGUAGES for i, x in got.items() if i < 1000)
+    assert 1001 not in {x.doc_id for x in language.mislabelled(language.assign(documents(spark, docs), model=model)).collect()}
+    alone = language.assign(documents(spark, [(1, "the of and to in that is was for it.", None)])).collect()
+    assert [x.lang for x in alone] == ["en"]
+
+
 def test_labels(spark):
     known = language.label_codes(spark)
     for label, want in {"en": "en", "EN-us": "en", "zh_Hans": "zh", "fre": "fr", "FRA": "fr", "Dutch": "nl", " Polish ": "pl", "und": None, "": None, "??": None, "n/a": None, "unknown": None, None: None}.items():
