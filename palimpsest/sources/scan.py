@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,40 +65,54 @@ def write_ndjson(lines: DataFrame, path: str) -> None:
 
 
 def export_parquet(rows: DataFrame, path: str, schema_version: int = 2) -> dict:
-    """Write rows and, last, a manifest with file names, checksums, count and schema. An export that has its manifest is kept."""
+    """Write rows, then a checksum of each file, and last a manifest with counts and schema. An export that has its manifest is kept."""
     spark = rows.sparkSession
     if found := read_text(spark, f"{path}/manifest.json"):
         return json.loads(found)
     rows.write.mode("overwrite").parquet(f"{path}/data")
-    files = _checksums(spark, f"{path}/data")
-    manifest = {
-        "schema_version": schema_version, "rows": spark.read.parquet(f"{path}/data").count(),
-        "files": {r["name"]: r["sum"] for r in files.collect()}, "columns": rows.dtypes,
-    }
+    _checksums(spark, f"{path}/data").write.mode("overwrite").parquet(f"{path}/checksums")
+    total = spark.read.parquet(f"{path}/checksums").agg(F.count("*").alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    manifest = {"schema_version": schema_version, "rows": total["rows"], "files": total["files"], "columns": rows.dtypes}
     write_once(spark, f"{path}/manifest.json", json.dumps(manifest))
     return manifest
 
 
 def _checksums(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"), F.sha2("content", 256).alias("sum"))
+    """(name, rows, first, second): for each file its rows and two digests of what they hold, in whatever order.
+
+    Files are read as rows by as many tasks as they have splits, never whole in one cell.
+    """
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.regexp_extract("path", r"[^/]+$", 0).alias("name"))
+    data = spark.read.parquet(path)
+    digest = lambda seed: F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in data.columns])
+    held = data.select(F.col("_metadata.file_name").alias("name"), digest(1).alias("a"), digest(2).alias("b"))
+    sums = held.groupBy("name").agg(F.count("*").alias("rows"), F.bit_xor("a").alias("first"), F.sum(F.col("b").bitwiseAND(0xFFFFFFFF)).alias("second"))
+    return names.join(sums, "name", "left").select("name", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("first", F.lit(0)).alias("first"), F.coalesce("second", F.lit(0)).alias("second"))
 
 
 def audit_export(spark: SparkSession, path: str) -> list[str]:
-    """What is wrong with an export: missing manifest, other files, other bytes, other count or columns. Empty if nothing is."""
+    """What is wrong with an export: missing manifest, other files, other contents, other count or columns. Empty if nothing is.
+
+    Only what is wrong comes to the driver.
+    """
     text = read_text(spark, f"{path}/manifest.json")
     if text is None:
         return ["no manifest"]
     m = json.loads(text)
-    found = {r["name"]: r["sum"] for r in _checksums(spark, f"{path}/data").collect()}
-    out = [f"missing {n}" for n in sorted(set(m["files"]) - set(found))] + [f"unknown {n}" for n in sorted(set(found) - set(m["files"]))]
-    out += [f"changed {n}" for n in sorted(set(m["files"]) & set(found)) if m["files"][n] != found[n]]
-    if not out:
-        data = spark.read.parquet(f"{path}/data")
-        if data.count() != m["rows"]:
-            out.append("row count")
-        if [list(c) for c in data.dtypes] != [list(c) for c in m["columns"]]:
-            out.append("columns")
+    data = spark.read.parquet(f"{path}/data")
+    if [list(c) for c in data.dtypes] != [list(c) for c in m["columns"]]:
+        return ["columns"]
+    then, now = spark.read.parquet(f"{path}/checksums"), _checksums(spark, f"{path}/data")
+    values = lambda d, n: d.select("name", F.struct("rows", "first", "second").alias(n))
+    both = values(then, "then").join(values(now, "now"), "name", "full_outer")
+    what = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "unknown").when(F.col("then") != F.col("now"), "changed")
+    try:
+        out = [f"{r['what']} {r['name']}" for r in both.select("name", what.alias("what")).where("what is not null").orderBy("what", "name").collect()]
+    except (PySparkException, Py4JJavaError) as e:
+        return [f"unreadable: {str(e).splitlines()[0]}"]
+    whole = then.agg(F.count("*").alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    if not out and (whole["files"], whole["rows"]) != (m["files"], m["rows"]):
+        out.append("row count")
     return out
 
 

@@ -266,7 +266,16 @@ def test_scan_and_exports(spark, tmp_path):
     assert scan.export_parquet(rows.limit(1), path)["rows"] == 2  # an export that has its manifest is kept
     extra = next((tmp_path / "out" / "data").glob("*.parquet"))
     extra.rename(extra.with_name("renamed.parquet"))
-    assert len(scan.audit_export(spark, path)) == 2
+    assert [w.split()[0] for w in scan.audit_export(spark, path)] == ["missing", "unknown"]
+    # Another row in a file of the same name.
+    spark.createDataFrame([(1, "y"), (2, None)], rows.schema).coalesce(1).write.parquet(f"{path}/other")
+    extra.with_name("renamed.parquet").unlink()
+    next((tmp_path / "out" / "other").glob("*.parquet")).rename(extra)
+    assert scan.audit_export(spark, path)[0].startswith("unreadable")  # the file system's own checksum is of the file before
+    extra.with_name(f".{extra.name}.crc").unlink()
+    assert "changed" in {w.split()[0] for w in scan.audit_export(spark, path)}
+    empty = f"file://{tmp_path}/empty"
+    assert scan.export_parquet(rows.where("false"), empty)["rows"] == 0 and scan.audit_export(spark, empty) == []
     r = scan.Records(spark, f"file://{tmp_path}/records")
     assert r.compare_exchange("a/1", 0, "x") and not r.compare_exchange("a/1", 0, "y") and r.compare_exchange("a/1", 1, "z")
     r.compare_exchange("a/2", 0, "w")
