@@ -4,7 +4,7 @@ A document is oversized if the UTF-8 bytes of its text and of the non-null eleme
 exceed ``max_bytes`` of its profile. Its text is cut into pieces that fit with the context; a piece
 ends at the end of a paragraph, else of a line, else of a sentence, else of a word, and
 begins up to ``overlap_bytes`` before the end of the piece before: at the first paragraph, line or sentence within that
-reach, else at the first word.
+reach, else at the first of the words that are marked, one every few.
 
 Pointer doubling. Every boundary is joined to its farthest legal successor, the start of the next piece
 (as-of lookups by a merge of boundaries and probes in one sorted window). The successor table is
@@ -32,7 +32,8 @@ from palimpsest.session import discard, materialize
 
 #: A natural boundary is the end of a line or of a sentence.
 NATURAL = r"(?<=\n)|(?<=[.!?…][ \t])|(?<=[。！？])"
-WORD = r"(?<=[\s])"
+#: A few words: from a word's start at least 15 characters, up to the next white space.
+WORDS = r"(?s).{1,15}\z|.{15,}?(?:\s+|\z)"
 #: A run of characters that is cut for want of white space; marks stay with their letter.
 RUN = r"(?s).{1,16}\p{M}{0,8}"
 
@@ -88,11 +89,11 @@ def sized(documents: DataFrame, profiles: DataFrame) -> DataFrame:
 def boundaries(items: DataFrame) -> DataFrame:
     """(doc_id, at, level, room, overlap): every place where a text may be cut, in bytes, 0 and the end included."""
     fine = F.floor(F.col("room") / 4)
-    # Words inside stretches that an overlap could not go back over whole, or that are long beside the room.
+    # Every few words inside stretches that an overlap could not go back over whole, or that are long beside the room.
     by = F.when(F.col("overlap") > 0, F.least(fine, "overlap")).otherwise(fine)
     natural = F.split("text", NATURAL, -1)
     by_word = F.flatten(
-        F.transform(natural, lambda s: F.when(F.octet_length(s) > by, F.split(s, WORD, -1)).otherwise(F.array(s)))
+        F.transform(natural, lambda s: F.when(F.octet_length(s) > by, F.regexp_extract_all(s, F.lit(WORDS), F.lit(0))).otherwise(F.array(s)))
     )
     pieces = F.flatten(
         F.transform(
