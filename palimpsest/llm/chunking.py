@@ -125,10 +125,10 @@ def successors(cuts: DataFrame) -> DataFrame:
     """(doc_id, s, e, nxt): the farthest legal end of a piece that starts at s, and where the next piece starts.
 
     ``nxt`` is null for a piece that ends with the text. Ends are looked up with a probe at s + room, starts with a
-    probe at e - overlap; probes and boundaries are merged by one sort within the document.
+    probe at e - overlap; probes are merged with the boundaries by a sort within the document. Each boundary carries its own
+    probes along, so that all of it stays where its document is, and every look-up is a running minimum or maximum.
     """
-    total = Window.partitionBy("doc_id")
-    cuts = cuts.withColumn("total", F.max("at").over(total))
+    cuts = cuts.withColumn("total", F.max("at").over(Window.partitionBy("doc_id")))
     far = F.col("at") + F.col("room")
     rows = cuts.select("doc_id", "room", "overlap", "total", "level", "at", F.explode(F.array(F.lit(0), F.lit(1))).alias("probe"))
     rows = rows.withColumn("key", F.when(F.col("probe") == 1, far).otherwise(F.col("at")))
@@ -138,9 +138,9 @@ def successors(cuts: DataFrame) -> DataFrame:
         return F.max(F.when((F.col("probe") == 0) & (F.col("level") >= level), F.col("at"))).over(upto)
 
     found = rows.select(
-        "doc_id", "room", "overlap", "total", "probe", F.col("at").alias("s"),
+        "doc_id", "room", "overlap", "total", "probe", "level", F.col("at").alias("s"),
         last(PARAGRAPH).alias("paragraph"), last(LINE).alias("line"), last(SENTENCE).alias("sentence"), last(INNER).alias("any"),
-    ).where((F.col("probe") == 1) & (F.col("s") < F.col("total")))
+    ).where(F.col("probe") == 1)
     # An end must lie past the overlap, or the next piece could end where this one does.
     half = F.col("s") + F.greatest(F.col("overlap"), F.floor(F.col("room") / 2))
     quarter = F.col("s") + F.greatest(F.col("overlap"), F.floor(F.col("room") / 4))
@@ -151,27 +151,23 @@ def successors(cuts: DataFrame) -> DataFrame:
         .when(F.col("sentence") > quarter, F.col("sentence"))
         .otherwise(F.col("any"))
     )
-    ends = found.select("doc_id", "room", "overlap", "total", "s", end.alias("e"))
+    # Every boundary as a mark, and, but for the text's end, the end of the piece that starts there.
+    kinds = F.array(F.lit(1), F.when(F.col("s") < F.col("total"), 2))
+    ends = found.select("doc_id", "room", "overlap", "total", "level", "s", end.alias("e"), F.explode(F.array_compact(kinds)).alias("kind"))
+    ends = ends.withColumn("key", F.when(F.col("kind") == 1, F.col("s")).otherwise(F.col("e")))
+    down = Window.partitionBy("doc_id").orderBy(F.desc("key"), F.desc("kind"))
+    mark = F.when(F.col("kind") == 1, F.col("key"))
+    following = F.min(mark).over(down.rowsBetween(Window.unboundedPreceding, -1))
     # The start after e: of the boundaries at or after both e - overlap and (next boundary after e) - room the first that is natural and lies
     # before e, else the first of any kind.
-    marks = cuts.select(
-        "doc_id", F.col("at").alias("key"), F.lit(1).alias("kind"), "level", F.lit(None).cast("bigint").alias("s"), F.lit(None).cast("bigint").alias("e"),
-        F.lit(None).cast("bigint").alias("room"), F.lit(None).cast("bigint").alias("overlap"), F.lit(None).cast("bigint").alias("total"),
-    )
-    at_end = ends.select("doc_id", F.col("e").alias("key"), F.lit(2).alias("kind"), F.lit(INNER).alias("level"), "s", "e", "room", "overlap", "total")
-    onward = Window.partitionBy("doc_id").orderBy("key", "kind").rowsBetween(1, Window.unboundedFollowing)
-    after = (
-        marks.unionByName(at_end)
-        .withColumn("following", F.min(F.when(F.col("kind") == 1, F.col("key"))).over(onward))
-        .where("kind = 2")
-    )
     least = F.greatest(F.col("e") - F.col("overlap"), F.coalesce("following", "e") - F.col("room"))
-    probes = after.select("doc_id", least.alias("key"), F.lit(0).alias("kind"), F.lit(INNER).alias("level"), "s", "e", "room", "overlap", "total")
-    ahead = Window.partitionBy("doc_id").orderBy("key", "kind").rowsBetween(0, Window.unboundedFollowing)
+    probes = ends.withColumn("following", following).select(
+        "doc_id", "total", "level", "s", "e", F.when(F.col("kind") == 1, 1).otherwise(0).alias("kind"), F.when(F.col("kind") == 1, F.col("s")).otherwise(least).alias("key")
+    )
+    ahead = down.rowsBetween(Window.unboundedPreceding, 0)
+    natural = F.min(F.when(F.col("level") > INNER, mark)).over(ahead)
     return (
-        marks.unionByName(probes)
-        .withColumn("b", F.min(F.when(F.col("kind") == 1, F.col("key"))).over(ahead))
-        .withColumn("natural", F.min(F.when((F.col("kind") == 1) & (F.col("level") > INNER), F.col("key"))).over(ahead))
+        probes.select("*", F.min(mark).over(ahead).alias("b"), natural.alias("natural"))
         .where("kind = 0")
         .withColumn("b", F.when(F.col("natural") < F.col("e"), F.col("natural")).otherwise(F.least("b", "e")))
         .select("doc_id", "s", "e", F.when(F.col("e") < F.col("total"), F.col("b")).alias("nxt"))
