@@ -7,10 +7,12 @@ is collected.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.session import discard, materialize
+from palimpsest.session import delete, discard, materialize, scratch_path
 
 PLACE = ["repository_id", "worktree_id"]
 
@@ -39,6 +41,48 @@ def incident(edges: DataFrame, endpoints: DataFrame) -> DataFrame:
     return out.unionByName(into).distinct()
 
 
+def with_relations(edges: DataFrame, relations: list[str] | None) -> DataFrame:
+    """Edges of some relations; None is all of them, an empty list none."""
+    return edges if relations is None else edges.where(F.col("relation").isin(relations)) if relations else edges.where("false")
+
+
+def adjacency(edges: DataFrame) -> DataFrame:
+    """(place, node_id, direction, other, edge_id): each edge from both of its ends, a loop from both directions too; rows are distinct."""
+    out = edges.select(*PLACE, F.col("source").alias("node_id"), F.lit("out").alias("direction"), F.col("target").alias("other"), "edge_id")
+    into = edges.select(*PLACE, F.col("target").alias("node_id"), F.lit("in").alias("direction"), F.col("source").alias("other"), "edge_id")
+    return out.unionByName(into).distinct()
+
+
+class IncidenceIndex:
+    """The edges of each endpoint, written once in buckets by endpoint and in order of edge id.
+
+    Lookups join by endpoint without moving the index. Rows with a null place or endpoint are not indexed.
+    """
+
+    KEY = [*PLACE, "node_id"]
+
+    def __init__(self, edges: DataFrame, width: int | None = None):
+        self.spark = edges.sparkSession
+        rows = adjacency(edges).where(F.forall(F.array(*[F.col(k).isNotNull() for k in self.KEY]), lambda x: x))
+        self.width = width = width or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path, self.name = scratch_path(self.spark, "incidence"), f"palimpsest_{uuid.uuid4().hex}"
+        out = rows.repartition(width, *self.KEY).write.format("parquet").bucketBy(width, *self.KEY).sortBy(*self.KEY, "edge_id")
+        out.option("path", self.path).saveAsTable(self.name)
+
+    def edges(self, endpoints: DataFrame) -> DataFrame:
+        """The indexed rows of some endpoints (place, node_id).
+
+        The endpoints are brought to the index's own buckets: left to itself the planner moves both sides wherever a session has more
+        shuffle partitions than the index has buckets.
+        """
+        asked = endpoints.select(*self.KEY).distinct().repartition(self.width, *self.KEY)
+        return self.spark.table(self.name).join(asked, self.KEY, "left_semi")
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+        delete(self.spark, self.path)
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, direction: str = "out") -> DataFrame:
     """(place, node_id, depth): nodes within ``max_hops`` of the seeds (place, node_id), seeds at depth 0.
 

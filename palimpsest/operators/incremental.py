@@ -181,7 +181,8 @@ class IncrementalRun:
         at = lambda text: F.lit(text).cast(kind)
         if high is None:
             high = source.agg(F.max(self.position).cast("string").alias("m")).first()["m"]
-        high = low if high is None else high
+        if high is None or (low is not None and self.spark.range(1).select(at(high) < at(low)).first()[0]):
+            high = low  # a watermark never goes back
         ticket = {"run": done["run"] + 1 if done else 1, "low": low, "watermark": high}
         if not self.keys:
             rows = source.where("false") if high is None else source.where(pos <= at(high))

@@ -25,64 +25,77 @@ def _none(rows: DataFrame, what: str) -> None:
         raise InvalidDelta(what)
 
 
-def apply_delta(state: dict[str, DataFrame], delta: dict[str, DataFrame], base: int | None, sequence: int) -> dict[str, DataFrame]:
+def apply_delta(
+    state: dict[str, DataFrame], delta: dict[str, DataFrame], base: int | DataFrame | None, sequence: int | None = None, scope: list[str] = ()
+) -> dict[str, DataFrame]:
     """The version tables after a delta at ``sequence``.
 
     state: nodes, edges, provenance, files, each with its id column, payload, valid_from_sequence and valid_until_sequence, for one
     worktree, and the delta's upsert_nodes, upsert_edges, upsert_provenance, remove_nodes, remove_edges, changed_files,
     removed_files. Missing parts of the delta are empty. An upsert wins over a remove for nodes and edges, a removed file over a
     changed one. Removing a node closes its edges, also if the delta brings the node back, unless it brings the edge back too.
+
+    With ``scope`` (columns of every table) the deltas of many worktrees are applied at once, and ``base`` has a row (scope, base, sequence) for each.
+    Any that is stale or breaks an invariant refuses all.
     """
-    current = max((t.agg(F.max("valid_from_sequence")).first()[0] or 0) for t in state.values())
-    ended = max((t.agg(F.max("valid_until_sequence")).first()[0] or 0) for t in state.values())
-    at = max(current, ended)
-    if (base or 0) != at:
-        raise StaleBase(f"base {base}, current {at}")
-    if sequence <= at:
-        raise InvalidDelta("a delta may not reuse its base generation")
+    if not scope:
+        spark = next(iter(state.values())).sparkSession
+        bases = spark.createDataFrame([(0, base, sequence)], "__scope int, base bigint, sequence bigint")
+        one = lambda tables: {p: t.withColumn("__scope", F.lit(0)) for p, t in tables.items() if t is not None}
+        out = apply_delta(one(state), one(delta), bases, scope=["__scope"])
+        return {p: t.drop("__scope") for p, t in out.items()}
+    scope = list(scope)
+    marks = None
+    for t in state.values():
+        part = t.select(*scope, F.greatest("valid_from_sequence", "valid_until_sequence").alias("at"))
+        marks = part if marks is None else marks.unionByName(part)
+    now = base.join(marks.groupBy(*scope).agg(F.max("at").alias("at")), scope, "left")
+    now = materialize(now.select(*scope, F.coalesce("base", F.lit(0)).alias("base"), "sequence", F.coalesce("at", F.lit(0)).alias("at")), "bases")
+    if stale := now.where("base <> at").first():
+        raise StaleBase(f"base {stale['base']}, current {stale['at']}")
+    _none(now.where("sequence <= at"), "a delta may not reuse its base generation")
+    at = now.select(*scope, F.col("sequence").cast("bigint").alias("__at"))
     ids = {"files": "file_id", "provenance": "provenance_id", "nodes": "node_id", "edges": "edge_id"}
     ups = {"files": "changed_files", "provenance": "upsert_provenance", "nodes": "upsert_nodes", "edges": "upsert_edges"}
+    for rows in delta.values():
+        _none(rows.join(at, scope, "left_anti"), "a delta without a base")
     for part, key in ids.items():
         if ups[part] in delta:
-            _none(delta[ups[part]].groupBy(key).count().where("count > 1"), f"duplicate ids in {ups[part]}")
+            _none(delta[ups[part]].groupBy(*scope, key).count().where("count > 1"), f"duplicate ids in {ups[part]}")
     live = {p: t.where("valid_until_sequence is null") for p, t in state.items()}
     gone: dict[str, DataFrame | None] = {
         "files": delta.get("removed_files"), "provenance": None, "nodes": delta.get("remove_nodes"), "edges": delta.get("remove_edges"),
     }
     if gone["nodes"] is not None:
         # The removed nodes are joined to each end separately.
-        n = gone["nodes"].select("node_id").distinct()
-        cascade = (
-            live["edges"].join(n.withColumnRenamed("node_id", "source"), "source", "left_semi").select("edge_id")
-            .unionByName(live["edges"].join(n.withColumnRenamed("node_id", "target"), "target", "left_semi").select("edge_id"))
-        ).distinct()
-        gone["edges"] = cascade if gone["edges"] is None else cascade.unionByName(gone["edges"].select("edge_id")).distinct()
+        n = gone["nodes"].select(*scope, "node_id").distinct()
+        ends = [live["edges"].join(n.withColumnRenamed("node_id", e), [*scope, e], "left_semi").select(*scope, "edge_id") for e in ("source", "target")]
+        cascade = ends[0].unionByName(ends[1]).distinct()
+        gone["edges"] = cascade if gone["edges"] is None else cascade.unionByName(gone["edges"].select(*scope, "edge_id")).distinct()
     out = {}
     for part, key in ids.items():
         new = delta.get(ups[part])
         if part == "files" and new is not None and gone["files"] is not None:
-            new = new.join(gone["files"].select(key), key, "left_anti")
+            new = new.join(gone["files"].select(*scope, key), [*scope, key], "left_anti")
         closing = None
         for rows in (new, gone[part]):
             if rows is not None:
-                closing = rows.select(key) if closing is None else closing.unionByName(rows.select(key))
+                closing = rows.select(*scope, key) if closing is None else closing.unionByName(rows.select(*scope, key))
         table = state[part]
         if closing is not None:
-            mark = closing.distinct().withColumn("__close", F.lit(True))
-            table = table.join(mark, key, "left").withColumn(
-                "valid_until_sequence",
-                F.when(F.col("valid_until_sequence").isNull() & F.col("__close"), F.lit(sequence)).otherwise(F.col("valid_until_sequence")),
-            ).drop("__close")
+            table = table.join(closing.distinct().join(at, scope), [*scope, key], "left").withColumn(
+                "valid_until_sequence", F.coalesce("valid_until_sequence", "__at")
+            )
         if new is not None:
-            opened = new.withColumn("valid_from_sequence", F.lit(sequence).cast("bigint")).withColumn("valid_until_sequence", F.lit(None).cast("bigint"))
+            opened = new.join(at, scope).withColumn("valid_from_sequence", F.col("__at")).withColumn("valid_until_sequence", F.lit(None).cast("bigint"))
             table = table.select(*state[part].columns).unionByName(opened.select(*state[part].columns))
         out[part] = materialize(table.select(*state[part].columns), f"delta-{part}")
     after = {p: t.where("valid_until_sequence is null") for p, t in out.items()}
-    nodes, provenance = after["nodes"].select("node_id"), after["provenance"].select("provenance_id")
+    known = after["provenance"].select(*scope, F.col("provenance_id").alias("provenance"))
     for part in ("nodes", "edges"):
-        _none(after[part].join(provenance, after[part]["provenance"] == provenance["provenance_id"], "left_anti"), f"{part} without provenance")
+        _none(after[part].join(known, [*scope, "provenance"], "left_anti"), f"{part} without provenance")
     for end in ("source", "target"):
-        _none(after["edges"].join(nodes, after["edges"][end] == nodes["node_id"], "left_anti"), f"edges without {end}")
+        _none(after["edges"].join(after["nodes"].select(*scope, F.col("node_id").alias(end)), [*scope, end], "left_anti"), f"edges without {end}")
     return out
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import text as T
 from palimpsest.functions.stem import stemmed
 from palimpsest.operators import graph, history, inference, lexical, lineage, publication, resolution, validation
-from palimpsest.session import scratch_path
+from palimpsest.session import materialize, scratch_path
 from palimpsest.sources import scan
 from palimpsest.sources.tables import table
 
@@ -248,9 +248,12 @@ def p06(spark, d):
     return t.edges.join(p, [*PLACE, "provenance"]).select(*PLACE, "edge_id", "evidence_class")
 
 
-@query("p-07_relation_filter", f"select {PL}, relation, count(*) edges from ce where relation in ('Calls', 'Imports') group by all")
+@query("p-07_relation_filter", f"select 'some' wanted, {PL}, edge_id, relation, version_id from ce where relation in ('Calls', 'Imports') union all select 'all', {PL}, edge_id, relation, version_id from ce")
 def p07(spark, d):
-    return Tables(spark, d).edges.where(F.col("relation").isin("Calls", "Imports")).groupBy(*PLACE, "relation").agg(F.count("*").alias("edges"))
+    """Edges of two relations, and of all where none is asked for."""
+    e = Tables(spark, d).edges.select(*PLACE, "edge_id", "relation", "version_id")
+    some = graph.with_relations(e, ["Calls", "Imports"]).withColumn("wanted", F.lit("some"))
+    return some.unionByName(graph.with_relations(e, None).withColumn("wanted", F.lit("all")))
 
 
 _FAMILY = "case when kind in ('Module','Function','Struct','Enum','Trait','Test','Class','Script') then 'Code' when kind in ('Document','Section','DocumentChunk') then 'Documentation' when kind in ('Reference','UnresolvedReference','AmbiguousReference','Import','Export') then 'Reference' else 'Other' end"
@@ -710,6 +713,18 @@ def g09(spark, d):
     return graph.cyclic_components(Tables(spark, d).edges)
 
 
+@query("g10_adjacency", f", e as (select * from ev where {_ASOF}) select distinct {PL}, source node_id, 'out' direction, target other, edge_id from e union select {PL}, target, 'in', source, edge_id from e")
+def g10(spark, d):
+    return graph.adjacency(history.as_of(Tables(spark, d)["edge_versions"], AT))
+
+
+@query("g11_incidence_index", f", a as (select distinct {PL}, source node_id, 'out' direction, target other, edge_id from ce union select {PL}, target, 'in', source, edge_id from ce) select * from a where ({PL}, node_id) in (select {PL}, node_id from seed)")
+def g11(spark, d):
+    """The edges of each worktree's busiest node, looked up in a written index."""
+    t = Tables(spark, d)
+    return graph.IncidenceIndex(t.edges).edges(t.seeds)
+
+
 # --- Change sets and consequences -------------------------------------------------------------------------------------
 
 
@@ -935,6 +950,52 @@ def m06(spark, d):
     return publication.chain_digests(g)
 
 
+_STATE_SQL = f""", pn as (select distinct {PL}, provenance_id from pv where valid_from_sequence <= {AT}),
+n as (select * from (select {PL}, node_id, arg_max(kind, (valid_from_sequence, version_id)) kind, arg_max(provenance, (valid_from_sequence, version_id)) provenance from nv where {_ASOF} group by 1, 2, 3) x where ({PL}, provenance) in (select {PL}, provenance_id from pn)),
+e as (select * from (select {PL}, edge_id, arg_max(source, (valid_from_sequence, version_id)) source, arg_max(target, (valid_from_sequence, version_id)) target, arg_max(relation, (valid_from_sequence, version_id)) relation, arg_max(provenance, (valid_from_sequence, version_id)) provenance from ev where {_ASOF} group by 1, 2, 3) x
+  where ({PL}, provenance) in (select {PL}, provenance_id from pn) and ({PL}, source) in (select {PL}, node_id from n) and ({PL}, target) in (select {PL}, node_id from n)),
+t as (select {PL}, node_id from n where kind = 'Test'), ec as (select *, ({PL}, source) in (select * from t) or ({PL}, target) in (select * from t) casc from e)"""
+
+
+@query("m04_applied_delta", _STATE_SQL + f" select {PL}, 'nodes' part, count(*) filter (kind in ('Test', 'Module')) closed, count(*) filter (kind = 'Module') opened, count(*) filter (kind <> 'Test') live from n group by {PL} union all select {PL}, 'edges', count(*) filter (casc or relation in ('Contains', 'Defines')), count(*) filter (relation = 'Defines' and not casc), count(*) filter (not casc and relation <> 'Contains') from ec group by {PL}")
+def m04(spark, d):
+    """On the graph of each worktree as of a sequence: tests and Contains edges go, with what hangs on them, modules and Defines edges are written anew."""
+    t = Tables(spark, d)
+    last = lambda df, key, *columns: df.groupBy(*PLACE, key).agg(
+        F.max_by(F.struct(*columns, "valid_from_sequence"), F.struct("valid_from_sequence", "version_id")).alias("v")
+    ).select(*PLACE, key, "v.*", F.lit(None).cast("bigint").alias("valid_until_sequence"))
+    p = history.as_of(t["provenance"].withColumn("valid_until_sequence", F.lit(None).cast("bigint")), AT).groupBy(*PLACE, "provenance_id").agg(F.max("valid_from_sequence").alias("valid_from_sequence"))
+    p = p.withColumn("valid_until_sequence", F.lit(None).cast("bigint"))
+    has = p.select(*PLACE, F.col("provenance_id").alias("provenance"))
+    n = last(history.as_of(t["node_versions"], AT), "node_id", "kind", "provenance").join(has, [*PLACE, "provenance"], "left_semi")
+    e = last(history.as_of(t["edge_versions"], AT), "edge_id", "source", "target", "relation", "provenance").join(has, [*PLACE, "provenance"], "left_semi")
+    for end in ("source", "target"):
+        e = e.join(n.select(*PLACE, F.col("node_id").alias(end)), [*PLACE, end], "left_semi")
+    none = n.where("false").select(*PLACE, F.lit("").alias("file_id"), "valid_from_sequence", "valid_until_sequence")
+    state = {"nodes": materialize(n, "nodes"), "edges": materialize(e, "edges"), "provenance": materialize(p, "provenance"), "files": none}
+    tests = state["nodes"].where("kind = 'Test'")
+    kept = state["edges"]
+    for end in ("source", "target"):
+        kept = kept.join(tests.select(*PLACE, F.col("node_id").alias(end)), [*PLACE, end], "left_anti")
+    delta = {
+        "remove_nodes": tests, "upsert_nodes": state["nodes"].where("kind = 'Module'"),
+        "remove_edges": state["edges"].where("relation = 'Contains'"), "upsert_edges": kept.where("relation = 'Defines'"),
+    }
+    rows = None
+    for part in ("nodes", "edges", "provenance"):
+        rows = state[part].select(*PLACE, "valid_from_sequence") if rows is None else rows.unionByName(state[part].select(*PLACE, "valid_from_sequence"))
+    bases = rows.groupBy(*PLACE).agg(F.max("valid_from_sequence").alias("base")).withColumn("sequence", F.col("base") + 1)
+    after = publication.apply_delta(state, delta, bases, scope=PLACE)
+    counts = None
+    for part in ("nodes", "edges"):
+        x = after[part].join(bases, PLACE).groupBy(*PLACE).agg(
+            F.count("valid_until_sequence").alias("closed"), F.count_if(F.col("valid_from_sequence") == F.col("sequence")).alias("opened"),
+            F.count_if(F.col("valid_until_sequence").isNull()).alias("live"),
+        ).withColumn("part", F.lit(part))
+        counts = x if counts is None else counts.unionByName(x)
+    return counts
+
+
 @query("m02_incremental_equals_rebuild", f"select fact_kind, count(*) as \"rows\", true same from facts where valid_from_sequence <= 3 group by 1")
 def m02(spark, d):
     # The SQL counts the versions of the first three sequences; what is compared is the feed of all.

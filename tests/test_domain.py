@@ -78,6 +78,7 @@ def test_late_rows_at_the_watermark(spark, tmp_path):
         assert run.commit(got, ticket)
     assert run.output().count() == 8
     assert run.take(src())[0].isEmpty()
+    assert run.take(src(("z", 3)), "4")[1]["watermark"] == "6" and run.take(src(("z", 3)), "4")[0].isEmpty()
     strict = incremental.IncrementalRun(spark, f"file://{tmp_path}/strict", "n")
     for bad in (first, [("a", 1), ("b", 1)]):
         with pytest.raises(ValueError):

@@ -121,6 +121,23 @@ def test_incident_counts_loops_once(spark):
     assert graph.incident(e, n).count() == 1
 
 
+def test_incidence_index_is_not_moved(spark):
+    rows = [("r", "w", "e1", "a", "b", "Calls"), ("r", "w", "e2", "b", "a", "Imports"), ("r", "w", "e3", "a", "a", "Calls"), ("r", "v", "e4", "a", "c", "Calls"), ("r", None, "e5", "a", "c", "Calls"), ("r", "w", "e6", "a", None, "Calls")]
+    e = spark.createDataFrame(rows + rows[:2], SCHEMA)
+    index = graph.IncidenceIndex(e, 3)
+    ends = spark.createDataFrame([("r", "w", "a"), ("r", "w", "a"), ("r", "v", "z")], "repository_id string, worktree_id string, node_id string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    found = index.edges(ends)
+    assert sorted((r.edge_id, r.direction, r.other) for r in found.collect() if r.other) == [("e1", "out", "b"), ("e2", "in", "b"), ("e3", "in", "a"), ("e3", "out", "a")]
+    # Only the endpoints are brought to the index's buckets.
+    plan = found._jdf.queryExecution().explainString(found.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "Bucketed: true" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    index.drop()
+    assert [graph.with_relations(e.distinct(), r).count() for r in (None, [], ["Calls"])] == [6, 0, 5]
+
+
 def test_byte_budget_says_what_it_omits(spark):
     rows = [("r", "w", i, "é" * 5) for i in range(4)] + [("r", "big", 0, "x" * 30), ("r", "small", 0, "x")]
     lines = spark.createDataFrame(rows, "repository_id string, worktree_id string, at int, line string")
