@@ -87,7 +87,7 @@ class TokenTable:
         width = min(max(math.ceil(size / BUCKET_BYTES), self.spark.sparkContext.defaultParallelism), MOST_BUCKETS)
         self.path, self.name = scratch_path(self.spark, "tokens"), f"palimpsest_{uuid.uuid4().hex}"
         contents = keyed(files).groupBy(*KEY).agg(F.first("text").alias("text")).repartition(width, *KEY)
-        # Rows of a content lie together, so that a task writes one file for its bucket without sorting.
+        # The contents of a task are those of one bucket, so that it writes one file.
         rows = tokens(contents).write.format("parquet").bucketBy(width, *KEY)
         rows.option("path", self.path).saveAsTable(self.name)
         self.rows = self.spark.table(self.name)
