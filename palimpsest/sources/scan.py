@@ -91,14 +91,21 @@ def _checksums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit_export(spark: SparkSession, path: str) -> list[str]:
-    """What is wrong with an export: missing manifest, other files, other contents, other count or columns. Empty if nothing is.
+    """What is wrong with an export: missing manifest, unreadable files, other files, other contents, other count or columns. Empty if nothing is.
 
     Only what is wrong comes to the driver.
     """
     text = read_text(spark, f"{path}/manifest.json")
     if text is None:
         return ["no manifest"]
-    m = json.loads(text)
+    try:
+        return _differences(spark, path, json.loads(text))
+    except (PySparkException, Py4JJavaError) as e:
+        # The schema is read from some file before any row is, so that a damaged one can show at any step.
+        return [f"unreadable: {str(e).splitlines()[0]}"]
+
+
+def _differences(spark: SparkSession, path: str, m: dict) -> list[str]:
     data = spark.read.parquet(f"{path}/data")
     if [list(c) for c in data.dtypes] != [list(c) for c in m["columns"]]:
         return ["columns"]
@@ -106,10 +113,7 @@ def audit_export(spark: SparkSession, path: str) -> list[str]:
     values = lambda d, n: d.select("name", F.struct("rows", "first", "second").alias(n))
     both = values(then, "then").join(values(now, "now"), "name", "full_outer")
     what = F.when(F.col("now").isNull(), "missing").when(F.col("then").isNull(), "unknown").when(F.col("then") != F.col("now"), "changed")
-    try:
-        out = [f"{r['what']} {r['name']}" for r in both.select("name", what.alias("what")).where("what is not null").orderBy("what", "name").collect()]
-    except (PySparkException, Py4JJavaError) as e:
-        return [f"unreadable: {str(e).splitlines()[0]}"]
+    out = [f"{r['what']} {r['name']}" for r in both.select("name", what.alias("what")).where("what is not null").orderBy("what", "name").collect()]
     whole = then.agg(F.count("*").alias("files"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
     if not out and (whole["files"], whole["rows"]) != (m["files"], m["rows"]):
         out.append("row count")

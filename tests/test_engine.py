@@ -274,6 +274,13 @@ def test_scan_and_exports(spark, tmp_path):
     assert scan.audit_export(spark, path)[0].startswith("unreadable")  # the file system's own checksum is of the file before
     extra.with_name(f".{extra.name}.crc").unlink()
     assert "changed" in {w.split()[0] for w in scan.audit_export(spark, path)}
+    # The only file is damaged, so that even the schema cannot be read.
+    single = f"file://{tmp_path}/single"
+    assert scan.export_parquet(rows.coalesce(1), single)["files"] == 1 and scan.audit_export(spark, single) == []
+    only = next((tmp_path / "single" / "data").glob("*.parquet"))
+    only.with_name(f".{only.name}.crc").unlink()
+    only.write_bytes(only.read_bytes()[:-20])
+    assert scan.audit_export(spark, single)[0].startswith("unreadable")
     empty = f"file://{tmp_path}/empty"
     assert scan.export_parquet(rows.where("false"), empty)["rows"] == 0 and scan.audit_export(spark, empty) == []
     r = scan.Records(spark, f"file://{tmp_path}/records")
